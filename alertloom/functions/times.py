@@ -36,23 +36,24 @@ def from_us(us: Column) -> Column:
 INNER_TS = r"^.*?(\w+)\s+(\d+)\s+(\d{2}):(\d{2}):(\d{2})(?:\.(\d+))?.*$"
 
 
-def parse_inner_ts(inner: Column, as_of) -> Column:
-    """Month-name timestamp to TIMESTAMP_NTZ, NULL when it names no real moment.
+def inner_ts_parts(inner: Column) -> Column:
+    """month, day, hour, minute, second, fraction as text from one regex pass, or NULL."""
+    sep = "\x1f"
+    groups = sep.join(["\x1eTS", "$1", "$2", "$3", "$4", "$5", "$6"])
+    parts = F.split(F.regexp_replace(inner, rx(INNER_TS), groups), sep)
+    return F.when(F.get(parts, F.lit(0)) == "\x1eTS", F.slice(parts, 2, 6))
+
 
-    One regex pass writes the fields with a separator. The day must exist both in the year of
-    ``as_of`` and in the year the rollover rule picks.
+def build_inner_ts(parts: Column, as_of) -> Column:
+    """TIMESTAMP_NTZ from the parts, NULL when they name no real moment.
+
+    The day must exist both in the year of ``as_of`` and in the year the rollover rule picks.
     """
-    sep = "\x1f"
-    parts = F.split(
-        F.regexp_replace(inner, rx(INNER_TS), sep.join(["\x1eTS", "$1", "$2", "$3", "$4", "$5", "$6"])),
-        sep,
-    )
-    ok = F.get(parts, F.lit(0)) == "\x1eTS"
-    month = F.array_position(F.array(*[F.lit(m) for m in fixed.MONTHS]), F.get(parts, F.lit(1)))
+    month = F.array_position(F.array(*[F.lit(m) for m in fixed.MONTHS]), F.get(parts, F.lit(0)))
     month = F.nullif(month.cast("int"), F.lit(0))
-    day, hour, minute, second = (F.get(parts, F.lit(i)).try_cast("int") for i in (2, 3, 4, 5))
-    micro = F.rpad(F.substring(F.get(parts, F.lit(6)), 1, 6), 6, "0").try_cast("int")
-    seconds = (second + micro / F.lit(1_000_000)).cast("decimal(16,6)")
+    day, hour, minute, second = (F.get(parts, F.lit(i)).try_cast("int") for i in (1, 2, 3, 4))
+    micro = F.rpad(F.substring(F.get(parts, F.lit(5)), 1, 6), 6, "0")
+    seconds = F.concat(F.get(parts, F.lit(4)), F.lit("."), micro).try_cast("decimal(16,6)")
     now = ntz(as_of)
     year, now_month = F.year(now), F.month(now)
     chosen = (
@@ -60,13 +61,17 @@ def parse_inner_ts(inner: Column, as_of) -> Column:
         .when((now_month >= 11) & (month <= 2), year + 1)
         .otherwise(year)
     )
-    exists = F.try_make_timestamp_ntz(year, month, day, hour, minute, seconds).isNotNull()
+    exists = F.try_make_timestamp_ntz(year, month, day, hour, minute, F.lit(0).cast("decimal(16,6)")).isNotNull()
     return F.when(
-        ok & (second <= 59) & exists,
-        F.try_make_timestamp_ntz(chosen, month, day, hour, minute, seconds),
+        (second <= 59) & exists, F.try_make_timestamp_ntz(chosen, month, day, hour, minute, seconds)
     )
 
 
+def parse_inner_ts(inner: Column, as_of) -> Column:
+    """Month-name timestamp to TIMESTAMP_NTZ (``as_of`` is a moment or a Column)."""
+    return build_inner_ts(inner_ts_parts(inner), as_of)
+
+
 def period_bounds(period: str, as_of) -> tuple[dt.datetime | None, dt.datetime | None]:
     """``[start, end)`` of a named period; ``(None, None)`` for all time."""
     if period not in fixed.PERIODS:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions import fixed
 from ..functions.text import rx
 from ..functions.times import ntz
+from .once import compute_once
 from .parse import parse
 
 
@@ -29,29 +30,21 @@ def _matches(raw: Column, pattern: str) -> Column:
     return raw.contains(head) & raw.rlike(rx(pattern)) if head else raw.rlike(rx(pattern))
 
 
-def rule_columns(rules=fixed.RULES, default=fixed.UNKNOWN_RULE, ordinal: Column | str = "rule_no") -> list:
-    """The columns a rule gives, looked up by its ordinal."""
-    table = [*rules, default]
-    names = {"rule_id": "id", "classification": "classification", "event_type": "event_type",
-             "notify": "notify", "summary_template": "summary_template"}
-    return [
-        F.get(F.array(*[F.lit(getattr(r, attr)) for r in table]), F.col(ordinal)).alias(name)
-        for name, attr in names.items()
-    ]
-
-
 def classify(df: DataFrame, rules=fixed.RULES, default=fixed.UNKNOWN_RULE, raw: str = "raw") -> DataFrame:
     """Columns of the first rule whose pattern occurs in ``raw``; rules are rows, order decides.
 
-    The regexes run once to find the ordinal; everything else is an array lookup.
+    The patterns run once to find the rule's ordinal; its columns are one array lookup.
     """
     pairs = [(_matches(F.col(raw), r.pattern), F.lit(i)) for i, r in enumerate(rules)]
     ordinal = reduce(lambda w, p: w.when(*p), pairs[1:], F.when(*pairs[0])).otherwise(F.lit(len(rules)))
-    return (
-        df.withColumn("rule_no", ordinal)
-        .select("*", *rule_columns(rules, default))
-        .drop("rule_no")
-    )
+    table = F.array(*[
+        F.struct(F.lit(r.id).alias("rule_id"), F.lit(r.classification).alias("classification"),
+                 F.lit(r.event_type).alias("event_type"), F.lit(r.notify).alias("notify"),
+                 F.lit(r.summary_template).alias("summary_template"))
+        for r in [*rules, default]
+    ])
+    kept = [c for c in df.columns if c not in ("rule_id", "classification", "event_type", "notify", "summary_template")]
+    return compute_once(df.select(*kept), {"_rule": F.get(table, ordinal)}).select(*kept, "_rule.*")
 
 
 def reclassify(alerts: DataFrame, as_of, rules=fixed.RULES, days: int = 7, limit: int | None = None,

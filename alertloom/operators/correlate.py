@@ -413,3 +413,23 @@ def resolve_on_recovery(opens: DataFrame, recoveries: DataFrame, width: int = CH
         "kind", "key", F.col("open_us").alias("us"), F.col("open_seq").alias("seq"),
         F.when(hit, F.col("_next.us")).alias("resolved_us"), F.when(hit, F.col("_next.seq")).alias("resolved_by"))
     return opens.join(found, ["kind", "key", "us", "seq"], "left")
+
+
+def expire_incidents(opens: DataFrame, now_us: Column, ttl_us: int = TTL_US) -> DataFrame:
+    """Adds ``fate``: ``resolved``, ``expired`` (newest event more than 24 h before ``now_us``)
+    or ``live``. Needs ``resolved_us``."""
+    return opens.withColumn("fate", F.when(F.col("resolved_us").isNotNull(), "resolved").when(
+        now_us - F.col("last_us") > ttl_us, "expired").otherwise("live"))
+
+
+def number_incidents(corr: DataFrame, recoveries: DataFrame, stored: DataFrame | None = None,
+                     width: int = CHUNK_US) -> tuple[DataFrame, DataFrame]:
+    """C8, C11 together: (events with ``incident_id``, openings with id and resolution)."""
+    opens = materialize(
+        resolve_on_recovery(incident_ids(incident_openings(corr), stored, width=width), recoveries, width),
+        "incident-openings")
+    ids = opens.select(F.col("kind").alias("inc_kind"), F.col("key").alias("inc_key"),
+                       F.col("us").alias("_ous"), F.col("seq").alias("_oseq"), "incident_id")
+    events = corr.withColumns({"_ous": F.col("inc.us"), "_oseq": F.col("inc.seq")}).join(
+        ids, ["inc_kind", "inc_key", "_ous", "_oseq"], "left").drop("_ous", "_oseq")
+    return events, opens

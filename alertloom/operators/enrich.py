@@ -10,11 +10,12 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import fixed, text
 from ..functions.times import ntz
+from .once import compute_once
 
 
 def extract_fields(df: DataFrame) -> DataFrame:
     """Interface, BGP neighbor, AS number and VRF."""
-    return df.withColumns({
+    return compute_once(df, {
         "interface_name": text.extract_interface(F.col("message")),
         "bgp_neighbor": text.extract_neighbor(F.col("message")),
         "as_number": text.extract_as_number(F.col("raw")),

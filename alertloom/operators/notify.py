@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import fixed, text
 from ..functions.times import ntz, to_us
+from ..session import materialize
 from . import timeline
 
 
@@ -288,9 +289,10 @@ def escalations(tracked: DataFrame, recoveries: DataFrame, as_of_us: int,
 
     The clock of a key (device, mnemonic, neighbor or interface) runs from an alert until the next
     event that reaches the key: another alert (which restarts it and drops an ack), a recovery, an
-    incident resolution of the device, or an ack of (device, mnemonic). ``due_us`` is start plus
-    delay; the alert is pending at ``as_of_us`` when nothing ended it and it is due; it
-    ``escalated_us`` in the past when the clock ran out before ``ended_us``.
+    incident resolution of the device, or an ack of (device, mnemonic). ``pending``: nothing ended
+    the alert and its delay is over at ``as_of_us``. ``escalated_us``: when it was sent on. Sending
+    one alert marks all keys of its (device, mnemonic) that are tracked then, so within such a group
+    the next one to be sent is the first alert tracked after that moment.
     """
     delay = delay_s * timeline.SECOND
     events = escalation_events(tracked, recoveries, resolved_devices, acks)
@@ -321,14 +323,21 @@ def escalations(tracked: DataFrame, recoveries: DataFrame, as_of_us: int,
     end = F.least(*[F.col(c) for c in ends]) if len(ends) > 1 else F.col(ends[0])
     out = out.withColumn("end", end)
     due = F.col("us") + F.lit(delay)
+    ran_out = F.coalesce(due < F.col("end.us"), due <= as_of_us)
     muted = (F.col("mnemonic") == "MAXPFX") & F.lit(not maxpfx_enabled)
-    return out.select(
+    out = materialize(out.select(
         "seq", "device_name", "mnemonic", "disc", "us", due.alias("due_us"),
         F.col("end.us").alias("ended_us"), F.col("end.what").alias("ended_by"),
         (F.col("end").isNull() & (due <= as_of_us)).alias("pending"),
-        F.when((due <= F.coalesce(F.col("end.us"), F.lit(as_of_us))) & ~muted, due).alias("escalated_us"),
         F.call_function("div", F.lit(as_of_us) - F.col("us"), F.lit(60 * timeline.SECOND)).alias("elapsed_minutes"),
-    )
+        (ran_out & ~muted).alias("ran_out"),
+    ), "escalations")
+    group = ["device_name", "mnemonic", "us"]
+    moments = out.where("ran_out").groupBy(*group).agg(F.min("seq").alias("seq"))
+    sent = timeline.throttle(moments, ["device_name", "mnemonic"], delay, width=width).where("kept").select(
+        *group, F.lit(True).alias("_sent"))
+    return out.join(sent, group, "left").withColumn(
+        "escalated_us", F.when(F.col("ran_out") & F.col("_sent"), F.col("due_us"))).drop("ran_out", "_sent")
 
 
 def open_escalations(alerts: DataFrame, as_of, delay_s: int = fixed.ESCALATION_DELAY,

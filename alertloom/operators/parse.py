@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import fixed
 from ..functions.text import rx
-from ..functions.times import ntz, parse_inner_ts
+from ..functions.times import build_inner_ts, inner_ts_parts
+from .once import compute_once
 
 # Fixed value: the syslog header. Groups: ip, hostname, location, inner time, facility,
 # subfacility, severity, mnemonic, message.
@@ -55,18 +56,19 @@ def parse_lines(lines: DataFrame, as_of, raw: str = "raw") -> DataFrame:
     ``as_of`` is a moment or a Column (the ingest time of each row in a stream).
     """
     guarded = F.when(F.length(raw) <= fixed.MAX_LINE_LEN, _header(F.col(raw)))
-    df = lines.withColumn("_h", guarded)
-    df = df.withColumn("timestamp", parse_inner_ts(F.get("_h", F.lit(3)), ntz(as_of)))
+    df = compute_once(lines, {"_h": guarded})
+    df = compute_once(df, {"_t": inner_ts_parts(F.get("_h", F.lit(3)))})
+    df = compute_once(df, {"timestamp": build_inner_ts(F.col("_t"), as_of)})
     cols = [F.get("_h", F.lit(i)).alias(n) for i, n in enumerate(_FIELDS)]
     df = df.select("*", *cols, _reason(F.col(raw), F.col("_h"), F.col("timestamp")).alias("reject_reason"))
     return df.withColumn("severity_level", F.col("severity").try_cast("int")).drop(
-        "_h", "inner_ts", "severity"
+        "_h", "_t", "inner_ts", "severity"
     )
 
 
 def parse(lines: DataFrame, as_of, raw: str = "raw") -> DataFrame:
     """P1+P2: the lines that parse."""
-    return parse_lines(lines, as_of, raw).where("reject_reason IS NULL").drop("reject_reason")
+    return parse_lines(lines, as_of, raw).where("timestamp IS NOT NULL").drop("reject_reason")
 
 
 def quarantine(lines: DataFrame, as_of, raw: str = "raw") -> DataFrame:

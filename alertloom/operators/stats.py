@@ -395,7 +395,7 @@ def device_list(device: DataFrame) -> DataFrame:
         "name", "r.ip", "r.hostname", "r.location", F.lit("unknown").alias("status"))
 
 
-def pipeline_metrics(decided: DataFrame) -> DataFrame:
+def event_metrics(decided: DataFrame) -> DataFrame:
     """``metric, label, value`` rows: events by class, suppressed events, notifications by channel.
 
     ``decided`` has classification, should_send, discord_ok, telegram_ok.
