@@ -3,6 +3,6 @@
 
 def load():
     """The registry with every query module imported."""
-    from . import folds, registry, rows  # noqa: F401
+    from . import folds, registry, rows, statistics, tables  # noqa: F401
 
     return registry

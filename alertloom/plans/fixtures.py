@@ -9,6 +9,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..operators.once import compute_once
+
 AS_OF_LINES = "2026-05-31 12:00:00"
 AS_OF = "2024-01-31 00:00:00"
 
@@ -268,8 +270,13 @@ def dim(spark: SparkSession, name: str) -> DataFrame:
 
 
 def lines(spark, sf_dir) -> DataFrame:
-    return derive(spark, sf_dir, LINES)
+    return _settled(derive(spark, sf_dir, LINES))
 
 
 def alerts(spark, sf_dir) -> DataFrame:
-    return derive(spark, sf_dir, ALERTS)
+    return _settled(derive(spark, sf_dir, ALERTS))
+
+
+def _settled(df: DataFrame) -> DataFrame:
+    """Columns behave like those of a stored table: their deriving expressions are not copied on."""
+    return compute_once(df, {c: F.col(c) for c in df.columns})
