@@ -9,19 +9,56 @@ from pyspark.sql import Column, functions as F
 from . import fixed
 
 
-def rx(pattern: str) -> str:
-    """Java flags that give a pattern the Unicode classes and newline rules it was written for."""
-    return "(?dU)" + pattern
+def rx(pattern: str, ascii_only: bool = False) -> str:
+    """A pattern with the character classes and newline rules it was written for.
+
+    Unicode letters, digits and spaces, the four separators \\x1c-\\x1f as space, and ``.`` that stops
+    at a line feed only. ``ascii_only`` is the faster equivalent for lines known to be plain ASCII
+    without those separators.
+    """
+    if ascii_only:
+        return "(?d)" + pattern
+    out, i, bracket = [], 0, False
+    while i < len(pattern):
+        pair = pattern[i:i + 2]
+        if pair in (r"\s", r"\S"):
+            inner = r"\s\x1c-\x1f"
+            out.append(inner if bracket else f"[{inner}]" if pair == r"\s" else f"[^{inner}]")
+            i += 2
+        elif pair[0] == "\\":
+            out.append(pair)
+            i += 2
+        else:
+            bracket = pair[0] == "[" or (bracket and pair[0] != "]")
+            out.append(pair[0])
+            i += 1
+    return "(?dU)" + "".join(out)
+
+
+def plain_ascii(c: Column) -> Column:
+    """True when :func:`rx` with ``ascii_only`` means the same for this text."""
+    odd = c.contains("\x1c") | c.contains("\x1d") | c.contains("\x1e") | c.contains("\x1f")
+    return (F.octet_length(c) == F.length(c)) & ~odd
 
 
 def blank_to_null(c: Column) -> Column:
     return F.nullif(c, F.lit(""))
 
 
+def group_or_blank(c: Column, pattern: str, literal: str | None = None) -> Column:
+    """Group 1 of the first match or ''; ``literal`` is a substring every match must contain."""
+    hit = F.regexp_extract(c, rx(pattern), 1)
+    return F.when(c.contains(literal), hit).otherwise("") if literal else hit
+
+
 def first_group(c: Column, pattern: str, literal: str | None = None) -> Column:
-    """Group 1 of the first match or NULL; ``literal`` is a substring every match must contain."""
-    hit = blank_to_null(F.regexp_extract(c, rx(pattern), 1))
-    return F.when(c.contains(literal), hit) if literal else hit
+    """Group 1 of the first match or NULL."""
+    return first_non_blank(group_or_blank(c, pattern, literal))
+
+
+def first_non_blank(*values: Column) -> Column:
+    """The first value that is not ''. Each is evaluated once, unlike with ``coalesce(nullif(...))``."""
+    return F.get(F.filter(F.array(*values), lambda v: v != ""), F.lit(0))
 
 
 def has_word(c: Column, word: str) -> Column:
@@ -30,20 +67,20 @@ def has_word(c: Column, word: str) -> Column:
 
 def extract_interface(message: Column) -> Column:
     """P5: interface name from the first pattern that matches, without trailing punctuation."""
-    hit = F.coalesce(*[first_group(message, p, lit) for lit, p in fixed.INTERFACE_PATTERNS])
+    hit = first_non_blank(*[group_or_blank(message, p, lit) for lit, p in fixed.INTERFACE_PATTERNS])
     return F.coalesce(F.rtrim(hit, F.lit(",.;:")), F.lit(""))
 
 
 def extract_neighbor(message: Column) -> Column:
-    return F.coalesce(first_group(message, fixed.NEIGHBOR_PATTERN, "neighbor"), F.lit(""))
+    return group_or_blank(message, fixed.NEIGHBOR_PATTERN, "neighbor")
 
 
 def extract_as_number(raw: Column) -> Column:
-    return first_group(raw, fixed.AS_PATTERN, "(AS").try_cast("bigint")
+    return group_or_blank(raw, fixed.AS_PATTERN, "(AS").try_cast("bigint")
 
 
 def extract_vrf(raw: Column) -> Column:
-    return F.coalesce(first_group(raw, fixed.VRF_PATTERN, "(VRF:"), F.lit(""))
+    return group_or_blank(raw, fixed.VRF_PATTERN, "(VRF:")
 
 
 def interface_in_message(message: Column) -> Column:
@@ -64,7 +101,7 @@ def normalise_interface(name: Column) -> Column:
 def derive_client(description: Column) -> Column:
     """The description, or its first token when it is longer than 50 characters."""
     return F.when(F.length(description) <= 50, description).otherwise(
-        F.regexp_extract(description, r"(?U)^[^\s/]*", 0)
+        F.regexp_extract(description, rx(r"^[^\s/]*"), 0)
     )
 
 

@@ -37,11 +37,14 @@ INNER_TS = r"^.*?(\w+)\s+(\d+)\s+(\d{2}):(\d{2}):(\d{2})(?:\.(\d+))?.*$"
 
 
 def inner_ts_parts(inner: Column) -> Column:
-    """month, day, hour, minute, second, fraction as text from one regex pass, or NULL."""
+    """``[mark, month, day, hour, minute, second, fraction]`` as text from one regex pass; an array
+    without the mark when nothing matches."""
     sep = "\x1f"
-    groups = sep.join(["\x1eTS", "$1", "$2", "$3", "$4", "$5", "$6"])
-    parts = F.split(F.regexp_replace(inner, rx(INNER_TS), groups), sep)
-    return F.when(F.get(parts, F.lit(0)) == "\x1eTS", F.slice(parts, 2, 6))
+    groups = sep.join([_TS_MARK, "$1", "$2", "$3", "$4", "$5", "$6"])
+    return F.split(F.regexp_replace(inner, rx(INNER_TS), groups), sep)
+
+
+_TS_MARK = "\x1eTS"
 
 
 def build_inner_ts(parts: Column, as_of) -> Column:
@@ -49,11 +52,11 @@ def build_inner_ts(parts: Column, as_of) -> Column:
 
     The day must exist both in the year of ``as_of`` and in the year the rollover rule picks.
     """
-    month = F.array_position(F.array(*[F.lit(m) for m in fixed.MONTHS]), F.get(parts, F.lit(0)))
+    month = F.array_position(F.array(*[F.lit(m) for m in fixed.MONTHS]), F.get(parts, F.lit(1)))
     month = F.nullif(month.cast("int"), F.lit(0))
-    day, hour, minute, second = (F.get(parts, F.lit(i)).try_cast("int") for i in (1, 2, 3, 4))
-    micro = F.rpad(F.substring(F.get(parts, F.lit(5)), 1, 6), 6, "0")
-    seconds = F.concat(F.get(parts, F.lit(4)), F.lit("."), micro).try_cast("decimal(16,6)")
+    day, hour, minute, second = (F.get(parts, F.lit(i)).try_cast("int") for i in (2, 3, 4, 5))
+    micro = F.rpad(F.substring(F.get(parts, F.lit(6)), 1, 6), 6, "0")
+    seconds = F.concat(F.get(parts, F.lit(5)), F.lit("."), micro).try_cast("decimal(16,6)")
     now = ntz(as_of)
     year, now_month = F.year(now), F.month(now)
     chosen = (
@@ -63,7 +66,7 @@ def build_inner_ts(parts: Column, as_of) -> Column:
     )
     exists = F.try_make_timestamp_ntz(year, month, day, hour, minute, F.lit(0).cast("decimal(16,6)")).isNotNull()
     return F.when(
-        (second <= 59) & exists, F.try_make_timestamp_ntz(chosen, month, day, hour, minute, seconds)
+        (F.get(parts, F.lit(0)) == _TS_MARK) & (second <= 59) & exists, F.try_make_timestamp_ntz(chosen, month, day, hour, minute, seconds)
     )
 
 

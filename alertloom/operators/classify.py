@@ -3,12 +3,10 @@
 from __future__ import annotations
 
 import re
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from ..functions import fixed
-from ..functions.text import rx
+from ..functions.text import plain_ascii, rx
 from ..functions.times import ntz
 from .once import compute_once
 from .parse import parse
@@ -23,11 +21,33 @@ def literal_prefix(pattern: str) -> str:
     return head[:-1] if rest[:1] in ("?", "*", "{") else head
 
 
-def _matches(raw: Column, pattern: str) -> Column:
+def _quoted(value: str) -> str:
+    """A raw SQL string literal."""
+    quote = '"' if "'" in value else "'"
+    return f"r{quote}{value}{quote}"
+
+
+def _matches(raw: str, pattern: str) -> str:
+    """SQL test whether the pattern occurs in ``raw``, after a cheap test for its literal head.
+
+    ``_tail`` is the text after the only ``%`` of the line (NULL when there are more or none), so a
+    head that begins with ``%`` is a prefix test.
+    """
     head = literal_prefix(pattern)
+    present = f"contains({raw}, {_quoted(head)})"
+    if head.startswith("%"):
+        present = f"coalesce(startswith(_tail, {_quoted(head[1:])}), {present})"
     if head == pattern:
-        return raw.contains(pattern)
-    return raw.contains(head) & raw.rlike(rx(pattern)) if head else raw.rlike(rx(pattern))
+        return present
+    found = (f"if(_ascii, {raw} RLIKE {_quoted(rx(pattern, ascii_only=True))}, "
+             f"{raw} RLIKE {_quoted(rx(pattern))})")
+    return f"if({present}, {found}, false)"
+
+
+def _rule_struct(rule) -> str:
+    return (f"named_struct('rule_id', {_quoted(rule.id)}, 'classification', {_quoted(rule.classification)}, "
+            f"'event_type', {_quoted(rule.event_type)}, 'notify', {str(rule.notify).lower()}, "
+            f"'summary_template', {_quoted(rule.summary_template)})")
 
 
 def classify(df: DataFrame, rules=fixed.RULES, default=fixed.UNKNOWN_RULE, raw: str = "raw") -> DataFrame:
@@ -35,16 +55,16 @@ def classify(df: DataFrame, rules=fixed.RULES, default=fixed.UNKNOWN_RULE, raw:
 
     The patterns run once to find the rule's ordinal; its columns are one array lookup.
     """
-    pairs = [(_matches(F.col(raw), r.pattern), F.lit(i)) for i, r in enumerate(rules)]
-    ordinal = reduce(lambda w, p: w.when(*p), pairs[1:], F.when(*pairs[0])).otherwise(F.lit(len(rules)))
-    table = F.array(*[
-        F.struct(F.lit(r.id).alias("rule_id"), F.lit(r.classification).alias("classification"),
-                 F.lit(r.event_type).alias("event_type"), F.lit(r.notify).alias("notify"),
-                 F.lit(r.summary_template).alias("summary_template"))
-        for r in [*rules, default]
-    ])
-    kept = [c for c in df.columns if c not in ("rule_id", "classification", "event_type", "notify", "summary_template")]
-    return compute_once(df.select(*kept), {"_rule": F.get(table, ordinal)}).select(*kept, "_rule.*")
+    text = F.col(raw)
+    after = F.substring_index(text, "%", -1)
+    only = F.length(text) - F.length(after) == F.instr(text, "%")
+    hints = compute_once(df, {"_tail": F.when(only & text.contains("%"), after), "_ascii": plain_ascii(text)})
+    cases = " ".join(f"WHEN {_matches(raw, r.pattern)} THEN {i}" for i, r in enumerate(rules))
+    table = ", ".join(_rule_struct(r) for r in [*rules, default])
+    rule = F.expr(f"get(array({table}), CASE {cases} ELSE {len(rules)} END)")
+    added = ("rule_id", "classification", "event_type", "notify", "summary_template")
+    kept = [c for c in df.columns if c not in added]
+    return compute_once(hints, {"_rule": rule}).select(*kept, "_rule.*")
 
 
 def reclassify(alerts: DataFrame, as_of, rules=fixed.RULES, days: int = 7, limit: int | None = None,

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import fixed
-from ..functions.text import rx
+from ..functions.text import plain_ascii, rx
 from ..functions.times import build_inner_ts, inner_ts_parts
 from .once import compute_once
 
@@ -25,27 +25,26 @@ _MARK = "\x1eHDR"
 
 
 def _header(raw: Column) -> Column:
-    """All header fields from one regex pass, as an array; NULL when the line does not match.
+    """``[mark, fields...]`` from one regex pass, or an array without the mark when nothing matches.
 
-    The pass rewrites the line to ``mark|field|...``. A line that already holds the separator or
-    the mark takes one extraction per field instead, so no input can forge a field.
+    The pass rewrites the line to ``mark|field|...``. Lines that are not plain ASCII, or that hold
+    the separator, take one extraction per field with the Unicode pattern instead, so no input can
+    forge a field.
     """
-    pattern = rx(HEADER)
     groups = _SEP.join([_MARK] + [f"${i}" for i in range(1, 10)])
-    parts = F.split(F.regexp_replace(raw, pattern, groups), _SEP, 10)
-    fast = F.when(F.get(parts, F.lit(0)) == _MARK, F.slice(parts, 2, 9))
+    fast = F.split(F.regexp_replace(raw, rx(HEADER, ascii_only=True), groups), _SEP, 10)
+    exact = rx(HEADER)
     slow = F.when(
-        raw.rlike(pattern), F.array(*[F.regexp_extract(raw, pattern, i) for i in range(1, 10)])
+        raw.rlike(exact), F.array(F.lit(_MARK), *[F.regexp_extract(raw, exact, i) for i in range(1, 10)])
     )
-    forged = raw.contains(_SEP) | raw.contains(_MARK)
-    return F.when(forged, slow).otherwise(fast)
+    return F.when(plain_ascii(raw), fast).otherwise(slow)
 
 
-def _reason(raw: Column, fields: Column, ts: Column) -> Column:
+def _reason(raw: Column, matched: Column, ts: Column) -> Column:
     return (
         F.when(raw.isNull() | ~raw.rlike(r"(?U)\S"), "empty")
         .when(F.length(raw) > fixed.MAX_LINE_LEN, "too_long")
-        .when(fields.isNull(), "no_match")
+        .when(~F.coalesce(matched, F.lit(False)), "no_match")
         .when(ts.isNull(), "bad_timestamp")
     )
 
@@ -57,10 +56,11 @@ def parse_lines(lines: DataFrame, as_of, raw: str = "raw") -> DataFrame:
     """
     guarded = F.when(F.length(raw) <= fixed.MAX_LINE_LEN, _header(F.col(raw)))
     df = compute_once(lines, {"_h": guarded})
-    df = compute_once(df, {"_t": inner_ts_parts(F.get("_h", F.lit(3)))})
+    matched = F.get("_h", F.lit(0)) == _MARK
+    df = compute_once(df, {"_t": F.when(matched, inner_ts_parts(F.get("_h", F.lit(4))))})
     df = compute_once(df, {"timestamp": build_inner_ts(F.col("_t"), as_of)})
-    cols = [F.get("_h", F.lit(i)).alias(n) for i, n in enumerate(_FIELDS)]
-    df = df.select("*", *cols, _reason(F.col(raw), F.col("_h"), F.col("timestamp")).alias("reject_reason"))
+    cols = [F.get("_h", F.lit(i)).alias(n) for i, n in enumerate(_FIELDS, 1)]
+    df = df.select("*", *cols, _reason(F.col(raw), matched, F.col("timestamp")).alias("reject_reason"))
     return df.withColumn("severity_level", F.col("severity").try_cast("int")).drop(
         "_h", "_t", "inner_ts", "severity"
     )

@@ -15,13 +15,18 @@ Positions are ``struct(us, seq)``: event time in microseconds, then the tie-brea
 
 from __future__ import annotations
 
+import sys
 from collections import deque
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
+# Executors need not have this package installed: its task functions travel with the job.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 SECOND = 1_000_000
 CHUNK_US = 3600 * SECOND
 

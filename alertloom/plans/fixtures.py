@@ -10,6 +10,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators.once import compute_once
+from ..session import spread
 
 AS_OF_LINES = "2026-05-31 12:00:00"
 AS_OF = "2024-01-31 00:00:00"
@@ -270,11 +271,11 @@ def dim(spark: SparkSession, name: str) -> DataFrame:
 
 
 def lines(spark, sf_dir) -> DataFrame:
-    return _settled(derive(spark, sf_dir, LINES))
+    return _settled(derive(spark, sf_dir, LINES, events=spread(table(spark, sf_dir, "events"))))
 
 
 def alerts(spark, sf_dir) -> DataFrame:
-    return _settled(derive(spark, sf_dir, ALERTS))
+    return _settled(derive(spark, sf_dir, ALERTS, events=spread(table(spark, sf_dir, "events"))))
 
 
 def _settled(df: DataFrame) -> DataFrame:

@@ -22,6 +22,8 @@ def build_session(app: str = "alertloom", master: str | None = None, **conf) ->
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        # Generated methods above 8000 bytes are never compiled by the JVM; fall back before that.
+        "spark.sql.codegen.hugeMethodLimit": "8000",
         "spark.sql.parquet.compression.codec": "zstd",
         **{k.replace("__", "."): v for k, v in conf.items()},
     }
@@ -50,3 +52,13 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     path = os.path.join(shared_dir(df.sparkSession), f"{label}-{uuid.uuid4().hex}")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Split a scan that has fewer splits than the cluster has cores.
+
+    A regex-heavy stage over one small file would run on one core. Large inputs have more splits
+    than cores and pass through unchanged, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
