@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from . import fixed
 from .text import rx
@@ -90,15 +90,29 @@ def period_bounds(period: str, as_of) -> tuple[dt.datetime | None, dt.datetime |
     return now - dt.timedelta(days={"7d": 7, "30d": 30, "1y": 365}[period]), None
 
 
-def in_period(ts: Column, period: str, as_of) -> Column:
-    """P22 as a pushable range predicate of literals."""
-    start, end = period_bounds(period, as_of)
-    cond = F.lit(True)
-    if start is not None:
-        cond = ts >= F.lit(start).cast("timestamp_ntz")
-    if end is not None:
-        cond = cond & (ts < F.lit(end).cast("timestamp_ntz"))
-    return cond
+def within(df: DataFrame, start=None, end=None, ts: str = "timestamp", closed: bool = False) -> DataFrame:
+    """Rows with ``start <= ts < end`` (``<= end`` if ``closed``); the bounds are literals or None.
+
+    A table partitioned by ``event_date`` gets the same bounds on that column, so only its folders of
+    the range are read; the bounds on ``ts`` reach the file footers.
+    """
+    lo = None if start is None else F.lit(as_datetime(start)).cast("timestamp_ntz")
+    hi = None if end is None else F.lit(as_datetime(end)).cast("timestamp_ntz")
+    if lo is not None:
+        df = df.where(F.col(ts) >= lo)
+    if hi is not None:
+        df = df.where(F.col(ts) <= hi if closed else F.col(ts) < hi)
+    if "event_date" in df.columns:
+        if start is not None:
+            df = df.where(F.col("event_date") >= F.lit(as_datetime(start).date()))
+        if end is not None:
+            df = df.where(F.col("event_date") <= F.lit(as_datetime(end).date()))
+    return df
+
+
+def in_period(df: DataFrame, period: str, as_of, ts: str = "timestamp") -> DataFrame:
+    """The rows of a named period."""
+    return within(df, *period_bounds(period, as_of), ts)
 
 
 def shift_of(ts: Column) -> Column:
@@ -119,3 +133,13 @@ def shift_of(ts: Column) -> Column:
         .when(minute < n1, shift(n, at(n0, -1), at(n1)))
         .otherwise(shift(n, at(n0), at(n1, 1)))
     )
+
+
+def shift_start(as_of) -> dt.datetime:
+    """P21 for one moment, as a literal bound."""
+    now = as_datetime(as_of)
+    day = now.replace(hour=0, minute=0, second=0, microsecond=0)
+    minute = now.hour * 60 + now.minute
+    starts = [m for _, m, _ in fixed.SHIFTS if m <= minute]
+    first = max(starts) if starts else max(m for _, m, _ in fixed.SHIFTS) - 1440
+    return day + dt.timedelta(minutes=first)

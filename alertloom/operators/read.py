@@ -10,7 +10,7 @@ from ..functions.times import in_period
 
 def period_filter(alerts: DataFrame, period: str, as_of) -> DataFrame:
     """P22."""
-    return alerts.where(in_period(F.col("timestamp"), period, as_of))
+    return in_period(alerts, period, as_of)
 
 
 def search_alerts(alerts: DataFrame, query: str = "", tab: str = "all") -> DataFrame:
@@ -42,7 +42,7 @@ def alerts_page(alerts: DataFrame, as_of, severity: str | None = None, device: s
     if device is not None:
         out = out.where(F.col("device_name") == device)
     if period is not None:
-        out = out.where(in_period(F.col("timestamp"), period, as_of))
+        out = in_period(out, period, as_of)
     return newest(out, "timestamp", "alert_id", limit, offset)
 
 

@@ -11,7 +11,7 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import fixed
-from ..functions.times import as_datetime, in_period, ntz, shift_of
+from ..functions.times import as_datetime, in_period, ntz, shift_of, shift_start, within
 from . import timeline
 
 CLASS_COLS = {c: ("login" if c == "USER_LOGIN" else c.lower()) for c in fixed.CLASSES}
@@ -32,15 +32,22 @@ def _zero_filled(grid: DataFrame, counts: DataFrame, on: list[str]) -> DataFrame
 
 def counts(alerts: DataFrame, period: str, as_of) -> DataFrame:
     """A1: one row with the five class counts, zero where a class is absent, and their total."""
-    return alerts.where(in_period(F.col("timestamp"), period, as_of)).agg(*class_counts()).select(
+    return in_period(alerts, period, as_of).agg(*class_counts()).select(
         F.lit(period).alias("period"), "*")
 
 
+def _day(alerts: DataFrame, date, days: int = 1) -> DataFrame:
+    start = as_datetime(f"{date} 00:00:00")
+    return within(alerts, start, start + dt.timedelta(days=days))
+
+
+def _last(alerts: DataFrame, as_of, **span) -> DataFrame:
+    return within(alerts, as_datetime(as_of) - dt.timedelta(**span))
+
+
 def daily_stats(alerts: DataFrame, date: str) -> DataFrame:
     """A2: class counts of one local day."""
-    day = alerts.where((F.col("timestamp") >= ntz(f"{date} 00:00:00"))
-                       & (F.col("timestamp") < ntz(f"{date} 00:00:00") + F.expr("INTERVAL '1' DAY")))
-    return day.agg(*class_counts()).select(F.lit(str(date)).alias("date"), "*")
+    return _day(alerts, date).agg(*class_counts()).select(F.lit(str(date)).alias("date"), "*")
 
 
 def weekly_stats(alerts: DataFrame, start: str) -> DataFrame:
@@ -48,27 +55,21 @@ def weekly_stats(alerts: DataFrame, start: str) -> DataFrame:
     first = F.to_date(F.lit(str(start)))
     grid = alerts.sparkSession.range(1).select(
         F.explode(F.sequence(first, F.date_add(first, 6))).alias("day"))
-    lo = ntz(f"{start} 00:00:00")
-    week = alerts.where((F.col("timestamp") >= lo) & (F.col("timestamp") < lo + F.expr("INTERVAL '7' DAY")))
-    got = week.groupBy(F.to_date("timestamp").alias("day")).agg(*class_counts())
+    got = _day(alerts, start, 7).groupBy(F.to_date("timestamp").alias("day")).agg(*class_counts())
     return _zero_filled(grid, got, ["day"]).withColumn("day", F.col("day").cast("string"))
 
 
 def device_stats(alerts: DataFrame, device: str, days: int, as_of) -> DataFrame:
     """A4: class counts of one device over the last ``days`` days, both ends inclusive."""
-    end = ntz(as_of)
-    rows = alerts.where(
-        (F.col("device_name") == device) & (F.col("timestamp") <= end)
-        & (F.col("timestamp") >= end - F.expr(f"INTERVAL '{days}' DAY")))
+    end = as_datetime(as_of)
+    rows = within(alerts, end - dt.timedelta(days=days), end, closed=True).where(F.col("device_name") == device)
     return rows.agg(*class_counts()).select(F.lit(device).alias("device_name"), "*")
 
 
 def device_stats_all(alerts: DataFrame, days: int, as_of) -> DataFrame:
     """A4 for every device at once."""
-    end = ntz(as_of)
-    rows = alerts.where((F.col("timestamp") <= end)
-                        & (F.col("timestamp") >= end - F.expr(f"INTERVAL '{days}' DAY")))
-    return rows.groupBy("device_name").agg(*class_counts())
+    end = as_datetime(as_of)
+    return within(alerts, end - dt.timedelta(days=days), end, closed=True).groupBy("device_name").agg(*class_counts())
 
 
 def hourly_stats(alerts: DataFrame, as_of, days: int = 7,
@@ -78,9 +79,8 @@ def hourly_stats(alerts: DataFrame, as_of, days: int = 7,
     ``as_of`` is local; the original cuts local face values at the UTC clock, so it starts
     ``offset_hours`` earlier. Pass 0 for an exact local cut.
     """
-    cutoff = ntz(as_of) - F.expr(f"INTERVAL '{offset_hours}' HOUR") - F.expr(f"INTERVAL '{days}' DAY")
     return (
-        alerts.where(F.col("timestamp") >= cutoff)
+        _last(alerts, as_of, days=days, hours=offset_hours)
         .groupBy("device_name", F.date_trunc("hour", "timestamp").cast("timestamp_ntz").alias("hour"))
         .agg(*[F.count_if(F.col("classification") == c).alias(f"{n}_count") for c, n in CLASS_COLS.items()])
     )
@@ -96,7 +96,7 @@ def upsert_hourly(stored: DataFrame, recomputed: DataFrame) -> DataFrame:
 def hour_of_day(alerts: DataFrame, period: str, as_of) -> DataFrame:
     """24 rows with the five class counts."""
     grid = alerts.sparkSession.range(24).select(F.col("id").cast("int").alias("hour"))
-    got = alerts.where(in_period(F.col("timestamp"), period, as_of)).groupBy(
+    got = in_period(alerts, period, as_of).groupBy(
         F.hour("timestamp").alias("hour")).agg(*class_counts()[:-1])
     return _zero_filled(grid, got, ["hour"])
 
@@ -104,7 +104,7 @@ def hour_of_day(alerts: DataFrame, period: str, as_of) -> DataFrame:
 def top_devices(alerts: DataFrame, period: str, as_of, n: int = 10) -> DataFrame:
     """The ``n`` busiest named devices, ties by name."""
     return (
-        alerts.where((F.col("device_name") != "") & in_period(F.col("timestamp"), period, as_of))
+        in_period(alerts, period, as_of).where(F.col("device_name") != "")
         .groupBy("device_name").agg(F.count("*").alias("cnt"))
         .orderBy(F.desc("cnt"), "device_name").limit(n)
     )
@@ -116,7 +116,7 @@ def heatmap(alerts: DataFrame, period: str, as_of) -> DataFrame:
         raise ValueError(f"invalid heatmap period {period!r}")
     grid = alerts.sparkSession.range(168).select(
         F.floor(F.col("id") / 24).cast("int").alias("day"), (F.col("id") % 24).cast("int").alias("hour"))
-    got = alerts.where(in_period(F.col("timestamp"), period, as_of)).groupBy(
+    got = in_period(alerts, period, as_of).groupBy(
         F.weekday("timestamp").alias("day"), F.hour("timestamp").alias("hour")).agg(F.count("*").alias("cnt"))
     return _zero_filled(grid, got, ["day", "hour"]).withColumn(
         "max_count", F.max("cnt").over(Window.partitionBy()))
@@ -143,7 +143,7 @@ def shift_counts(alerts: DataFrame, cards: DataFrame, as_of) -> DataFrame:
     """
     shift = shift_of(ntz(as_of))
     cls = F.col("classification")
-    since = alerts.where(F.col("timestamp") >= shift["start"]).agg(
+    since = within(alerts, shift_start(as_of)).agg(
         *[F.count_if(cls == c).alias(f"{c.lower()}_since_shift") for c in ("CRITICAL", "WARNING", "INFO")])
     unacked = cards.where(F.col("acknowledged_at").isNull()).agg(F.count("*"))
     return since.select(
@@ -167,8 +167,7 @@ def timeline_60(alerts: DataFrame, as_of, minutes: int = 60) -> DataFrame:
     first = last - dt.timedelta(minutes=minutes - 1)
     grid = alerts.sparkSession.range(1).select(F.explode(F.sequence(
         ntz(first), ntz(last), F.expr("INTERVAL '1' MINUTE"))).alias("minute"))
-    rows = alerts.where((F.col("timestamp") >= ntz(first))
-                        & (F.col("timestamp") < ntz(last + dt.timedelta(minutes=1))))
+    rows = within(alerts, first, last + dt.timedelta(minutes=1))
     got = rows.groupBy(F.date_trunc("minute", "timestamp").cast("timestamp_ntz").alias("minute")).agg(
         *class_counts()[:-1])
     return _zero_filled(grid, got, ["minute"])
@@ -274,10 +273,8 @@ def daily_digest(alerts: DataFrame, incidents: DataFrame, history: DataFrame, as
     date = as_datetime(as_of).date().isoformat()
     active = incidents.where("status = 'active'").agg(F.count("*"))
     flaps = flapping_peers(history, as_of, offset_hours)
-    lo = ntz(f"{date} 00:00:00")
-    rows = alerts.where((F.col("timestamp") >= lo) & (F.col("timestamp") < lo + F.expr("INTERVAL '1' DAY")))
     top = (
-        rows.groupBy("device_name").agg(F.count("*").alias("cnt"))
+        _day(alerts, date).groupBy("device_name").agg(F.count("*").alias("cnt"))
         .orderBy(F.desc("cnt"), "device_name").limit(5)
         .agg(F.array_sort(F.collect_list(F.struct((-F.col("cnt")).alias("c"), "device_name"))).alias("top"))
     )
@@ -319,8 +316,7 @@ def _statuses(alerts: DataFrame, nodes: DataFrame, device: DataFrame, as_of) ->
     """name -> status of every device name with alerts in 24 h."""
     cls = F.col("classification")
     worst = F.max(F.when(cls == "CRITICAL", 2).when(cls == "WARNING", 1).otherwise(0))
-    recent = alerts.where(F.col("timestamp") >= ntz(as_of) - F.expr("INTERVAL '24' HOUR"))
-    sev = recent.groupBy(F.col("device_name").alias("name")).agg(worst.alias("w"))
+    sev = _last(alerts, as_of, hours=24).groupBy(F.col("device_name").alias("name")).agg(worst.alias("w"))
     status = F.when(F.col("w") == 2, "critical").when(F.col("w") == 1, "warning").otherwise("ok")
     return _with_aliases(sev.select("name", status.alias("status")), _aliases(nodes, device))
 
@@ -340,9 +336,8 @@ def link_status(alerts: DataFrame, topology: DataFrame, nodes: DataFrame, device
     CRITICAL in 24 h, else warning when either end is critical or warning, else ok; unknown when
     neither end has alerts."""
     status = _statuses(alerts, nodes, device, as_of)
-    bad = alerts.where(
-        (F.col("classification") == "CRITICAL") & F.col("resolved_at").isNull()
-        & (F.col("timestamp") >= ntz(as_of) - F.expr("INTERVAL '24' HOUR")) & (F.col("interface_name") != "")
+    bad = _last(alerts, as_of, hours=24).where(
+        (F.col("classification") == "CRITICAL") & F.col("resolved_at").isNull() & (F.col("interface_name") != "")
     ).select(F.col("device_name").alias("name"), F.col("interface_name").alias("member")).distinct()
     hits = _with_aliases(bad, _aliases(nodes, device)).select(F.col("name").alias("source"), "member")
     ends = nodes.select("ip", F.col("name").alias("node"))

@@ -27,6 +27,6 @@ def parse_interface_lines(lines: DataFrame, text: str = "value", order: str = "l
 
 
 def load_interface_dim(spark: SparkSession, path: str) -> DataFrame:
-    """S8 from a text file; line order is the order of the file (one file, as the format demands)."""
-    lines = spark.read.option("wholetext", True).text(path).select(F.posexplode(F.split("value", "\n")).alias("line_no", "value"))
-    return parse_interface_lines(lines)
+    """S8 from text files. Lines are ordered by file, split offset and place within the split."""
+    order = F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id())
+    return parse_interface_lines(spark.read.text(path).select("value", order.alias("line_no")))

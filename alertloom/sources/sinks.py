@@ -28,26 +28,28 @@ def alert_rows(df: DataFrame) -> DataFrame:
 
 
 def write_alerts(df: DataFrame, path: str, ts: str = "timestamp") -> None:
-    """Append, one folder per event date. Rows are grouped by date and hour first, so a busy
-    date is written by many tasks and each task opens few files."""
-    dated = df.withColumn("event_date", F.to_date(ts))
-    dated.repartition("event_date", F.hour(ts)).write.mode("append").partitionBy("event_date").parquet(path)
+    """Append, one folder per event date."""
+    by_date(df, ts).write.mode("append").partitionBy("event_date").parquet(path)
+
+
+def by_date(df: DataFrame, ts: str = "timestamp") -> DataFrame:
+    """Rows gathered by event date for a partitioned write. Rebalancing splits a busy date over many
+    tasks and joins quiet ones, by measured size."""
+    return df.withColumn("event_date", F.to_date(ts)).hint("rebalance", "event_date")
 
 
 def replace_dates(spark: SparkSession, df: DataFrame, path: str, ts: str = "timestamp") -> None:
     """Replace the date folders that ``df`` touches. The rows are staged first, since they were
     usually computed from the very folders they replace."""
     stage = os.path.join(shared_dir(spark), f"stage-{uuid.uuid4().hex}")
-    dated = df.withColumn("event_date", F.to_date(ts))
-    dated.repartition("event_date", F.hour(ts)).write.partitionBy("event_date").parquet(stage)
+    by_date(df, ts).write.partitionBy("event_date").parquet(stage)
     staged = spark.read.parquet(stage)
     staged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("event_date").parquet(path)
 
 
 def export_view(alerts: DataFrame, period: str, as_of, limit: int = fixed.CSV_LIMIT) -> DataFrame:
     """S7 rows: the newest ``limit`` alerts of a period with the nine export columns as text."""
-    newest = alerts.where(in_period(F.col("timestamp"), period, as_of)).orderBy(
-        F.desc("timestamp"), F.desc("alert_id")).limit(limit)
+    newest = in_period(alerts, period, as_of).orderBy(F.desc("timestamp"), F.desc("alert_id")).limit(limit)
     micro = F.extract(F.lit("SECOND"), F.col("timestamp")) % 1 != 0
     iso = F.concat(F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss"),
                    F.when(micro, F.date_format("timestamp", ".SSSSSS")).otherwise(""))

@@ -15,6 +15,7 @@ from ..functions import fixed, text
 from ..functions.times import to_us
 from ..operators import classify, enrich, parse
 from ..operators.stats import CLASS_COLS
+from ..sources.sinks import by_date
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -33,9 +34,7 @@ def write_alert_stream(rows: DataFrame, path: str, checkpoint: str, available_no
     """
 
     def write(batch: DataFrame, number: int) -> None:
-        dated = batch.withColumn("event_date", F.to_date("timestamp"))
-        dated.repartition("event_date", F.hour("timestamp")).write.mode("overwrite").partitionBy(
-            "event_date").parquet(f"{path}/batch={number}")
+        by_date(batch).write.mode("overwrite").partitionBy("event_date").parquet(f"{path}/batch={number}")
 
     writer = rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
