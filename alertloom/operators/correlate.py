@@ -273,14 +273,16 @@ def mass_incidents(rows: DataFrame, width: int = CHUNK_US) -> DataFrame:
     )
 
 
-def correlate(df: DataFrame, topology: DataFrame, width: int = CHUNK_US) -> DataFrame:
+def correlate(df: DataFrame, topology: DataFrame, width: int = CHUNK_US, stored: bool = False) -> DataFrame:
     """``seq, us, source_ip, is_root_cause, is_symptom, is_independent, is_flapping,
     flap_count, suppress_notification, inc_kind, inc_key, inc`` per event.
 
     ``inc`` is the opening position of the event's incident, ``inc_kind`` is ``link`` or ``mass``
     and ``inc_key`` the link or device; ``bh_inc`` stays set when a mass result hides a link symptom.
+    The input is read several times: pass ``stored=True`` when it is a table already, else it is
+    written once.
     """
-    ev = materialize(df.select(*COLUMNS), "correlate-input")
+    ev = df.select(*COLUMNS) if stored else materialize(df.select(*COLUMNS), "correlate-input")
     link = materialize(symptoms(ev, topology, width=width), "correlate-link")
     mass = mass_bgp(ev, width=width).where("is_mass").select("seq", "is_mass")
     no = F.lit(False)

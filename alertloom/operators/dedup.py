@@ -83,7 +83,10 @@ def window_dedup(df: DataFrame, window_s: int = fixed.DEDUP_WINDOW) -> DataFrame
 
 def should_notify(df: DataFrame, window_s: int = fixed.DEDUP_WINDOW, flap_s: int = fixed.FLAP_WINDOW,
                   bundle_s: int = fixed.BUNDLE_WINDOW) -> DataFrame:
-    """``seq, should_send, reason`` per row: D1, then D2 and D3 over what D1 lets through."""
+    """``seq, should_send, reason`` per row: D1, then D2 and D3 over what D1 lets through.
+
+    Each step reads its input several times, so the narrow rows between steps are written once.
+    """
     if window_s <= 0:
         raise ValueError(f"window_s must be positive, got {window_s}")
     rows = materialize(_narrow(df), "dedup-input")

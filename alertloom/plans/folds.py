@@ -267,7 +267,7 @@ SELECT kind, key, CAST(inc % 100000000 AS BIGINT) AS seq,
     THEN 'expired' ELSE 'live' END AS fate FROM ids""", "ids", recursive=True))
 def _(spark, sf):
     ev = materialize(events(spark, sf), "q")
-    corr = materialize(correlate.correlate(ev, fx.dim(spark, "topo")), "q")
+    corr = materialize(correlate.correlate(ev, fx.dim(spark, "topo"), stored=True), "q")
     opens = correlate.resolve_on_recovery(
         correlate.incident_openings(corr), ev.where("is_recovery").select("seq", "us", "source_ip"))
     newest = ev.agg(F.max("us")).scalar()
@@ -277,7 +277,7 @@ def _(spark, sf):
 def incident_table(spark, sf):
     """(events with incident ids, openings with ids and resolution), both written once."""
     ev = materialize(events(spark, sf), "q")
-    corr = materialize(correlate.correlate(ev, fx.dim(spark, "topo")), "q")
+    corr = materialize(correlate.correlate(ev, fx.dim(spark, "topo"), stored=True), "q")
     return ev, *correlate.number_incidents(corr, ev.where("is_recovery").select("seq", "us", "source_ip"))
 
 

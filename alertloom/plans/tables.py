@@ -266,13 +266,18 @@ LINE_MUTED = MUTED.replace("maintenance", "line_windows")
 
 
 def decided(spark, sf):
-    """Events with every flag of a decision; MAXPFX muted, maintenance on, nothing acknowledged."""
-    ev, shown, _ = incident_table(spark, sf)
+    return decided_with_incidents(spark, sf)[0]
+
+
+def decided_with_incidents(spark, sf):
+    """(events with every flag of a decision, openings); MAXPFX muted, maintenance on, nothing
+    acknowledged."""
+    ev, shown, opens = incident_table(spark, sf)
     corr = shown.select("seq", "is_symptom", "suppress_notification", "incident_id")
     rows = ev.join(dedup.should_notify(ev), "seq").join(corr, "seq")
     rows = rows.withColumn("ack_muted", F.lit(False))
     rows = notify.under_maintenance(rows, fx.derive(spark, sf, LINE_WINDOWS))
-    return notify.will_notify(rows, maxpfx_enabled=False)
+    return notify.will_notify(rows, maxpfx_enabled=False), opens
 
 
 @query("n5_will_notify", check(f"""
@@ -379,11 +384,13 @@ CTES["esc_sent_src"] = (["esc_out"], f"""SELECT DISTINCT concat(device_name, '|'
 
 
 def escalation_inputs(spark, sf):
-    rows = materialize(decided(spark, sf), "q")
+    rows, opens = decided_with_incidents(spark, sf)
+    rows = materialize(rows.select("seq", "us", "device_name", "mnemonic", "bgp_neighbor", "interface_name",
+                                   "classification", "is_recovery", "notification_sent"), "q")
     tracked = rows.where("notification_sent AND classification = 'CRITICAL'")
     acks = tracked.where("seq % 7 = 0").select("device_name", "mnemonic", (F.col("us") + 400 * S).alias("us"))
     acks = acks.where(F.col("us") <= rows.agg(F.max("us")).scalar())
-    return rows, tracked, rows.where("is_recovery"), acks
+    return rows, tracked, rows.where("is_recovery"), acks, opens
 
 
 def _register_escalations():
@@ -397,7 +404,7 @@ FROM esc_out o LEFT JOIN esc_sent s ON s.k = concat(o.device_name, '|', o.mnemon
 
     @query("n8_escalations", sql)
     def _(spark, sf):
-        rows, tracked, recoveries, acks = escalation_inputs(spark, sf)
+        rows, tracked, recoveries, acks, _ = escalation_inputs(spark, sf)
         last = rows.agg(F.max("us")).first()[0]
         out = notify.escalations(tracked, recoveries, last, acks=acks)
         return out.select("seq", F.coalesce("ended_by", F.lit("")).alias("ended_by"),
@@ -413,8 +420,7 @@ SELECT what, count(*) AS n, CAST(sum(us % 1000003) AS BIGINT) AS us_sum FROM (
   SELECT what, us FROM esc_events UNION ALL SELECT 'ack', us FROM esc_acks
   UNION ALL SELECT 'clear', CAST(resolved_us AS BIGINT) FROM ids WHERE resolved_us IS NOT NULL) x GROUP BY what""", "esc_events", "esc_acks", recursive=True))
 def _(spark, sf):
-    _, tracked, recoveries, acks = escalation_inputs(spark, sf)
-    _, _, opens = incident_table(spark, sf)
+    _, tracked, recoveries, acks, opens = escalation_inputs(spark, sf)
     clears = opens.where("resolved_us IS NOT NULL").select(
         F.col("device_ip").alias("device_name"), F.col("resolved_us").alias("us"), F.col("resolved_by").alias("seq"))
     return notify.escalation_events(tracked, recoveries, clears, acks).groupBy("what").agg(
