@@ -243,7 +243,8 @@ def prefix_forecast(df: DataFrame, current: str = "current_count", limit: str =
 
 
 def peer_growth(maxpfx: DataFrame) -> DataFrame:
-    """A14 input per device and peer: newest count and limit, and prefixes per day by regression."""
+    """A14 input per device and peer: newest count and limit, and prefixes per day by regression (0
+    for a peer with a single reading)."""
     day = F.col("us") / F.lit(86_400.0 * timeline.SECOND)
     newest = F.struct("us", "seq")
     return maxpfx.groupBy("device_name", "peer").agg(
@@ -422,7 +423,7 @@ def staleness(events: DataFrame, as_of_us: int, after_s: int = fixed.STALE_AFTER
     inner = Window.partitionBy("chunk").orderBy("us")
     gaps = rows.withColumn("prev", F.lag("us").over(inner)).where(F.col("us") - F.col("prev") > limit)
     ends = rows.groupBy("chunk").agg(F.min("us").alias("a"), F.max("us").alias("z"))
-    across = ends.withColumn("nxt", F.coalesce(F.lead("a").over(Window.orderBy("chunk")), F.lit(None).cast("bigint")))
+    across = ends.withColumn("nxt", F.lead("a").over(Window.orderBy("chunk")))
     across = across.where(
         (F.coalesce("nxt", F.lit(as_of_us)) - F.col("z")) > limit
     ).select(F.col("z").alias("prev"), F.col("nxt").alias("us"))

@@ -184,7 +184,7 @@ def _(spark, sf):
 
 @query("a14_peer_growth", check(r"""
 SELECT device_name, peer, arg_max(c, (us, seq)) AS current_count, arg_max(mx, (us, seq)) AS max_count,
-  round(coalesce(regr_slope(c, us / 86400000000.0), 0), 4) AS growth_rate
+  round(CASE WHEN count(DISTINCT us) > 1 THEN regr_slope(c, us / 86400000000.0) ELSE 0 END, 4) AS growth_rate
 FROM (SELECT device_name, event_id AS seq, us, regexp_extract(message, 'from (\S+)', 1) AS peer,
   CAST(regexp_extract(message, 'reached (\d+)', 1) AS BIGINT) AS c, CAST(regexp_extract(message, 'max (\d+)', 1) AS BIGINT) AS mx
   FROM enriched WHERE mnemonic = 'MAXPFX') x GROUP BY 1, 2""", "enriched"))
