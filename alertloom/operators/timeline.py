@@ -227,6 +227,17 @@ def _composer(window_us: int, schema: pa.Schema):
     return run
 
 
+def _together(df: DataFrame, *cols: str) -> DataFrame:
+    """Rows with equal ``cols`` in one partition, by an exchange of its own.
+
+    ``repartition(*cols)`` would be dropped after a join on the same columns, and the join may then
+    be turned into a broadcast join that reads its shuffle locally. Task functions state no
+    distribution, so nothing would restore it. No operator promises a hash of the columns, so this
+    exchange always stays.
+    """
+    return df.repartition(F.xxhash64(*cols))
+
+
 def throttle(df: DataFrame, keys: list[str], window_us: int, reset: Column | None = None,
              us: str = "us", seq: str = "seq", width: int = CHUNK_US) -> DataFrame:
     """Adds ``kept``: a row is kept iff it comes more than ``window_us`` after the last kept one.
@@ -257,13 +268,13 @@ def throttle(df: DataFrame, keys: list[str], window_us: int, reset: Column | Non
                              ("_next_chunk", pa.int64()), ("bound", pa.int64()), ("exit", pa.int64())])
     tails = (
         rows.select("_k", "_chunk", us, "_reset").join(links, ["_k", "_chunk"])
-        .repartition("_k", "_chunk").sortWithinPartitions("_k", "_chunk", us)
+        .transform(_together, "_k", "_chunk").sortWithinPartitions("_k", "_chunk", us)
         .mapInArrow(_summariser(window_us, width, us, tail_schema),
                     "_k string, _chunk bigint, _linked_in boolean, _next_chunk bigint, bound bigint, exit bigint")
     )
     seed_schema = pa.schema([("_k", pa.string()), ("_chunk", pa.int64()), (us, pa.int64())])
     seeds = (
-        tails.repartition("_k").sortWithinPartitions("_k", "_chunk", "bound")
+        tails.transform(_together, "_k").sortWithinPartitions("_k", "_chunk", "bound")
         .mapInArrow(_composer(window_us, seed_schema), f"_k string, _chunk bigint, {us} bigint")
         .withColumn("_seed", F.lit(True))
     )
@@ -271,6 +282,6 @@ def throttle(df: DataFrame, keys: list[str], window_us: int, reset: Column | Non
     return (
         rows.withColumn("_seed", F.lit(False))
         .unionByName(seeds, allowMissingColumns=True)
-        .repartition("_k", "_chunk").sortWithinPartitions("_k", "_chunk", us, seq)
+        .transform(_together, "_k", "_chunk").sortWithinPartitions("_k", "_chunk", us, seq)
         .mapInArrow(_keeper(window_us, us), out_schema)
     )

@@ -47,6 +47,25 @@ def test_throttle_periodic_chains_never_merge(spark):
     assert {r.seq for r in got.where("kept").collect()} == set(range(0, 3000, 40))
 
 
+def test_throttle_when_a_join_turns_into_a_broadcast_at_run_time(spark):
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "10MB",
+            "spark.sql.execution.arrow.maxRecordsPerBatch": "100"}
+    old = {k: spark.conf.get(k, None) for k in conf}
+    rows = [("hot", us * 10 + us % 7, us, False) for us in range(20_000)]
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        df = spark.createDataFrame(rows, "k string, us bigint, seq bigint, r boolean").repartition(8)
+        got = timeline.throttle(df, ["k"], 3000, width=12_345)
+        assert {r.seq for r in got.where("kept").collect()} == _throttle_loop(rows, 3000)
+        # All three task functions sit on an exchange that no join can make redundant.
+        plan = got._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("RepartitionByExpression [xxhash64(") == 3
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 @pytest.mark.parametrize("seed,width", [(1, 50), (2, 11), (3, 1000)])
 def test_count_recent(spark, seed, width):
     rng = random.Random(seed)
