@@ -41,7 +41,7 @@ RUN_BYTES = 8 << 20
 STEP = 1 << 19
 LOWEST = -(1 << 63)
 OUT = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, starts array<bigint>, ends array<bigint>"
-REPLY = "run int, bucket int, answer binary"
+REPLY = "run int, bucket int, n int, answer binary"
 
 
 def _sliding_least(x: np.ndarray, width: int) -> np.ndarray:
@@ -59,16 +59,18 @@ def anchors(data: np.ndarray, offsets: np.ndarray, sums: np.ndarray):
     n = len(data)
     if n < LENGTH:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    at = np.arange(n - ANCHOR + 1)
-    grams = tokens.span_hashes(sums, at, at + ANCHOR, tokens.BYTE_BASE)
+    grams = tokens.gram_hashes(sums, ANCHOR)
     # The place in the low bits makes the leftmost of equal hashes the least; a piece may be one long text.
     bits = np.uint64(max(1, int(n).bit_length()))
-    least = _sliding_least((grams >> bits << bits) | at.astype(np.uint64), LENGTH - ANCHOR + 1)
-    size = np.diff(offsets)
-    start = np.arange(n - LENGTH + 1)
-    text = np.repeat(np.arange(len(size)), size)
-    start = start[offsets[text[:len(start)] + 1] >= start + LENGTH]
-    place = (least[start] & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
+    low = (np.uint64(1) << bits) - np.uint64(1)
+    least = grams & ~low
+    least |= np.arange(len(grams), dtype=np.uint64)
+    least = _sliding_least(least, LENGTH - ANCHOR + 1)
+    inside = np.ones(n - LENGTH + 1, bool)
+    for end in offsets[1:-1].tolist():
+        inside[max(0, end - LENGTH + 1):end] = False
+    start = np.flatnonzero(inside)
+    place = (least[start] & low).astype(np.int64)
     return start, place, grams[place]
 
 
@@ -76,6 +78,7 @@ class Run:
     """The strings of a run that repeat in it or whose anchor another run has, and its elements."""
 
     def __init__(self, table: pa.Table):
+        table = table.sort_by("doc_id")  # so places ascend with (id, row, start)
         self.column = table.column("text").combine_chunks()
         self.ids = table.column("doc_id").to_numpy()
 
@@ -121,20 +124,18 @@ class Run:
         self.start, place, own = join(start, np.int64), join(place, np.int64), join(own, np.int32)
         h, shared = join(h, np.uint64), join(shared, bool)
         # One of equal strings is first: that of the smallest id, then row, then start. Ids that are equal are not earlier.
-        _, self.kind = np.unique(h, return_inverse=True)
+        order = np.argsort(h, kind="stable")
+        h = h[order]
+        first = np.ones(len(h), bool)
+        first[1:] = h[1:] != h[:-1]
         del h
-        ids = self.ids[own]
-        order = np.lexsort((own, ids, self.kind))  # stable: starts ascend
-        k, i, r = self.kind[order], ids[order], own[order]
-        first = np.ones(len(k), bool)
-        first[1:] = k[1:] != k[:-1]
-        least = np.maximum.accumulate(np.where(first, np.arange(len(k)), 0)) if len(k) else np.zeros(0, np.int64)
-        later = i > i[least]
-        same_row = np.zeros(len(k), bool)
-        same_row[1:] = ~first[1:] & (r[1:] == r[:-1])
-        self.later = np.zeros(len(k), bool)
-        self.later[order] = later | same_row
-        lead = np.zeros(len(k), bool)
+        ids, r = self.ids[own[order]], own[order]
+        later = ids > ids[np.maximum.accumulate(np.where(first, np.arange(len(r)), 0))] if len(r) else np.zeros(0, bool)
+        later[1:] |= ~first[1:] & (r[1:] == r[:-1])
+        self.later, self.kind = np.empty(len(r), bool), np.empty(len(r), np.int32)
+        self.later[order] = later
+        self.kind[order] = np.cumsum(first, dtype=np.int32) - 1
+        lead = np.zeros(len(r), bool)
         lead[order[first]] = True
         lead &= shared
         # Elements: leading strings that follow each other in a row with one anchor.
@@ -143,17 +144,22 @@ class Run:
         new = np.ones(len(at), bool)
         new[1:] = (s[1:] != s[:-1] + 1) | (a[1:] != a[:-1]) | (own[at][1:] != own[at][:-1])
         begin = np.flatnonzero(new)
-        self.strings = np.split(at, begin[1:]) if len(at) else []
-        low, high, anchor = s[begin], s[np.append(begin[1:], len(at)) - 1] if len(at) else s[begin], a[begin]
+        #: Strings of each element: those from begin to end of ``leading``.
+        self.leading, self.begin, self.end = at, begin, np.append(begin[1:], len(at))[:len(begin)]
+        self.low, self.high, self.anchor = s[begin], s[self.end - 1], a[begin]
+
+    def elements(self) -> list[tuple[bytes, bytes]]:
+        """(suffix, left part) of every element."""
         text = b"".join(data.tobytes() for _, _, data, _ in self.pieces())
-        self.elements = [(text[p:y + LENGTH], text[x:p]) for x, y, p in zip(low.tolist(), high.tolist(), anchor.tolist())]
+        return [(text[p:y + LENGTH], text[x:p]) for x, y, p in zip(self.low.tolist(), self.high.tolist(), self.anchor.tolist())]
+
 
-    def dealt(self, cuts: list[bytes]) -> dict[int, list[int]]:
-        """Numbers of the elements of each range of the key space, in suffix order; one gram's suffixes share a range."""
-        out: dict[int, list[int]] = {}
-        for i in sorted(range(len(self.elements)), key=self.elements.__getitem__):
-            out.setdefault(bisect_right(cuts, self.elements[i][0][:ANCHOR]), []).append(i)
-        return out
+def dealt(elements: list[tuple[bytes, bytes]], cuts: list[bytes]) -> dict[int, list[int]]:
+    """Numbers of the elements of each range of the key space, in suffix order; one gram's suffixes share a range."""
+    out: dict[int, list[int]] = {}
+    for i in sorted(range(len(elements)), key=elements.__getitem__):
+        out.setdefault(bisect_right(cuts, elements[i][0][:ANCHOR]), []).append(i)
+    return out
 
 
 def shared_prefix(a: bytes, b: bytes, known: int) -> int:
@@ -176,14 +182,13 @@ def front_code(elements: list[tuple[bytes, bytes]]) -> bytes:
         lengths += bytes((common, len(suffix), len(left)))
         texts += (suffix[common:], left)
         last = suffix
-    return len(elements).to_bytes(4, "little") + bytes(lengths) + b"".join(texts)
+    return bytes(lengths) + b"".join(texts)
 
 
-def read_front_coded(block: bytes):
-    """(suffix, prefix shared with the suffix before, left part) of a block, one at a time."""
-    n = int.from_bytes(block[:4], "little")
-    at, last = 4 + 3 * n, b""
-    for i in range(4, 4 + 3 * n, 3):
+def read_front_coded(block: bytes, n: int):
+    """(suffix, prefix shared with the suffix before, left part) of a block of ``n``, one at a time."""
+    at, last = 3 * n, b""
+    for i in range(0, 3 * n, 3):
         common, size, before = block[i], block[i + 1], block[i + 2]
         last = last[:common] + block[at:at + size - common]
         at += size - common
@@ -191,7 +196,7 @@ def read_front_coded(block: bytes):
         at += before
 
 
-def merge(blocks: list[bytes]):
+def merge(blocks: list[tuple[bytes, int]]):
     """(suffix, prefix shared with the one before, left part, block, number in it) of all blocks in suffix order.
 
     A loser tree: an inner node holds the loser of its match with the prefix it shares with the winner.
@@ -200,7 +205,7 @@ def merge(blocks: list[bytes]):
     size = 1
     while size < count:
         size *= 2
-    source = [read_front_coded(b) for b in blocks] + [iter(())] * (size - count)
+    source = [read_front_coded(*b) for b in blocks] + [iter(())] * (size - count)
     number = [-1] * size
     head: list = [None] * size   # suffix; None is after all others
     left: list = [b""] * size
@@ -292,12 +297,9 @@ def earlier_strings(group: list[tuple[int, int, bytes, bytes]], flags: dict[int,
         flags[k][number] = mark[first[i]:first[i] + strings[i]]
 
 
-def compare(blocks: list[bytes]) -> list[bytes]:
+def compare(blocks: list[tuple[bytes, int]]) -> list[bytes]:
     """For each block, a flag for each string of its elements in order: whether an earlier block has it."""
-    flags: list[list] = []
-    for b in blocks:
-        n = int.from_bytes(b[:4], "little")
-        flags.append([np.zeros(b[i + 1] + b[i + 2] - LENGTH + 1, np.uint8) for i in range(4, 4 + 3 * n, 3)])
+    flags: list[list] = [[np.zeros(b[i + 1] + b[i + 2] - LENGTH + 1, np.uint8) for i in range(0, 3 * n, 3)] for b, n in blocks]
     waiting: list = []
     group: list = []
     strings = 0
@@ -364,18 +366,23 @@ def deduplicate(docs: DataFrame, run_bytes: int = RUN_BYTES) -> DataFrame:
     def send(table: pa.Table, replies: pa.Table) -> pa.Table:
         run = Run(table)
         run.study(flags_of(replies))
-        parts = run.dealt(cuts)
+        elements = run.elements()
+        parts = dealt(elements, cuts)
+        # The numbers of the elements go along and come back, so the run need not sort again.
         return pa.table({
             "run": pa.array([table.column("run")[0].as_py()] * len(parts), pa.int32()), "bucket": pa.array(list(parts), pa.int32()),
-            "answer": pa.array([front_code([run.elements[i] for i in x]) for x in parts.values()], pa.binary())})
+            "n": pa.array([len(x) for x in parts.values()], pa.int32()),
+            "answer": pa.array([np.array(x, np.int32).tobytes() + front_code([elements[i] for i in x]) for x in parts.values()], pa.binary())})
 
     def merge_range(table: pa.Table) -> pa.Table:
         table = table.sort_by("run")
-        found = compare([x.as_py() for x in table.column("answer")])
+        sent = [x.as_py() for x in table.column("answer")]
+        sizes = table.column("n").to_pylist()
+        found = [x[:4 * n] + flags for x, n, flags in zip(sent, sizes, compare([(x[4 * n:], n) for x, n in zip(sent, sizes)]))]
         # Ranges have negative numbers among the answers, so a run tells them from the buckets.
         return pa.table({"run": table.column("run").cast(pa.int32()),
                          "bucket": pa.array([-1 - b for b in table.column("bucket").to_pylist()], pa.int32()),
-                         "answer": pa.array(found, pa.binary())})
+                         "n": table.column("n").cast(pa.int32()), "answer": pa.array(found, pa.binary())})
 
     def finish(table: pa.Table, replies: pa.Table) -> pa.Table:
         bucket = replies.column("bucket").to_numpy()
@@ -383,10 +390,13 @@ def deduplicate(docs: DataFrame, run_bytes: int = RUN_BYTES) -> DataFrame:
         run.study(flags_of(replies.filter(pa.array(bucket >= 0))))
         gone = run.later
         known_kind = np.zeros(int(run.kind.max()) + 1 if len(run.kind) else 0, bool)
-        ranges = {-1 - b: x.as_py() for b, x in zip(bucket.tolist(), replies.column("answer")) if b < 0}
-        for part, elements in run.dealt(cuts).items():
-            strings = np.concatenate([run.strings[i] for i in elements])
-            found = np.unpackbits(np.frombuffer(ranges[part], np.uint8))[:len(strings)].astype(bool)
+        for b, n, answer in zip(bucket.tolist(), replies.column("n").to_pylist(), replies.column("answer")):
+            if b >= 0:
+                continue
+            elements = np.frombuffer(answer.as_py()[:4 * n], np.int32)
+            size = (run.end - run.begin)[elements]
+            strings = run.leading[np.arange(int(size.sum())) + np.repeat(run.begin[elements] - (np.cumsum(size) - size), size)]
+            found = np.unpackbits(np.frombuffer(answer.as_py()[4 * n:], np.uint8))[:len(strings)].astype(bool)
             known_kind[run.kind[strings[found]]] = True
         start = run.start[gone | known_kind[run.kind]] if len(gone) else run.start
         out = []
@@ -397,7 +407,7 @@ def deduplicate(docs: DataFrame, run_bytes: int = RUN_BYTES) -> DataFrame:
                 low, high = tokens.spans_of(lost[a:b])
                 out.append((b - a, int(lost[a:b].sum()), len(low),
                             hashlib.sha256(data[a:b][~lost[a:b]].tobytes()).hexdigest(), low.tolist(), high.tolist()))
-        ids = [None if i == LOWEST else i for i in table.column("doc_id").to_pylist()]
+        ids = [None if i == LOWEST else i for i in run.ids.tolist()]
         cols = list(zip(*out)) if out else [[]] * 6
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int64())]
         return pa.table({"doc_id": pa.array(ids, pa.int64())} | {
@@ -405,7 +415,7 @@ def deduplicate(docs: DataFrame, run_bytes: int = RUN_BYTES) -> DataFrame:
 
     sent = runs.rows.groupBy("run").cogroup(known.groupBy("run")).applyInArrow(send, REPLY)
     reported = sent.groupBy("bucket").applyInArrow(merge_range, REPLY)
-    return runs.rows.groupBy("run").cogroup(known.unionByName(reported).groupBy("run")).applyInArrow(finish, OUT)
+    return runs.rows.groupBy("run").cogroup(known.withColumn("n", F.lit(0)).select("run", "bucket", "n", "answer").unionByName(reported).groupBy("run")).applyInArrow(finish, OUT)
 
 
 def op1_suffix_merge_dedup(docs: DataFrame) -> DataFrame:

@@ -116,6 +116,15 @@ def span_hashes(p: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int)
     return mix((p[ends] - p[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
 
 
+def gram_hashes(p: np.ndarray, length: int) -> np.ndarray:
+    """:func:`span_hashes` of every ``length`` consecutive places, without gathering."""
+    n = max(0, len(p) - length)
+    h = p[length:length + n] - p[:n]
+    h *= powers(pow(BYTE_BASE, -1, 1 << 64), n)
+    h += np.uint64(length)
+    return mix(h)
+
+
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return span_hashes(prefix_sums(BYTE_CODE[data], BYTE_BASE), starts, ends, BYTE_BASE)
 
@@ -139,10 +148,8 @@ def window_hashes(hashes: np.ndarray, first: np.ndarray, length: int):
 
 def cover(starts: np.ndarray, ends: np.ndarray, n: int) -> np.ndarray:
     """Which of n places lie in a span."""
-    step = np.zeros(n + 1, np.int64)
-    np.add.at(step, starts, 1)
-    np.add.at(step, ends, -1)
-    return np.cumsum(step[:-1]) > 0
+    step = np.bincount(starts, minlength=n + 1) - np.bincount(ends, minlength=n + 1)
+    return np.cumsum(step[:n]) > 0
 
 
 def spans_of(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -82,8 +82,8 @@ def test_merge_of_front_coded_runs():
     rnd = random.Random(1)
     word = lambda: bytes(rnd.choices(b"ab", k=rnd.randint(100, 120)))
     runs = [sorted((word(), word()[:5]) for _ in range(rnd.randint(0, 40))) for _ in range(7)]
-    blocks = [suffixes.front_code(r) for r in runs]
-    assert [[(s, x) for s, _, x in suffixes.read_front_coded(b)] for b in blocks] == runs
+    blocks = [(suffixes.front_code(r), len(r)) for r in runs]
+    assert [[(s, x) for s, _, x in suffixes.read_front_coded(*b)] for b in blocks] == runs
     got = list(suffixes.merge(blocks))
     assert [x[0] for x in got] == sorted(s for r in runs for s, _ in r)
     last = b""
