@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 RANKS = "byte_bpe_50k.tiktoken"
 #: Words of the second map, longest of them in bytes, and texts they are counted in.
-WORDS, LONGEST, SAMPLE = 100_000, 40, 20_000
+WORDS, LONGEST, SAMPLE = 200_000, 40, 40_000
 LATIN = "ISO-8859-1"
 
 
@@ -41,42 +41,47 @@ class Literal:
         # One JSON literal, which the optimizer parses once, is quicker to plan than a literal for each entry.
         self.parts = F.from_json(F.lit(json.dumps(parts)), f"array<map<string,{kind}>>")
 
-    def get(self, key: Column) -> Column:
-        """The value of ``key``, or null."""
-        return F.element_at(self.parts, (F.pmod(F.xxhash64(key), F.lit(self.size)) + 1).cast("int"))[key]
+    def bind(self, body) -> Column:
+        """``body`` of a function that looks keys up (null if absent); the literal stands once in the expression."""
+        def look_in(parts):
+            return body(lambda key: F.element_at(parts, (F.pmod(F.xxhash64(key), F.lit(self.size)) + 1).cast("int"))[key])
+
+        return _let(self.parts, look_in)
 
 
 def _let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def fold(word: Column, ranks: Literal) -> Column:
-    """Ids of a word (one character a byte) as text."""
+def fold(word: Column, rank) -> Column:
+    """Ids of a word (one character a byte) as text; ``rank`` looks a piece up.
+
+    The state is the pieces, the ranks of neighbours and the place of the lowest rank, null when none is left.
+    """
     n = F.length(word)
     pieces = F.transform(F.sequence(F.lit(1), n), lambda i: F.substring(word, i, F.lit(1)))
-    pairs = F.transform(F.sequence(F.lit(1), n - 1), lambda i: ranks.get(F.substring(word, i, F.lit(2))))
+    pairs = F.transform(F.sequence(F.lit(1), n - 1), lambda i: rank(F.substring(word, i, F.lit(2))))
+    none = F.array().cast("array<int>")
 
-    def join(acc, i):
-        p, r = acc["p"], acc["r"]
-        one = F.concat(F.element_at(p, i), F.element_at(p, i + 1))
+    def state(p, r):
+        return _let(r, lambda r: F.struct(
+            p.alias("p"), r.alias("r"), F.array_position(r, F.array_min(r)).cast("int").alias("i")))
 
+    def join(p, r, i):
         def joined(m):
-            none = F.array().cast("array<int>")
-            before = F.when(i > 1, F.array(ranks.get(F.concat(F.element_at(p, i - 1), m)))).otherwise(none)
-            after = F.when(i + 1 < F.size(p), F.array(ranks.get(F.concat(m, F.try_element_at(p, i + 2))))).otherwise(none)
-            return F.struct(
-                F.concat(F.slice(p, F.lit(1), i - 1), F.array(m), F.slice(p, i + 2, F.size(p))).alias("p"),
-                F.concat(F.slice(r, F.lit(1), F.greatest(F.lit(0), i - 2)), before, after, F.slice(r, i + 2, F.size(p))).alias("r"))
+            before = F.when(i > 1, F.array(rank(F.concat(F.element_at(p, i - 1), m)))).otherwise(none)
+            after = F.when(i + 1 < F.size(p), F.array(rank(F.concat(m, F.try_element_at(p, i + 2))))).otherwise(none)
+            return state(F.concat(F.slice(p, F.lit(1), i - 1), F.array(m), F.slice(p, i + 2, F.size(p))),
+                         F.concat(F.slice(r, F.lit(1), F.greatest(F.lit(0), i - 2)), before, after, F.slice(r, i + 2, F.size(p))))
 
-        return _let(one, joined)
+        return _let(F.concat(F.element_at(p, i), F.element_at(p, i + 1)), joined)
 
     def step(acc, _):
-        return F.when(F.array_min(acc["r"]).isNull(), acc).otherwise(
-            _let(F.array_position(acc["r"], F.array_min(acc["r"])).cast("int"), lambda i: join(acc, i)))
+        return F.when(acc["i"].isNull(), acc).otherwise(join(acc["p"], acc["r"], acc["i"]))
 
-    merged = F.aggregate(F.sequence(F.lit(1), n - 1), F.struct(pieces.alias("p"), pairs.alias("r")), step, lambda acc: acc["p"])
+    merged = F.aggregate(F.sequence(F.lit(1), n - 1), state(pieces, pairs), step, lambda acc: acc["p"])
     parts = F.when(n > 1, merged).otherwise(F.array(word))
-    return F.array_join(F.transform(parts, lambda p: ranks.get(p).cast("string")), " ")
+    return F.array_join(F.transform(parts, lambda p: rank(p).cast("string")), " ")
 
 
 class Tokenizer:
@@ -94,10 +99,9 @@ class Tokenizer:
     def split(self, text: Column) -> Column:
         return F.regexp_extract_all(F.coalesce(text.cast("string"), F.lit("")), F.lit(self.pattern), F.lit(0))
 
-    def word_ids(self, word: Column) -> Column:
-        latin = F.decode(F.encode(word, "UTF-8"), LATIN)
-        whole = self.rank_map.get(latin).cast("string")
-        return F.coalesce(whole, _let(latin, lambda w: fold(w, self.rank_map)))
+    @staticmethod
+    def _word_ids(word: Column, rank) -> Column:
+        return _let(F.decode(F.encode(word, "UTF-8"), LATIN), lambda w: F.coalesce(rank(w).cast("string"), fold(w, rank)))
 
     def learn_words(self, docs: DataFrame, words: int = WORDS, sample: int = SAMPLE) -> "Tokenizer":
         """Encode the most frequent words of a hashed sample of about ``sample`` texts, for the second map."""
@@ -107,14 +111,18 @@ class Tokenizer:
         counted = (some.select(F.explode(self.split(F.col("text"))).alias("word")).where(F.octet_length("word") <= LONGEST)
                    .groupBy("word").agg(F.count("*").alias("n")).where("n > 1")
                    .orderBy(F.desc("n"), "word").limit(words))
-        spread = counted.repartition(64, "word").select("word", self.word_ids(F.col("word")).alias("ids"))
+        spread = counted.repartition(64, "word").select(
+            "word", self.rank_map.bind(lambda rank: self._word_ids(F.col("word"), rank)).alias("ids"))
         self.words = Literal({r["word"]: r["ids"] for r in spread.collect()}, "string")
         return self
 
     def encode(self, text: Column) -> Column:
         """Ids of a text, joined by spaces; a null text is empty."""
-        known = (lambda w: F.coalesce(self.words.get(w), self.word_ids(w))) if self.words else self.word_ids
-        return F.array_join(F.transform(self.split(text), known), " ")
+        words = self.split(text)
+        if self.words is None:
+            return self.rank_map.bind(lambda rank: F.array_join(F.transform(words, lambda w: self._word_ids(w, rank)), " "))
+        return self.rank_map.bind(lambda rank: self.words.bind(lambda known: F.array_join(
+            F.transform(words, lambda w: F.coalesce(known(w), self._word_ids(w, rank))), " ")))
 
     def decode(self, ids: Column) -> Column:
         """The bytes of ids joined by spaces."""
