@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, functions as F
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 #: Text in a run and hashes in a bucket, for up to BASE bytes of text; both grow with its root up to GROW times.
-RUN_BYTES, BUCKET_HASHES, BASE, GROW = 16 << 20, 1 << 20, 1 << 33, 16
+RUN_BYTES, BUCKET_HASHES, BASE, GROW = 8 << 20, 1 << 20, 1 << 33, 16
 
 
 @dataclass(frozen=True)
