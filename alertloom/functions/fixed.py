@@ -104,7 +104,6 @@ MSG_INTERFACE_PATTERN = (
     r"((?:TwentyFiveGigE|HundredGigE|FiftyGigE|FortyGigE|TenGigE|GigabitEthernet|GigE|Bundle-Ether)[\d/.]+)"
 )
 MSG_NEIGHBOR_PATTERN = r"(?i)neighbor\s+(\S+)"
-MSG_NEIGHBOR_SCAN = 500
 
 # Short interface names, replaced in this order.
 INTERFACE_SHORT = [
@@ -148,7 +147,6 @@ SHIFTS = [("morning", 480, 900), ("evening", 900, 1350), ("night", 1350, 480)]
 # Columns of the CSV export, in order.
 CSV_COLUMNS = ["timestamp", "device", "mnemonic", "classification", "message", "interface",
                "client", "as_name", "incident_id"]
-CSV_LIMIT = 50_000
 
 # Message styling.
 SEVERITY_COLOR = {"CRITICAL": 0xFF0040, "WARNING": 0xFFD700, "INFO": 0x00D4FF,

@@ -87,8 +87,9 @@ def interface_in_message(message: Column) -> Column:
     return first_group(message, fixed.MSG_INTERFACE_PATTERN)
 
 
-def neighbor_in_message(message: Column) -> Column:
-    return first_group(F.substring(message, 1, fixed.MSG_NEIGHBOR_SCAN), fixed.MSG_NEIGHBOR_PATTERN)
+def neighbor_in_message(message: Column, scan: int | None = None) -> Column:
+    """The neighbor named in a message, or in its first ``scan`` characters."""
+    return first_group(message if scan is None else F.substring(message, 1, scan), fixed.MSG_NEIGHBOR_PATTERN)
 
 
 def normalise_interface(name: Column) -> Column:

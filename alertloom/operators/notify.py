@@ -341,12 +341,13 @@ def escalations(tracked: DataFrame, recoveries: DataFrame, as_of_us: int,
 
 
 def open_escalations(alerts: DataFrame, as_of, delay_s: int = fixed.ESCALATION_DELAY,
-                     limit: int | None = 200) -> DataFrame:
-    """What is tracked after a restart: per key the newest of the oldest ``limit`` CRITICAL rows
-    of the last two delays that are neither resolved nor acknowledged, with minutes elapsed."""
+                     limit: int | None = None) -> DataFrame:
+    """What is tracked after a restart: per key the newest of the CRITICAL rows (or of the oldest
+    ``limit`` of them) of the last two delays that are neither resolved nor acknowledged, with minutes elapsed."""
     rows = alerts.where(
         (F.col("classification") == "CRITICAL") & F.col("resolved_at").isNull() & F.col("acknowledged_at").isNull()
-        & (F.col("timestamp") >= ntz(as_of) - F.expr(f"INTERVAL '{2 * delay_s}' SECOND")))
+        & (F.col("timestamp") >= ntz(as_of) - F.expr(f"INTERVAL '{2 * delay_s}' SECOND"))
+        & (F.col("timestamp") <= ntz(as_of)))
     if limit is not None:
         rows = rows.orderBy("timestamp", "alert_id").limit(limit)
     rows = rows.where(F.coalesce(F.col("raw"), F.lit("")) != "")
@@ -366,12 +367,12 @@ def failed_notifications(alerts: DataFrame, n: int = 100) -> DataFrame:
     return alerts.where(failed).orderBy(F.desc("timestamp"), F.desc("alert_id")).limit(n)
 
 
-def apply_delivery(alerts: DataFrame, status: DataFrame) -> DataFrame:
+def apply_delivery(alerts: DataFrame, status: DataFrame, error_length: int | None = None) -> DataFrame:
     """Partial update of the channel flags and errors; NULL keeps the old value, errors are cut
-    to 256 characters. ``status`` has one row per alert_id."""
+    to ``error_length`` characters if that is given. ``status`` has one row per alert_id."""
     flags, errors = ["discord_sent", "telegram_sent"], ["discord_error", "telegram_error"]
     new = status.select("alert_id", *[F.col(c).alias(f"_{c}") for c in flags],
-                        *[F.substring(c, 1, 256).alias(f"_{c}") for c in errors])
+                        *[(F.col(c) if error_length is None else F.substring(c, 1, error_length)).alias(f"_{c}") for c in errors])
     return (
         alerts.join(new, "alert_id", "left")
         .withColumns({c: F.coalesce(f"_{c}", c) for c in flags + errors})

@@ -40,27 +40,28 @@ def _header(raw: Column) -> Column:
     return F.when(plain_ascii(raw), fast).otherwise(slow)
 
 
-def _reason(raw: Column, matched: Column, ts: Column) -> Column:
+def _reason(raw: Column, matched: Column, ts: Column, max_length: int) -> Column:
     return (
         F.when(raw.isNull() | ~raw.rlike(r"(?U)\S"), "empty")
-        .when(F.length(raw) > fixed.MAX_LINE_LEN, "too_long")
+        .when(F.length(raw) > max_length, "too_long")
         .when(~F.coalesce(matched, F.lit(False)), "no_match")
         .when(ts.isNull(), "bad_timestamp")
     )
 
 
-def parse_lines(lines: DataFrame, as_of, raw: str = "raw") -> DataFrame:
+def parse_lines(lines: DataFrame, as_of, raw: str = "raw", max_length: int = fixed.MAX_LINE_LEN) -> DataFrame:
     """Every line with its header columns and ``reject_reason`` (NULL for a good line).
 
-    ``as_of`` is a moment or a Column (the ingest time of each row in a stream).
+    ``as_of`` is a moment or a Column (the ingest time of each row in a stream). A line of more than
+    ``max_length`` characters is not parsed but kept whole, with its reason.
     """
-    guarded = F.when(F.length(raw) <= fixed.MAX_LINE_LEN, _header(F.col(raw)))
+    guarded = F.when(F.length(raw) <= max_length, _header(F.col(raw)))
     df = compute_once(lines, {"_h": guarded})
     matched = F.get("_h", F.lit(0)) == _MARK
     df = compute_once(df, {"_t": F.when(matched, inner_ts_parts(F.get("_h", F.lit(4))))})
     df = compute_once(df, {"timestamp": build_inner_ts(F.col("_t"), as_of)})
     cols = [F.get("_h", F.lit(i)).alias(n) for i, n in enumerate(_FIELDS, 1)]
-    df = df.select("*", *cols, _reason(F.col(raw), matched, F.col("timestamp")).alias("reject_reason"))
+    df = df.select("*", *cols, _reason(F.col(raw), matched, F.col("timestamp"), max_length).alias("reject_reason"))
     return df.withColumn("severity_level", F.col("severity").try_cast("int")).drop(
         "_h", "_t", "inner_ts", "severity"
     )

@@ -206,23 +206,18 @@ def _state_key() -> Column:
         F.coalesce("as_number", F.lit(0)), F.col("message"))
 
 
-def active_alerts(alerts: DataFrame, hardware_noise: bool = True, limit: int | None = 50,
-                  recovery_limit: int | None = 500) -> DataFrame:
-    """The newest ``limit`` unresolved CRITICAL rows whose fault has no newer recovery.
+def active_alerts(alerts: DataFrame, hardware_noise: bool = True, page: int | None = None) -> DataFrame:
+    """The unresolved CRITICAL rows whose fault has no newer recovery; the newest ``page`` of them if given.
 
-    Per state key the newest event of the considered rows decides; an event that is a recovery ends
-    the key. The limits are the page the dashboard shows; ``None`` looks at everything.
+    Per state key the newest event decides; an event that is a recovery ends the key. All faults
+    and all recoveries since the oldest of them are looked at.
     """
     unresolved = alerts.where((F.col("classification") == "CRITICAL") & F.col("resolved_at").isNull())
     if hardware_noise:
         unresolved = unresolved.where(~F.col("mnemonic").isin(fixed.HARDWARE_MNEMONICS))
     recov = alerts.where(F.col("mnemonic").isin(fixed.RECOVERY_UP + fixed.RECOVERY_ALWAYS))
-    if limit is not None:
-        unresolved = unresolved.orderBy(F.desc("timestamp"), F.desc("alert_id")).limit(limit)
     floor = unresolved.agg(F.min("timestamp"))
     recov = recov.where(F.col("timestamp") >= floor.scalar())
-    if recovery_limit is not None:
-        recov = recov.orderBy(F.desc("timestamp"), F.desc("alert_id")).limit(recovery_limit)
     is_rec = text.is_recovery(F.col("mnemonic"), F.col("message"))
     crit = unresolved.withColumns({"_key": _state_key(), "_rec": is_rec})
     # At one instant a CRITICAL row stands before a recovery row, as the rows are merged in that order.
@@ -231,15 +226,17 @@ def active_alerts(alerts: DataFrame, hardware_noise: bool = True, limit: int | N
                                    F.lit(True).alias("_rec")))
     latest = states.groupBy("_key").agg(
         F.max_by("_rec", F.struct("timestamp", "_first", "alert_id")).alias("_ended"))
-    return crit.where(~F.col("_rec")).join(latest.where(~F.col("_ended")), "_key").drop("_key", "_rec", "_ended")
+    out = crit.where(~F.col("_rec")).join(latest.where(~F.col("_ended")), "_key").drop("_key", "_rec", "_ended")
+    return out if page is None else out.orderBy(F.desc("timestamp"), F.desc("alert_id")).limit(page)
 
 
-def incident_cards(rows: DataFrame, mode: str = "rebuilt") -> DataFrame:
+def incident_cards(rows: DataFrame, mode: str = "rebuilt", message_length: int | None = None) -> DataFrame:
     """One card per group key.
 
     ``rebuilt``: the newest row is the card, it gives started_at and last_alert. ``live``: the first
-    row is the card and started_at, the newest gives last_alert.
+    row is the card and started_at, the newest gives last_alert. ``message_length`` cuts the message.
     """
+    message = F.col("c.message") if message_length is None else F.substring("c.message", 1, message_length)
     key = text.incident_group_key(
         F.col("device_name"), F.col("mnemonic"), F.col("interface_name"), F.col("bgp_neighbor"),
         F.coalesce("as_number", F.lit(0)), F.col("message"))
@@ -254,7 +251,7 @@ def incident_cards(rows: DataFrame, mode: str = "rebuilt") -> DataFrame:
     return grouped.select(
         F.concat(F.lit("ALERT-"), F.col("c.alert_id").cast("string")).alias("card_id"), "group_key",
         title.alias("title"), F.col("c.classification").alias("severity"), "c.device_name", "c.mnemonic",
-        F.substring("c.message", 1, 200).alias("message"), F.lit("active").alias("status"), "alert_count",
+        message.alias("message"), F.lit("active").alias("status"), "alert_count",
         F.col("c.timestamp").alias("started_at"), "last_alert", "c.interface_name", "c.client_name", "c.as_name",
         "c.bgp_neighbor", "c.as_number", "c.acknowledged_at")
 

@@ -192,13 +192,22 @@ def health_score(critical: Column, warning: Column, bgp_down: Column | None = No
 
 
 def health_by_day(alerts: DataFrame) -> DataFrame:
-    """A12 per device and day: CRITICAL and WARNING rows, distinct BGP peers down, degraded links."""
+    """A12 per device and day: CRITICAL and WARNING rows, BGP peers whose last report of the day is Down, and
+    links whose last report is that a member is gone. A peer that came back does not count."""
     cls, mnem, msg = F.col("classification"), F.col("mnemonic"), F.col("message")
     down = (mnem == "ADJCHANGE") & msg.rlike(r"(?U)\bDown\b")
     lost = (mnem == "ACTIVE") & msg.contains("no longer")
-    rows = alerts.groupBy("device_name", F.to_date("timestamp").cast("string").alias("day")).agg(
+    kind = F.when(mnem.isin("ADJCHANGE", "ACTIVE"), mnem)
+    subject = F.when(mnem == "ADJCHANGE", F.coalesce("bgp_neighbor", F.lit(""))).when(
+        mnem == "ACTIVE", F.coalesce("interface_name", F.lit("")))
+    day = F.to_date("timestamp").cast("string").alias("day")
+    last = alerts.groupBy("device_name", day, kind.alias("kind"), subject.alias("subject")).agg(
         F.count_if(cls == "CRITICAL").alias("critical"), F.count_if(cls == "WARNING").alias("warning"),
-        F.count_if(down).alias("bgp_down"), F.count_if(lost).alias("degraded"))
+        F.max_by(down | lost, F.struct("timestamp", "alert_id")).alias("bad"))
+    rows = last.groupBy("device_name", "day").agg(
+        F.sum("critical").alias("critical"), F.sum("warning").alias("warning"),
+        F.count_if((F.col("kind") == "ADJCHANGE") & F.col("bad")).alias("bgp_down"),
+        F.count_if((F.col("kind") == "ACTIVE") & F.col("bad")).alias("degraded"))
     return rows.withColumn("score", health_score(
         F.col("critical"), F.col("warning"), F.col("bgp_down"), None, F.col("degraded")))
 
@@ -415,14 +424,16 @@ def staleness(events: DataFrame, as_of_us: int, after_s: int = fixed.STALE_AFTER
     """Silent gaps longer than ``after_s``: ``gap_start_us, gap_end_us, seconds``; the gap since
     the last event has no end. One row per outage.
 
-    The stream has no key, so it is cut into chunks: only the first event of a chunk looks back on
-    the previous chunk, and those are one row per chunk.
+    No gap inside ``after_s`` of the clock can be too long, so such a bucket is only its first and
+    last event, which are summed up before the shuffle. Buckets are compared chunk by chunk, and
+    chunks by one row each.
     """
     limit = after_s * timeline.SECOND
-    rows = events.select("us", timeline.chunk("us", width).alias("chunk"))
-    inner = Window.partitionBy("chunk").orderBy("us")
-    gaps = rows.withColumn("prev", F.lag("us").over(inner)).where(F.col("us") - F.col("prev") > limit)
-    ends = rows.groupBy("chunk").agg(F.min("us").alias("a"), F.max("us").alias("z"))
+    buckets = events.groupBy(timeline.chunk("us", limit).alias("bucket")).agg(F.min("us").alias("a"), F.max("us").alias("z"))
+    rows = buckets.withColumn("chunk", timeline.chunk("bucket", max(width, 1024 * limit)))
+    inner = Window.partitionBy("chunk").orderBy("bucket")
+    gaps = rows.select(F.lag("z").over(inner).alias("prev"), F.col("a").alias("us")).where(F.col("us") - F.col("prev") > limit)
+    ends = rows.groupBy("chunk").agg(F.min("a").alias("a"), F.max("z").alias("z"))
     across = ends.withColumn("nxt", F.lead("a").over(Window.orderBy("chunk")))
     across = across.where(
         (F.coalesce("nxt", F.lit(as_of_us)) - F.col("z")) > limit

@@ -58,7 +58,7 @@ def recovery_sql(mn="mnemonic", msg="message", rule: str | None = None) -> str:
 
 
 MSG_IFACE = f"nullif(regexp_extract(message, '{fixed.MSG_INTERFACE_PATTERN}', 1), '')"
-MSG_NBR = f"nullif(regexp_extract(left(message, 500), '{fixed.MSG_NEIGHBOR_PATTERN}', 1), '')"
+MSG_NBR = f"nullif(regexp_extract(message, '{fixed.MSG_NEIGHBOR_PATTERN}', 1), '')"
 BGP_DISC = (f"coalesce(nullif(bgp_neighbor, ''), {MSG_NBR}, "
             "CASE WHEN coalesce(as_number, 0) <> 0 THEN CAST(as_number AS VARCHAR) END, '')")
 GROUP_KEY = (f"CASE WHEN mnemonic = 'ADJCHANGE' THEN concat(device_name, ':ADJCHANGE:', {BGP_DISC}) "

@@ -10,7 +10,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators.once import compute_once
-from ..session import spread
+from ..session import spread_by
 
 AS_OF_LINES = "2026-05-31 12:00:00"
 AS_OF = "2024-01-31 00:00:00"
@@ -159,7 +159,7 @@ SELECT concat('INC-', CAST(o_orderkey AS STRING)) AS id,
   CASE WHEN o_orderkey % 130 = 0 THEN '' WHEN o_orderkey % 170 = 0 THEN 'not-json' ELSE
     concat('["client-', CAST(o_custkey % 20 AS STRING), '","client-', CAST(o_custkey % 7 AS STRING), '"]') END AS affected_clients,
   1 + o_custkey % 5 AS alert_count, o_custkey % 5 AS symptom_count
-FROM orders WHERE o_orderkey % 10 = 0
+FROM orders
 """
 
 ACKS = """
@@ -167,7 +167,7 @@ SELECT concat('INC-', CAST(o_orderkey AS STRING)) AS incident_id, concat('op', C
   concat('note ', CAST(k AS STRING)) AS comment,
   o_orderdate + (o_orderkey % 86400 + 600 * (k + 1)) * INTERVAL '1' SECOND AS created_at
 FROM orders, (SELECT 0 AS k UNION ALL SELECT 1 AS k) r
-WHERE o_orderkey % 20 = 0 AND (k = 0 OR o_orderkey % 40 = 0)
+WHERE k = 0 OR o_orderkey % 40 = 0
 """
 
 # Acks of single alerts (ALERT-n) next to acks of incidents.
@@ -176,7 +176,7 @@ SELECT CASE WHEN event_id % 2 = 0 THEN concat('ALERT-', CAST(event_id AS STRING)
     ELSE concat('INC-', CAST((event_id % 700) * 10 AS STRING)) END AS incident_id,
   concat('op', CAST(user_id % 9 AS STRING)) AS operator_name, concat('c', CAST(event_id % 13 AS STRING)) AS comment,
   ts + INTERVAL '45' MINUTE AS created_at
-FROM events WHERE event_id % 6 < 3
+FROM events
 """
 
 MAINTENANCE = """
@@ -200,7 +200,9 @@ TOPOLOGY_ROWS = [
         (f"10.0.0.{d + 1}", f"Bundle-Ether{200 + d}", 2 * d + 1, f"10.0.0.{(d + 5) % 6 + 1}", "TenGigE0/0/0/1"),
     )
 ]
-NODE_ROWS = [(f"10.0.0.{d + 1}", "core-3" if d == 3 else f"rtr-{d}", d) for d in range(6)]
+# The last two never send a line.
+NODE_ROWS = [(f"10.0.0.{d + 1}", "core-3" if d == 3 else f"rtr-{d}", d) for d in range(6)] + [
+    ("10.0.0.90", "silent-1", 6), ("10.0.0.91", "silent-2", 7)]
 PEER_ROWS = [
     row for d in range(6) for row in (
         (f"10.0.0.{d + 1}", f"172.16.{d}.1", f"Bundle-Ether{100 + d}"),
@@ -271,11 +273,11 @@ def dim(spark: SparkSession, name: str) -> DataFrame:
 
 
 def lines(spark, sf_dir) -> DataFrame:
-    return _settled(derive(spark, sf_dir, LINES, events=spread(table(spark, sf_dir, "events"))))
+    return _settled(derive(spark, sf_dir, LINES, events=spread_by(table(spark, sf_dir, "events"), "event_id")))
 
 
 def alerts(spark, sf_dir) -> DataFrame:
-    return _settled(derive(spark, sf_dir, ALERTS, events=spread(table(spark, sf_dir, "events"))))
+    return _settled(derive(spark, sf_dir, ALERTS, events=spread_by(table(spark, sf_dir, "events"), "event_id")))
 
 
 def _settled(df: DataFrame) -> DataFrame:

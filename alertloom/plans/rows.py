@@ -100,7 +100,7 @@ SELECT CASE WHEN microsecond(timestamp) % 1000000 = 0 THEN strftime(timestamp, '
     ELSE strftime(timestamp, '%Y-%m-%dT%H:%M:%S.%f') END AS timestamp, device_name AS device, mnemonic, classification,
   message, interface_name AS interface, client_name AS client, as_name, coalesce(incident_id, '') AS incident_id
 FROM alerts WHERE timestamp >= TIMESTAMP '{fx.AS_OF}' - INTERVAL 7 DAY
-ORDER BY alerts.timestamp DESC, alert_id DESC LIMIT 50000""", "alerts"))
+ORDER BY alerts.timestamp DESC, alert_id DESC""", "alerts"))
 def _(spark, sf):
     path = _scratch(spark, "csv")
     sinks.export_alerts_csv(alerts(spark, sf), path, "7d", fx.AS_OF)

@@ -33,10 +33,17 @@ def build_session(app: str = "alertloom", master: str | None = None, **conf) ->
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; only a session without one gets a local folder."""
+    """The folder named by ``spark.checkpoint.dir``.
+
+    A single-process session without one gets a local folder; on a cluster that would hide each
+    executor's files from the others, so one must be named.
+    """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if path:
         return path
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _unset:
         _unset[app] = tempfile.mkdtemp(prefix="alertloom-")
@@ -54,11 +61,6 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Split a scan that has fewer splits than the cluster has cores.
-
-    A regex-heavy stage over one small file would run on one core. Large inputs have more splits
-    than cores and pass through unchanged, without a shuffle.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+def spread_by(df: DataFrame, key: str) -> DataFrame:
+    """Rows dealt out by ``key`` over all cores, whatever their splits were."""
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism, key)

@@ -43,13 +43,15 @@ def replace_dates(spark: SparkSession, df: DataFrame, path: str, ts: str = "time
     usually computed from the very folders they replace."""
     stage = os.path.join(shared_dir(spark), f"stage-{uuid.uuid4().hex}")
     by_date(df, ts).write.partitionBy("event_date").parquet(stage)
-    staged = spark.read.parquet(stage)
+    schema = by_date(df, ts).schema
+    staged = spark.read.schema(schema).parquet(stage)
     staged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("event_date").parquet(path)
 
 
-def export_view(alerts: DataFrame, period: str, as_of, limit: int = fixed.CSV_LIMIT) -> DataFrame:
-    """S7 rows: the newest ``limit`` alerts of a period with the nine export columns as text."""
-    newest = in_period(alerts, period, as_of).orderBy(F.desc("timestamp"), F.desc("alert_id")).limit(limit)
+def export_view(alerts: DataFrame, period: str, as_of, limit: int | None = None) -> DataFrame:
+    """S7 rows: the alerts of a period, or its newest ``limit``, with the nine export columns as text."""
+    newest = in_period(alerts, period, as_of).orderBy(F.desc("timestamp"), F.desc("alert_id"))
+    newest = newest if limit is None else newest.limit(limit)
     micro = F.extract(F.lit("SECOND"), F.col("timestamp")) % 1 != 0
     iso = F.concat(F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss"),
                    F.when(micro, F.date_format("timestamp", ".SSSSSS")).otherwise(""))
@@ -60,7 +62,7 @@ def export_view(alerts: DataFrame, period: str, as_of, limit: int = fixed.CSV_LI
     )
 
 
-def export_alerts_csv(alerts: DataFrame, path: str, period: str, as_of, limit: int = fixed.CSV_LIMIT) -> None:
+def export_alerts_csv(alerts: DataFrame, path: str, period: str, as_of, limit: int | None = None) -> None:
     """Write the export as CSV with a header; quotes are doubled as CSV readers expect."""
     export_view(alerts, period, as_of, limit).write.mode("overwrite").option("header", True).option(
         "escape", '"').option("emptyValue", "").csv(path)
@@ -84,15 +86,19 @@ def prune_hourly(stats: DataFrame, as_of, days: int = 365, offset_hours: int = f
 def prune_alert_table(spark: SparkSession, path: str, days: int, as_of,
                       offset_hours: int = fixed.LOCAL_OFFSET_HOURS) -> None:
     """S9 on a date-partitioned table: whole older dates are dropped, only the boundary date is
-    rewritten."""
+    rewritten. That date may have no folder, or lose all its rows; a table without a date stays."""
     cutoff = as_datetime(as_of) - dt.timedelta(hours=offset_hours, days=days)
-    boundary = spark.read.parquet(path).where(F.col("event_date") == F.lit(cutoff.date())).drop("event_date")
-    kept = prune(boundary, "timestamp", days, as_of, offset_hours)
-    gone = cutoff.date() + dt.timedelta(days=1) if kept.isEmpty() else cutoff.date()
-    replace_dates(spark, kept, path)
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
     folder = hadoop.Path(path)
     fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(folder) or not any(s.getPath().getName().startswith("event_date=") for s in fs.listStatus(folder)):
+        return
+    boundary = spark.read.parquet(path).where(F.col("event_date") == F.lit(cutoff.date())).drop("event_date")
+    kept = prune(boundary, "timestamp", days, as_of, offset_hours)
+    empty = kept.isEmpty()
+    gone = cutoff.date() + dt.timedelta(days=1) if empty else cutoff.date()
+    if not empty:
+        replace_dates(spark, kept, path)
     for status in fs.listStatus(folder):
         name = status.getPath().getName()
         if name.startswith("event_date=") and name[len("event_date="):] < gone.isoformat():

@@ -35,7 +35,7 @@ def explode_loki_export(df: DataFrame, body: str = "value") -> DataFrame:
     rest = [c for c in df.columns if c != body]
     pairs = df.select(*rest, F.explode(values).alias("_v"))
     return (
-        pairs.where(F.size("_v") == 2)
+        pairs.where(F.size("_v") >= 2)
         .select(*rest, F.get("_v", F.lit(0)).try_cast("bigint").alias("ts_ns"), F.get("_v", F.lit(1)).alias("line"))
         .where("line <> ''")
     )

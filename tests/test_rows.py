@@ -198,10 +198,10 @@ def test_escalation_marks_its_group(spark):
 
 
 def test_login_and_maxpfx(spark):
-    rows = [("SSH_LOGIN", "INFO_SUCCESS", "Successfully authenticated user 'rancid' from '10.1.1.1' on 'vty0'(cipher 'aes', mac 'x')"),
-            ("BGP_MAXPFX", "MAXPFX", "No. of IPv4 Unicast prefixes received from 163.47.83.6 has reached 782, max 1000")]
+    rows = [("SSH_LOGIN", "INFO_SUCCESS", "Successfully authenticated user 'operator7' from '192.0.2.9' on 'vty0'(cipher 'aes', mac 'x')"),
+            ("BGP_MAXPFX", "MAXPFX", "No. of IPv4 Unicast prefixes received from 198.51.100.6 has reached 782, max 1000")]
     df = spark.createDataFrame(rows, "rule_id string, mnemonic string, message string")
     a = enrich.extract_login(df).first()
-    assert (a.username, a.login_ip, a.vty, a.cipher, a.action) == ("rancid", "10.1.1.1", "vty0", "aes", "login")
+    assert (a.username, a.login_ip, a.vty, a.cipher, a.action) == ("operator7", "192.0.2.9", "vty0", "aes", "login")
     b = enrich.extract_maxpfx(df).first()
-    assert (b.peer, b.prefix_count, b.max_prefixes) == ("163.47.83.6", 782, 1000)
+    assert (b.peer, b.prefix_count, b.max_prefixes) == ("198.51.100.6", 782, 1000)
