@@ -61,7 +61,6 @@ def fold(word: Column, rank) -> Column:
     n = F.length(word)
     pieces = F.transform(F.sequence(F.lit(1), n), lambda i: F.substring(word, i, F.lit(1)))
     pairs = F.transform(F.sequence(F.lit(1), n - 1), lambda i: rank(F.substring(word, i, F.lit(2))))
-    none = F.array().cast("array<int>")
 
     def state(p, r):
         return _let(r, lambda r: F.struct(
@@ -69,10 +68,11 @@ def fold(word: Column, rank) -> Column:
 
     def join(p, r, i):
         def joined(m):
-            before = F.when(i > 1, F.array(rank(F.concat(F.element_at(p, i - 1), m)))).otherwise(none)
-            after = F.when(i + 1 < F.size(p), F.array(rank(F.concat(m, F.try_element_at(p, i + 2))))).otherwise(none)
-            return state(F.concat(F.slice(p, F.lit(1), i - 1), F.array(m), F.slice(p, i + 2, F.size(p))),
-                         F.concat(F.slice(r, F.lit(1), F.greatest(F.lit(0), i - 2)), before, after, F.slice(r, i + 2, F.size(p))))
+            # Pieces count from 1 and lambda places from 0: the piece at i becomes the union, the next one goes.
+            pieces = F.filter(F.transform(p, lambda x, j: F.when(j == i - 1, m).otherwise(x)), lambda x, j: j != i)
+            pairs = F.filter(F.transform(r, lambda x, j: F.when(j == i - 2, rank(F.concat(F.element_at(p, i - 1), m)))
+                                         .when(j == i, rank(F.concat(m, F.element_at(p, i + 2)))).otherwise(x)), lambda x, j: j != i - 1)
+            return state(pieces, pairs)
 
         return _let(F.concat(F.element_at(p, i), F.element_at(p, i + 1)), joined)
 
