@@ -122,7 +122,7 @@ def fit(docs: DataFrame, per_language: int = 4000, share: float = 0.001, dominan
 
 
 def _document_grams(batches):
-    """Number of texts with each n-gram, by language, of about 4 MB of texts at a time."""
+    """Number of texts with each n-gram, by language, of a piece of texts at a time."""
     for batch in batches:
         for at, n in tokens.pieces(batch.column("text")):
             by: dict[str, list[np.ndarray]] = {}

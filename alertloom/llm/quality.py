@@ -182,7 +182,7 @@ def annotate(docs: DataFrame, labels: DataFrame, stratum: str = "lang", **risk)
     """doc_id, the STATS, base_failed and kept of every row.
 
     A null text has no words and fails. A null stratum is the empty one. Whole texts are measured,
-    about 4 MB at a time. Without labels no learned rule is used, so only the base rule rejects.
+    a piece at a time. Without labels no learned rule is used, so only the base rule rejects.
     Repeated rows get equal results. Other columns are not read.
     """
     measured = docs.select("doc_id", _stratum(docs, stratum).alias("stratum"), stats("text").alias("s"))

@@ -36,7 +36,7 @@ from . import runs as R, tokens
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 LENGTH, ANCHOR = 100, 32
-RUN_BYTES = 8 << 20
+RUN_BYTES = 6 << 20
 #: Strings that one step of a merge task compares at once.
 STEP = 1 << 19
 LOWEST = -(1 << 63)

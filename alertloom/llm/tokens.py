@@ -16,7 +16,7 @@ from pyspark import cloudpickle
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 #: Bytes of text that one step works on, or one text if that is longer.
-PIECE = 4 << 20
+PIECE = 1 << 20
 #: Odd multipliers of the rolling hashes of bytes and of words, modulo 2**64.
 BYTE_BASE, WORD_BASE = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95
 

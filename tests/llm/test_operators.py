@@ -9,7 +9,7 @@ import tiktoken
 from pyspark.sql import functions as F, types as T
 
 import brute
-from alertloom.llm import (bpe, classes, components, decontaminate, language, quality, secrets, sharding, simhash, suffixes, windows)
+from alertloom.llm import (bpe, classes, components, decontaminate, language, quality, secrets, sharding, simhash, suffixes, tokens, windows)
 
 CLASHES = ["run", "print", "row", "run_", "words", "n_words", "bucket", "_id", "stratum", "spans", "s", "k1", "p"]
 SCHEMA = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()),
@@ -345,3 +345,14 @@ def test_null_texts_only(spark):
     assert suffixes.op1_suffix_merge_dedup(docs).where("n_bytes = 0").count() == 2
     assert windows.op5_rabin_karp_windows(docs).where("n_words = 0").count() == 2
     assert classes.op10_brown_class_bigrams(docs).where("n_tokens = 1").count() == 2
+
+
+def test_results_do_not_depend_on_pieces(given, spark, monkeypatch):
+    docs, rows = given
+    monkeypatch.setattr(tokens.pieces, "__defaults__", (3_000,))
+    same(suffixes.op1_suffix_merge_dedup(docs), brute.op1(rows))
+    same(windows.op5_rabin_karp_windows(docs), brute.op5(rows))
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    same(quality.op6_risk_controlled_quality(docs, labels).drop("kept"), brute.op6(rows))
+    base = [(r["doc_id"], r["n_tokens"], r["n_known"]) for r in classes.score(docs).collect()]
+    assert sorted(base) == sorted((x[0], x[2], x[3]) for x in brute.op10_base(rows))
