@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 RANKS = "byte_bpe_50k.tiktoken"
 #: Words of the second map, longest of them in bytes, and texts they are counted in.
-WORDS, LONGEST, SAMPLE = 200_000, 40, 40_000
+WORDS, LONGEST, SAMPLE = 50_000, 40, 20_000
 LATIN = "ISO-8859-1"
 
 
