@@ -1,27 +1,42 @@
-"""Byte-level BPE with higher-order functions.
+"""Byte-level BPE with higher-order functions over the distinct words.
 
 A word (a match of the pattern) is its bytes, one character for each byte (ISO 8859-1). A fold joins, again and
 again, the leftmost pair of pieces whose union has the lowest rank; after a join only the two pairs
 beside it are ranked anew. Ranks are a literal map, cut into small maps by a hash of the piece, as
-Spark searches a map from its start. Ids are decimal numbers joined by spaces.
+Spark searches a map from its start.
 
-Distinct words are encoded once: those of a bounded sample of texts, the most frequent first, become a second literal map.
-Every other word is folded where it stands, so no word is left out and no text is shuffled.
+Documents are dealt into runs. A run cuts its texts into words and asks once for each distinct word, in one block for
+each bucket of the hash space. A bucket folds each distinct word of the corpus once and answers every run in the order
+it asked; the run puts the ids of its texts together. Words are equal by a 64-bit hash, as in the other operators.
 """
 
 from __future__ import annotations
 
 import base64
+import hashlib
 import json
+import sys
 
+import numpy as np
 import public_tokenizers
+import pyarrow as pa
+import regex
 import xxhash
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, functions as F
 
+from . import runs as R, tokens
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 RANKS = "byte_bpe_50k.tiktoken"
-#: Words of the second map, longest of them in bytes, and texts they are counted in.
-WORDS, LONGEST, SAMPLE = 50_000, 40, 20_000
 LATIN = "ISO-8859-1"
+LOWEST = -(1 << 63)
+#: Words that runs ask about in one bucket, for up to R.BASE bytes of text.
+BUCKET_WORDS = 1 << 18
+#: The pattern that :class:`Cutter` follows without a regular expression.
+PLAIN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+OTHER, LETTER, NUMBER, SPACE = range(4)
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -54,7 +69,7 @@ def _let(value: Column, body) -> Column:
 
 
 def fold(word: Column, rank) -> Column:
-    """Ids of a word (one character a byte) as text; ``rank`` looks a piece up.
+    """Ids of a word (one character a byte); ``rank`` looks a piece up.
 
     The state is the pieces, the ranks of neighbours and the place of the lowest rank, null when none is left.
     """
@@ -81,77 +96,235 @@ def fold(word: Column, rank) -> Column:
 
     merged = F.aggregate(F.sequence(F.lit(1), n - 1), state(pieces, pairs), step, lambda acc: acc["p"])
     parts = F.when(n > 1, merged).otherwise(F.array(word))
-    return F.array_join(F.transform(parts, lambda p: rank(p).cast("string")), " ")
+    return F.transform(parts, lambda p: rank(p))
+
+
+def _kinds() -> tuple[np.ndarray, np.ndarray]:
+    """All code points as runs of one kind: length and kind of each."""
+    kind = np.zeros(0x110000, np.uint8)
+    every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
+    place = np.array([*range(0xD800), *range(0xE000, 0x110000)])
+    for which, pattern in ((LETTER, r"\p{L}+"), (NUMBER, r"\p{N}+"), (SPACE, r"\p{White_Space}+")):
+        for m in regex.finditer(pattern, every):
+            kind[place[m.start()]:place[m.end() - 1] + 1] = which
+    at = np.concatenate([[0], np.flatnonzero(np.diff(kind)) + 1, [len(kind)]])
+    return np.diff(at), kind[at[:-1]]
+
+
+class Cutter:
+    """Cuts texts into the matches of a pattern: PLAIN by the kinds of the characters, others with ``regex``."""
+
+    def __init__(self, pattern: str):
+        self.pattern, self.kinds = pattern, _kinds() if pattern == PLAIN else None
+        self._table = None
+
+    def __getstate__(self):
+        return self.__dict__ | {"_table": None}
+
+    def cut(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Byte ranges of all words, in order."""
+        if not len(data):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return self._by_kind(data, offsets) if self.kinds else self._by_pattern(data, offsets)
+
+    def _by_pattern(self, data, offsets):
+        starts, ends = [], []
+        for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
+            text = data[a:b].tobytes().decode()
+            at = np.concatenate([[0], np.cumsum(_widths(_code_points(text)))]) + a
+            found = np.array([m.span() for m in regex.finditer(self.pattern, text)], np.int64).reshape(-1, 2)
+            starts.append(at[found[:, 0]])
+            ends.append(at[found[:, 1]])
+        return np.concatenate(starts), np.concatenate(ends)
+
+    def _by_kind(self, data, offsets):
+        if self._table is None:
+            self._table = np.repeat(self.kinds[1], self.kinds[0])
+        points = _code_points(data.tobytes().decode())
+        at = np.concatenate([[0], np.cumsum(_widths(points), dtype=np.int64)])
+        n, kind = len(points), self._table[points]
+        edge = np.zeros(n + 1, bool)
+        edge[np.searchsorted(at, offsets)] = True
+        edge[n] = True
+        begin = edge[:n].copy()
+        begin[1:] |= kind[1:] != kind[:-1]
+        # The last white space before other characters stands alone; a blank goes with what follows.
+        last = np.flatnonzero((kind[:-1] == SPACE) & (kind[1:] != SPACE) & ~edge[1:n])
+        begin[last] = True
+        begin[last + 1] = points[last] != 0x20
+        # An apostrophe that begins a word takes one of the endings s t m d re ve ll.
+        quote = np.flatnonzero((points[:-1] == 0x27) & begin[:-1] & ~edge[1:n])
+        far = np.append(points, [0, 0])
+        one, two = far[quote + 1], np.where(edge[np.minimum(quote + 2, n)], 0, far[quote + 2])
+        short = np.isin(one, [ord(c) for c in "stmd"])
+        long = ((one == ord("r")) | (one == ord("v"))) & (two == ord("e")) | (one == ord("l")) & (two == ord("l"))
+        begin[quote[short | long] + 1] = False
+        after = np.concatenate([quote[short] + 2, quote[long] + 3])
+        begin[after[after < n]] = True
+        starts = at[np.flatnonzero(begin)]
+        return starts, np.append(starts[1:], len(data))
+
+
+def _code_points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le"), np.uint32)
+
+
+def _widths(points: np.ndarray) -> np.ndarray:
+    """Bytes of each code point in UTF-8."""
+    return 1 + (points > 0x7F).astype(np.int8) + (points > 0x7FF) + (points > 0xFFFF)
+
+
+def _take(data: np.ndarray, offsets: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Spans ``which`` of an array that ``offsets`` (starts and ends) cuts, one after the other, and their sizes."""
+    starts, ends = offsets
+    size = ends[which] - starts[which]
+    total = np.cumsum(size)
+    return data[np.repeat(starts[which] - (total - size), size) + np.arange(total[-1] if len(total) else 0)], size
+
+
+def _spans(size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    total = np.cumsum(size, dtype=np.int64)
+    return total - size, total
 
 
 class Tokenizer:
-    """Encoding and decoding as Column functions. ``path`` is the rank file, ``pattern`` what cuts a text into words."""
+    """Encoding and decoding. ``path`` is the rank file, ``pattern`` what cuts a text into words."""
 
     def __init__(self, path: str | None = None, pattern: str | None = None):
         self.ranks = read_ranks(path or public_tokenizers.path(RANKS))
-        #: (?U): white space as Unicode has it.
-        self.pattern = "(?U)" + (pattern or public_tokenizers.PATTERN)
+        self.cutter = Cutter(pattern or public_tokenizers.PATTERN)
         self.rank_map = Literal({k.decode(LATIN): v for k, v in self.ranks.items()}, "int")
-        by_rank = {v: k.decode(LATIN) for k, v in self.ranks.items()}
-        self.pieces = F.from_json(F.lit(json.dumps([by_rank.get(i) for i in range(max(by_rank) + 1)])), "array<string>")
-        self.words: Literal | None = None
-
-    def split(self, text: Column) -> Column:
-        return F.regexp_extract_all(F.coalesce(text.cast("string"), F.lit("")), F.lit(self.pattern), F.lit(0))
-
-    @staticmethod
-    def _word_ids(word: Column, rank) -> Column:
-        return _let(F.decode(F.encode(word, "UTF-8"), LATIN), lambda w: F.coalesce(rank(w).cast("string"), fold(w, rank)))
-
-    def learn_words(self, docs: DataFrame, words: int = WORDS, sample: int = SAMPLE) -> "Tokenizer":
-        """Encode the most frequent words of a hashed sample of about ``sample`` texts, for the second map."""
-        n = max(1, docs.count())
-        share = min(1 << 30, (1 << 30) * sample // n)
-        some = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < share) if "doc_id" in docs.columns else docs
-        counted = (some.select(F.explode(self.split(F.col("text"))).alias("word")).where(F.octet_length("word") <= LONGEST)
-                   .groupBy("word").agg(F.count("*").alias("n")).where("n > 1")
-                   .orderBy(F.desc("n"), "word").limit(words))
-        spread = counted.repartition(64, "word").select(
-            "word", self.rank_map.bind(lambda rank: self._word_ids(F.col("word"), rank)).alias("ids"))
-        self.words = Literal({r["word"]: r["ids"] for r in spread.collect()}, "string")
-        return self
-
-    def encode(self, text: Column) -> Column:
-        """Ids of a text, joined by spaces; a null text is empty."""
-        words = self.split(text)
-        if self.words is None:
-            return self.rank_map.bind(lambda rank: F.array_join(F.transform(words, lambda w: self._word_ids(w, rank)), " "))
-        return self.rank_map.bind(lambda rank: self.words.bind(lambda known: F.array_join(
-            F.transform(words, lambda w: F.coalesce(known(w), self._word_ids(w, rank))), " ")))
-
-    def decode(self, ids: Column) -> Column:
-        """The bytes of ids joined by spaces."""
-        parts = F.transform(F.split(ids, " "), lambda i: F.element_at(self.pieces, i.cast("int") + 1))
-        return F.encode(F.when(ids == "", F.lit("")).otherwise(F.array_join(parts, "")), LATIN)
-
-
-def count_ids(ids: Column) -> Column:
-    return F.when(ids == "", F.lit(0)).otherwise(F.length(ids) - F.length(F.replace(ids, F.lit(" "), F.lit(""))) + 1).cast("bigint")
-
-
-def encode(docs: DataFrame, tokenizer: Tokenizer | None = None) -> DataFrame:
-    """doc_id, ids (array of int) of every row; a null or empty text has none. Other columns are not read."""
-    tokenizer = tokenizer or Tokenizer().learn_words(docs)
-    ids = docs.select("doc_id", tokenizer.encode(F.col("text")).alias("ids"))
-    return ids.select("doc_id", F.when(F.col("ids") == "", F.array().cast("array<int>")).otherwise(
-        F.split("ids", " ").cast("array<int>")).alias("ids"))
-
-
-def round_trip(docs: DataFrame, tokenizer: Tokenizer | None = None) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every row; the ids are decoded again.
-
-    A null text is empty. Whole texts are encoded, special tokens are ordinary text. Repeated rows
-    give repeated results. A word of n bytes takes time n squared at worst.
+        by_rank = {v: k for k, v in self.ranks.items()}
+        #: Bytes of each id.
+        self.pieces = [by_rank.get(i, b"") for i in range(max(by_rank) + 1)]
+
+    def fold_words(self, words: Column) -> Column:
+        """Ids (array of arrays of int) of an array of words (binary)."""
+        def ids(rank):
+            return F.transform(words, lambda word: _let(F.decode(word, LATIN), lambda w: _let(
+                rank(w), lambda r: F.when(r.isNotNull(), F.array(r)).otherwise(fold(w, rank)))))
+
+        return self.rank_map.bind(ids)
+
+
+def decode(ids: list[int], pieces: list[bytes]) -> bytes:
+    """The bytes of ids, one piece after the other."""
+    return b"".join(map(pieces.__getitem__, ids))
+
+
+def _words(table: pa.Table, cutter: Cutter):
+    """Bytes, byte ranges and hashes of all words of a run, and the index of each text's first word."""
+    column = table.column("text").combine_chunks()
+    data, offsets = tokens.flat(column)
+    starts, ends, hashes = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+    for at, rows in tokens.pieces(column):
+        low, high = offsets[at], offsets[at + rows]
+        part = data[low:high]
+        s, e = cutter.cut(part, offsets[at:at + rows + 1] - low)
+        hashes.append(tokens.word_hashes(part, s, e))
+        starts.append(s + low)
+        ends.append(e + low)
+    starts, ends = np.concatenate(starts), np.concatenate(ends)
+    return data, (starts, ends), np.concatenate(hashes), np.searchsorted(starts, offsets)
+
+
+ASKED = "run int, bucket int, sizes binary, words binary"
+DISTINCT = "bucket int, words array<binary>, runs array<int>, places array<binary>"
+ANSWER = "run int, bucket int, sizes binary, ids binary"
+
+
+def _with_ids(docs: DataFrame, tokenizer: Tokenizer, use, schema: str, run_bytes: int) -> DataFrame:
+    """``use(doc_ids, sizes, ids)`` of every run: the number of ids of each text, and all ids."""
+    runs = R.into_runs(docs.select("doc_id", "text"), run_bytes=run_bytes)
+    # About one distinct word of a run for every 40 bytes.
+    buckets = max(1, int(-(-runs.n_bytes // (40 * BUCKET_WORDS * runs.grown))))
+    cutter, kind = tokenizer.cutter, np.min_scalar_type(len(tokenizer.pieces))
+
+    def ask(table: pa.Table) -> pa.Table:
+        run = table.column("run")[0].as_py()
+        data, spans, hashes, _ = _words(table, cutter)
+        kinds, index = np.unique(hashes, return_index=True)
+        at = R.by_bucket(kinds, buckets)
+        full = np.flatnonzero(np.diff(at))
+        parts = [_take(data, spans, index[at[b]:at[b + 1]]) for b in full]
+        return pa.table({"run": pa.array([run] * len(full), pa.int32()), "bucket": pa.array(full, pa.int32()),
+                         "sizes": pa.array([size.astype(np.int32).tobytes() for _, size in parts], pa.binary()),
+                         "words": pa.array([words.tobytes() for words, _ in parts], pa.binary())})
+
+    def distinct(table: pa.Table) -> pa.Table:
+        size = [np.frombuffer(x.as_py(), np.int32) for x in table.column("sizes")]
+        data = np.frombuffer(b"".join(x.as_py() for x in table.column("words")), np.uint8)
+        spans = _spans(np.concatenate(size))
+        _, index, back = np.unique(tokens.word_hashes(data, *spans), return_index=True, return_inverse=True)
+        words, sizes = _take(data, spans, index)
+        ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+        every = pa.BinaryArray.from_buffers(pa.binary(), len(index), [None, pa.py_buffer(ends), pa.py_buffer(words)])
+        places = np.split(back.astype(np.int32), np.cumsum([len(s) for s in size])[:-1])
+        return pa.table({"bucket": table.column("bucket").slice(0, 1), "words": pa.ListArray.from_arrays([0, len(index)], every),
+                         "runs": pa.array([table.column("run").to_pylist()], pa.list_(pa.int32())),
+                         "places": pa.array([[p.tobytes() for p in places]], pa.list_(pa.binary()))})
+
+    def reply(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                ids = batch.column("ids")[i].values
+                ends = ids.offsets.to_numpy()
+                flat = ids.values.to_numpy().astype(kind)
+                spans = (ends[:-1].astype(np.int64), ends[1:].astype(np.int64))
+                bucket = batch.column("bucket")[i].as_py()
+                for run, place in zip(batch.column("runs")[i].as_py(), batch.column("places")[i]):
+                    mine, size = _take(flat, spans, np.frombuffer(place.as_py(), np.int32))
+                    yield pa.RecordBatch.from_pydict({
+                        "run": pa.array([run], pa.int32()), "bucket": pa.array([bucket], pa.int32()),
+                        "sizes": pa.array([size.astype(np.int32).tobytes()], pa.binary()),
+                        "ids": pa.array([mine.tobytes()], pa.binary())})
+
+    def apply(documents: pa.Table, replies: pa.Table) -> pa.Table:
+        _, _, hashes, first = _words(documents, cutter)
+        back = np.unique(hashes, return_inverse=True)[1]
+        replies = replies.sort_by("bucket")
+        size = np.frombuffer(b"".join(x.as_py() for x in replies.column("sizes")), np.int32)
+        spans, known = _spans(size), np.frombuffer(b"".join(x.as_py() for x in replies.column("ids")), kind)
+        doc_ids = [None if i == LOWEST else i for i in documents.column("doc_id").to_pylist()]
+        return use(doc_ids, (_take(known, spans, back[a:b])[0] for a, b in zip(first[:-1].tolist(), first[1:].tolist())))
+
+    asked = runs.rows.groupBy("run").applyInArrow(ask, ASKED)
+    folded = (asked.groupBy("bucket").applyInArrow(distinct, DISTINCT)
+              .select("bucket", tokenizer.fold_words(F.col("words")).alias("ids"), "runs", "places"))
+    answers = folded.mapInArrow(reply, ANSWER)
+    return runs.rows.groupBy("run").cogroup(answers.groupBy("run")).applyInArrow(apply, schema)
+
+
+def encode(docs: DataFrame, tokenizer: Tokenizer | None = None, run_bytes: int = R.RUN_BYTES) -> DataFrame:
+    """doc_id, ids (array of int) of every row; a null or empty text has none. Other columns are not read.
+
+    Whole texts are encoded, special tokens are ordinary text. Repeated rows give repeated results.
+    A word of n bytes takes time n squared at worst.
     """
-    tokenizer = tokenizer or Tokenizer().learn_words(docs)
-    ids = docs.select("doc_id", tokenizer.encode(F.col("text")).alias("ids"))
-    return ids.select("doc_id", count_ids(F.col("ids")).alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
-                      F.sha2(tokenizer.decode(F.col("ids")), 256).alias("decoded_sha256"))
+    def use(doc_ids, texts):
+        return pa.table({"doc_id": pa.array(doc_ids, pa.int64()),
+                         "ids": pa.array([ids.astype(np.int32) for ids in texts], pa.list_(pa.int32()))})
+
+    return _with_ids(docs, tokenizer or Tokenizer(), use, "doc_id bigint, ids array<int>", run_bytes)
+
+
+def round_trip(docs: DataFrame, tokenizer: Tokenizer | None = None, run_bytes: int = R.RUN_BYTES) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every row, as :func:`encode`; the ids are decoded again."""
+    tokenizer = tokenizer or Tokenizer()
+    pieces = tokenizer.pieces   # Only these go with the tasks.
+
+    def use(doc_ids, texts):
+        decimal = [str(i) for i in range(len(pieces))]
+        rows = []
+        for ids in texts:
+            ids = ids.tolist()
+            rows.append((len(ids), hashlib.sha256(" ".join(map(decimal.__getitem__, ids)).encode()).hexdigest(),
+                         hashlib.sha256(decode(ids, pieces)).hexdigest()))
+        return pa.table({"doc_id": pa.array(doc_ids, pa.int64()), "n_tokens": pa.array([r[0] for r in rows], pa.int64()),
+                         "ids_sha256": pa.array([r[1] for r in rows], pa.string()),
+                         "decoded_sha256": pa.array([r[2] for r in rows], pa.string())})
+
+    return _with_ids(docs, tokenizer, use, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string", run_bytes)
 
 
 def op9_hof_byte_bpe(docs: DataFrame) -> DataFrame:
