@@ -212,9 +212,41 @@ def decode(ids: list[int], pieces: list[bytes]) -> bytes:
     return b"".join(map(pieces.__getitem__, ids))
 
 
-def _words(table: pa.Table, cutter: Cutter):
+def _squeeze(data: np.ndarray) -> bytes:
+    """Size and compressed bytes: shuffles of words and texts are this operator's disk."""
+    return len(data).to_bytes(8, "little") + pa.compress(pa.py_buffer(data.tobytes()), codec="zstd", asbytes=True)
+
+
+def _unsqueeze(held: bytes) -> bytes:
+    return pa.decompress(held[8:], decompressed_size=int.from_bytes(held[:8], "little"), codec="zstd", asbytes=True)
+
+
+PACKED = "run int, doc_ids binary, sizes binary, texts binary"
+
+
+def _pack(batches):
+    """The texts of a batch and a run as one compressed row; a null text is empty."""
+    for batch in batches:
+        run, doc_ids = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("run", "doc_id"))
+        order = np.argsort(run, kind="stable")
+        for rows in np.split(order, np.flatnonzero(np.diff(run[order])) + 1) if len(order) else ():
+            data, offsets = tokens.flat(batch.column("text").take(pa.array(rows)))
+            yield pa.RecordBatch.from_pydict({
+                "run": pa.array([run[rows[0]]], pa.int32()), "doc_ids": pa.array([doc_ids[rows].astype(np.int64).tobytes()], pa.binary()),
+                "sizes": pa.array([np.diff(offsets).astype(np.int64).tobytes()], pa.binary()),
+                "texts": pa.array([_squeeze(data)], pa.binary())})
+
+
+def _unpack(table: pa.Table) -> tuple[np.ndarray, pa.Array]:
+    """Ids and texts (binary) of a run."""
+    doc_ids, sizes = (np.frombuffer(b"".join(x.as_py() for x in table.column(c)), np.int64) for c in ("doc_ids", "sizes"))
+    offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+    data = b"".join(_unsqueeze(x.as_py()) for x in table.column("texts"))
+    return doc_ids, pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+
+
+def _words(column: pa.Array, cutter: Cutter):
     """Bytes, byte ranges and hashes of all words of a run, and the index of each text's first word."""
-    column = table.column("text").combine_chunks()
     data, offsets = tokens.flat(column)
     starts, ends, hashes = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
     for at, rows in tokens.pieces(column):
@@ -242,18 +274,18 @@ def _with_ids(docs: DataFrame, tokenizer: Tokenizer, use, schema: str, run_bytes
 
     def ask(table: pa.Table) -> pa.Table:
         run = table.column("run")[0].as_py()
-        data, spans, hashes, _ = _words(table, cutter)
+        data, spans, hashes, _ = _words(_unpack(table)[1], cutter)
         kinds, index = np.unique(hashes, return_index=True)
         at = R.by_bucket(kinds, buckets)
         full = np.flatnonzero(np.diff(at))
         parts = [_take(data, spans, index[at[b]:at[b + 1]]) for b in full]
         return pa.table({"run": pa.array([run] * len(full), pa.int32()), "bucket": pa.array(full, pa.int32()),
                          "sizes": pa.array([size.astype(np.int32).tobytes() for _, size in parts], pa.binary()),
-                         "words": pa.array([words.tobytes() for words, _ in parts], pa.binary())})
+                         "words": pa.array([_squeeze(words) for words, _ in parts], pa.binary())})
 
     def distinct(table: pa.Table) -> pa.Table:
         size = [np.frombuffer(x.as_py(), np.int32) for x in table.column("sizes")]
-        data = np.frombuffer(b"".join(x.as_py() for x in table.column("words")), np.uint8)
+        data = np.frombuffer(b"".join(_unsqueeze(x.as_py()) for x in table.column("words")), np.uint8)
         spans = _spans(np.concatenate(size))
         _, index, back = np.unique(tokens.word_hashes(data, *spans), return_index=True, return_inverse=True)
         words, sizes = _take(data, spans, index)
@@ -277,22 +309,24 @@ def _with_ids(docs: DataFrame, tokenizer: Tokenizer, use, schema: str, run_bytes
                     yield pa.RecordBatch.from_pydict({
                         "run": pa.array([run], pa.int32()), "bucket": pa.array([bucket], pa.int32()),
                         "sizes": pa.array([size.astype(np.int32).tobytes()], pa.binary()),
-                        "ids": pa.array([mine.tobytes()], pa.binary())})
+                        "ids": pa.array([_squeeze(mine.view(np.uint8))], pa.binary())})
 
     def apply(documents: pa.Table, replies: pa.Table) -> pa.Table:
-        _, _, hashes, first = _words(documents, cutter)
+        doc_ids, texts = _unpack(documents)
+        _, _, hashes, first = _words(texts, cutter)
         back = np.unique(hashes, return_inverse=True)[1]
         replies = replies.sort_by("bucket")
         size = np.frombuffer(b"".join(x.as_py() for x in replies.column("sizes")), np.int32)
-        spans, known = _spans(size), np.frombuffer(b"".join(x.as_py() for x in replies.column("ids")), kind)
-        doc_ids = [None if i == LOWEST else i for i in documents.column("doc_id").to_pylist()]
+        spans, known = _spans(size), np.frombuffer(b"".join(_unsqueeze(x.as_py()) for x in replies.column("ids")), kind)
+        doc_ids = [None if i == LOWEST else i for i in doc_ids.tolist()]
         return use(doc_ids, (_take(known, spans, back[a:b])[0] for a, b in zip(first[:-1].tolist(), first[1:].tolist())))
 
-    asked = runs.rows.groupBy("run").applyInArrow(ask, ASKED)
+    packed = runs.rows.mapInArrow(_pack, PACKED)
+    asked = packed.groupBy("run").applyInArrow(ask, ASKED)
     folded = (asked.groupBy("bucket").applyInArrow(distinct, DISTINCT)
               .select("bucket", tokenizer.fold_words(F.col("words")).alias("ids"), "runs", "places"))
     answers = folded.mapInArrow(reply, ANSWER)
-    return runs.rows.groupBy("run").cogroup(answers.groupBy("run")).applyInArrow(apply, schema)
+    return packed.groupBy("run").cogroup(answers.groupBy("run")).applyInArrow(apply, schema)
 
 
 def encode(docs: DataFrame, tokenizer: Tokenizer | None = None, run_bytes: int = R.RUN_BYTES) -> DataFrame:
