@@ -294,6 +294,28 @@ def test_bpe(case, encoding):
     same(bpe.op9_hof_byte_bpe(docs), brute.op9(rows, encoding))
 
 
+def test_bpe_many_runs(odd, encoding):
+    docs, rows = odd
+    some = [r for r in rows if r[0] is not None and r[0] < 60]
+    same(bpe.round_trip(docs.where("doc_id < 60"), run_bytes=2_000), brute.op9(some, encoding))
+
+
+def test_bpe_cutter():
+    import pyarrow as pa
+    import regex
+
+    rnd = random.Random(1)
+    letters = list("  \n\t\'\'\'stmdrevlab12!.é你\u0085 \x1c٢\U0001f600")
+    texts = ["".join(rnd.choices(letters, k=rnd.randint(0, 14))) for _ in range(20_000)]
+    data, offsets = tokens.flat(pa.array(texts))
+    want = [m for t in texts for m in regex.findall(public_tokenizers.PATTERN, t)]
+    plain, general = bpe.Cutter(public_tokenizers.PATTERN), bpe.Cutter(bpe.PLAIN + "|(?!)")
+    assert plain.kinds and not general.kinds
+    for cutter in (plain, general):
+        starts, ends = cutter.cut(data, offsets)
+        assert [data[a:b].tobytes().decode() for a, b in zip(starts, ends)] == want
+
+
 def test_bpe_space_and_ids(spark, encoding):
     texts = ["a   b c\u0085d \x1c e​f", "I'll don't 'S 123abc ١٢ x́", "<|endoftext|> \r\n\t\n  end  ", "", None]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
