@@ -51,6 +51,18 @@ def _item_words(text: str | None) -> np.ndarray:
     return tokens.word_hashes(raw, starts, ends)
 
 
+def _term_hashes(column) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words of a segment's texts, and the words of each text; hashing holds one piece at a time."""
+    hashes, n = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    for at, rows in tokens.pieces(column):
+        data, offsets = tokens.flat(column.slice(at, rows))
+        data = tokens.LOWER[data]
+        starts, ends, first = tokens.words(data, offsets, tokens.NOT_ALNUM)
+        hashes.append(tokens.word_hashes(data, starts, ends))
+        n.append(np.diff(first))
+    return np.concatenate(hashes), np.concatenate(n)
+
+
 def build_index(docs: DataFrame, vocabulary: np.ndarray | None = None) -> DataFrame:
     """The index of doc_id, text; with a vocabulary of term hashes, only of those terms.
 
@@ -64,12 +76,9 @@ def build_index(docs: DataFrame, vocabulary: np.ndarray | None = None) -> DataFr
             column = batch.column("text")
             for at, rows in tokens.pieces(column, SEGMENT):
                 part = column.slice(at, rows)
-                data, offsets = tokens.flat(part)
-                data = tokens.LOWER[data]
-                starts, ends, first = tokens.words(data, offsets, tokens.NOT_ALNUM)
-                h = tokens.word_hashes(data, starts, ends)
-                n = np.diff(first)
-                place = np.arange(len(h)) + np.repeat(np.arange(len(n)), n)  # a gap before each next text
+                h, n = _term_hashes(part)
+                begin = np.cumsum(n) - n + np.arange(len(n))  # a gap before each next text
+                place = np.arange(len(h)) + np.repeat(np.arange(len(n)), n)
                 if vocabulary is not None:
                     near = np.minimum(np.searchsorted(vocabulary, h), max(0, len(vocabulary) - 1))
                     known = vocabulary[near] == h if len(vocabulary) else np.zeros(len(h), bool)
@@ -81,7 +90,7 @@ def build_index(docs: DataFrame, vocabulary: np.ndarray | None = None) -> DataFr
                 ids = batch.column("doc_id").slice(at, rows)
                 yield pa.RecordBatch.from_arrays([
                     pa.ListArray.from_arrays(pa.array([0, rows], pa.int32()), ids.cast(pa.int64())),
-                    lists(n), lists(first[:-1] + np.arange(len(n))),
+                    lists(n), lists(begin),
                     pa.array([h[last].tobytes()], pa.binary()), pa.array([(last + 1).astype(np.int64).tobytes()], pa.binary()),
                     pa.array([place.astype(np.int32).tobytes()], pa.binary())],
                     ["doc_ids", "n_words", "places", "terms", "ends", "postings"])
@@ -278,6 +287,7 @@ def search(docs: DataFrame, items: DataFrame, near_terms: int = 5, slop: int = 2
 def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The rows whose id has no contaminated text, with all their columns; rows with a null id are judged together."""
     bad = search(docs, items).where("contaminated").select(F.col("doc_id").alias("_bad")).distinct()
+    bad = materialize(bad, "contaminated")  # the planner knows the size of a written table before it deals the texts out
     return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_bad"]), "left_anti")
 
 
