@@ -54,7 +54,7 @@ def _item_words(text: str | None) -> np.ndarray:
 def _term_hashes(column) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words of a segment's texts, and the words of each text; hashing holds one piece at a time."""
     hashes, n = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-    for at, rows in tokens.pieces(column):
+    for at, rows in tokens.pieces(column, tokens.SMALL_PIECE):
         data, offsets = tokens.flat(column.slice(at, rows))
         data = tokens.LOWER[data]
         starts, ends, first = tokens.words(data, offsets, tokens.NOT_ALNUM)

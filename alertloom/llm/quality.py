@@ -64,7 +64,7 @@ def _line_repeats(data: np.ndarray, offsets: np.ndarray, starts: np.ndarray, has
 def measure(column) -> list[np.ndarray]:
     """STATS of each text of an Arrow column."""
     parts = []
-    for at, rows in tokens.pieces(column):
+    for at, rows in tokens.pieces(column, tokens.SMALL_PIECE):
         data, offsets = tokens.flat(column.slice(at, rows))
         starts, ends, first = tokens.words(data, offsets, tokens.SPACE)
         sums = tokens.prefix_sums(tokens.BYTE_CODE[data], tokens.BYTE_BASE)
@@ -194,11 +194,10 @@ def annotate(docs: DataFrame, labels: DataFrame, stratum: str = "lang", **risk)
 
 
 def keep(docs: DataFrame, labels: DataFrame, stratum: str = "lang", **risk) -> DataFrame:
-    """The rows that :func:`annotate` keeps, with all their columns; labelled rows are measured once more, first."""
-    labelled = docs.select("doc_id", _stratum(docs, stratum).alias("stratum"), "text").join(
-        labels.select("doc_id").distinct(), "doc_id", "left_semi")
-    measured = labelled.select("doc_id", "stratum", stats("text").alias("s")).select("doc_id", "stratum", "s.*")
-    thresholds = calibrate(materialize(measured, "quality-labelled"), labels, **risk)
+    """The rows that :func:`annotate` keeps, with all their columns. Texts are measured for the calibration and again
+    for the verdict: only narrow rows are shuffled, and no copy of the texts is written."""
+    measured = docs.select("doc_id", _stratum(docs, stratum).alias("stratum"), stats("text").alias("s"))
+    thresholds = calibrate(materialize(measured.select("doc_id", "stratum", "s.*"), "quality-measured"), labels, **risk)
     # The statistics stand beside the row in one struct, so no column of it can clash.
     rows = docs.select(F.struct(*docs.columns).alias("row"), _stratum(docs, stratum).alias("stratum"), stats("text").alias("s"))
     return rows.select("row", "stratum", "s.*").where(verdict(thresholds, F.col("stratum"))).select("row.*")

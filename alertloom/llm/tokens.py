@@ -17,6 +17,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 #: Bytes of text that one step works on, or one text if that is longer.
 PIECE = 1 << 20
+#: The same for steps that hold about ten numbers for every byte.
+SMALL_PIECE = 1 << 18
 #: Odd multipliers of the rolling hashes of bytes and of words, modulo 2**64.
 BYTE_BASE, WORD_BASE = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95
 

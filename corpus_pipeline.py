@@ -8,8 +8,14 @@ from alertloom.llm import bpe, decontaminate, quality, secrets, simhash
 from alertloom.llm.tables import materialize, read
 
 
+#: Rows of a batch that goes to Python. A row is a whole document, so Spark's default of 10 000 rows is tens of MB
+#: in the JVM and again in each worker.
+BATCH_ROWS = 1000
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the base rule or a calibrated rule rejects go."""
+    """Documents that the base rule or a calibrated rule rejects go. The session's batches hold BATCH_ROWS from here on."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     return quality.keep(docs, read(spark, sf_dir, "labels"))
 
 

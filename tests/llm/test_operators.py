@@ -371,6 +371,7 @@ def test_null_texts_only(spark):
 
 def test_results_do_not_depend_on_pieces(given, spark, monkeypatch):
     docs, rows = given
+    monkeypatch.setattr(tokens, "SMALL_PIECE", 3_000)
     monkeypatch.setattr(tokens.pieces, "__defaults__", (3_000,))
     same(suffixes.op1_suffix_merge_dedup(docs), brute.op1(rows))
     same(windows.op5_rabin_karp_windows(docs), brute.op5(rows))
