@@ -8,6 +8,7 @@ components.
 
 from __future__ import annotations
 
+import itertools
 import sys
 
 import numpy as np
@@ -34,7 +35,7 @@ def simhash(text: str | None, shingle: int = SHINGLE, step: int = 1 << 16) -> in
     shingles = zip(*(words[i:] for i in range(shingle))) if len(words) > shingle else iter([words])
     ones, n = np.zeros(64, np.int64), 0
     while True:
-        hashes = b"".join([xxhash.xxh64_digest(b" ".join(s), SEED) for s, _ in zip(shingles, range(step))])
+        hashes = b"".join([xxhash.xxh64_digest(b" ".join(s), SEED) for s in itertools.islice(shingles, step)])
         if not hashes:
             break
         bits = np.unpackbits(np.frombuffer(hashes, np.uint8)).reshape(-1, 64)

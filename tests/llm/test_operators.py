@@ -379,3 +379,12 @@ def test_results_do_not_depend_on_pieces(given, spark, monkeypatch):
     same(quality.op6_risk_controlled_quality(docs, labels).drop("kept"), brute.op6(rows))
     base = [(r["doc_id"], r["n_tokens"], r["n_known"]) for r in classes.score(docs).collect()]
     assert sorted(base) == sorted((x[0], x[2], x[3]) for x in brute.op10_base(rows))
+
+
+@pytest.mark.parametrize("shingles", [65_537, 200_000])
+def test_simhash_of_long_texts(shingles):
+    """Two shingles take turns, so one that is left out changes which of them has the majority."""
+    text = " ".join("ab"[k % 2] for k in range(shingles + 2))
+    assert simhash.simhash(text) == brute.fingerprint(text)
+    words = " ".join(str(k * k) for k in range(100))
+    assert all(simhash.simhash(words, step=n) == brute.fingerprint(words) for n in range(1, 120))
