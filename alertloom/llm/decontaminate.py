@@ -66,7 +66,7 @@ def _term_hashes(column) -> tuple[np.ndarray, np.ndarray]:
 def build_index(docs: DataFrame, vocabulary: np.ndarray | None = None) -> DataFrame:
     """The index of doc_id, text; with a vocabulary of term hashes, only of those terms.
 
-    n_words and places tell for each text how many words it has and at which position they begin.
+    ``segment`` numbers the rows; it is fixed once the index is written. n_words and places tell for each text how many words it has and at which position they begin.
     """
     if vocabulary is not None:
         vocabulary = np.unique(vocabulary)
@@ -95,7 +95,8 @@ def build_index(docs: DataFrame, vocabulary: np.ndarray | None = None) -> DataFr
                     pa.array([place.astype(np.int32).tobytes()], pa.binary())],
                     ["doc_ids", "n_words", "places", "terms", "ends", "postings"])
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(segments, SEGMENTS)
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(segments, SEGMENTS)
+    return rows.withColumn("segment", F.monotonically_increasing_id())
 
 
 def term_counts(index: DataFrame) -> DataFrame:
@@ -196,16 +197,13 @@ HITS = "segment bigint, text bigint, doc_id bigint, n_words bigint, hit binary,
 def matches(index: DataFrame, phrases: Phrases, rare: list[np.ndarray], slop: int, every_text: bool) -> DataFrame:
     """HITS of the phrases: of every text, or only of texts with an exact or near match.
 
-    ``segment`` and ``text`` name a row: a hash of the segment, and the text's number in it.
+    ``segment`` and ``text`` name a row: the number of the segment in the written index, and the text's number in it.
     """
     def find(batches):
         for batch in batches:
             for i in range(batch.num_rows):  # a row is a few MB
                 row = batch.slice(i, 1).to_pylist()[0]
                 seg = Segment(row)
-                own = int(tokens.mix(np.array([len(seg.terms)], np.uint64))[0] >> np.uint64(1))
-                own ^= int.from_bytes(hashlib.blake2b(
-                    row["postings"] + repr((row["doc_ids"], row["n_words"])).encode(), digest_size=7).digest(), "big")
                 total = int(seg.places[-1] + seg.n_words[-1]) if len(seg.places) else 0
                 step = np.zeros(total + 1, np.int64)
                 items: dict[int, set] = {}
@@ -223,7 +221,7 @@ def matches(index: DataFrame, phrases: Phrases, rare: list[np.ndarray], slop: in
                 out = {"segment": [], "text": [], "doc_id": [], "n_words": [], "hit": [], "items": [], "near": []}
                 for t in texts:
                     span = hit[seg.places[t]:seg.places[t] + seg.n_words[t]]
-                    for k, v in (("segment", own), ("text", t), ("doc_id", seg.ids[t]), ("n_words", int(seg.n_words[t])),
+                    for k, v in (("segment", row["segment"]), ("text", t), ("doc_id", seg.ids[t]), ("n_words", int(seg.n_words[t])),
                                  ("hit", np.packbits(span).tobytes() if span.any() else b""),
                                  ("items", names(items.get(t, ()))), ("near", names(close.get(t, ())))):
                         out[k].append(v)

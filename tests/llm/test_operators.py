@@ -9,7 +9,7 @@ import tiktoken
 from pyspark.sql import functions as F, types as T
 
 import brute
-from alertloom.llm import (bpe, classes, components, decontaminate, language, quality, secrets, sharding, simhash, suffixes, tokens, windows)
+from alertloom.llm import (bpe, classes, components, decontaminate, language, quality, secrets, sharding, simhash, suffixes, tables, tokens, windows)
 
 CLASHES = ["run", "print", "row", "run_", "words", "n_words", "bucket", "_id", "stratum", "spans", "s", "k1", "p"]
 SCHEMA = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()),
@@ -388,3 +388,13 @@ def test_simhash_of_long_texts(shingles):
     assert simhash.simhash(text) == brute.fingerprint(text)
     words = " ".join(str(k * k) for k in range(100))
     assert all(simhash.simhash(words, step=n) == brute.fingerprint(words) for n in range(1, 120))
+
+
+def test_decontamination_of_repeated_rows(spark, monkeypatch):
+    rows = [(i, " ".join(f"w{i}x{k}" for k in range(40))) for i in range(4)]
+    docs = tables.materialize(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), "test")
+    items = [(i, " ".join(t.split()[5:25])) for i, t in rows]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    monkeypatch.setattr(decontaminate, "BLOCK", 2)
+    got = decontaminate.op7_positional_index_decontamination(docs.union(docs), bench)
+    same(got.drop("n_near_items"), brute.op7(rows + rows, items))
