@@ -172,9 +172,9 @@ class Segment:
             if at is not None and len(at):
                 yield w, at.astype(np.int64)
 
-    def near(self, rare: list[np.ndarray], slop: int):
-        """(item, text) of items whose rarest terms all stand within ``slop`` words of the rarest one, in any order."""
-        for i, terms in enumerate(rare):
+    def near(self, rare: list[tuple[np.ndarray, int]]):
+        """(item, text) of items whose rarest terms all stand within the item's span of the rarest one, in any order."""
+        for i, (terms, slop) in enumerate(rare):
             numbers = self.list_numbers(terms)
             if not len(terms) or (numbers < 0).any():
                 continue
@@ -194,7 +194,7 @@ class Segment:
 HITS = "segment bigint, text bigint, doc_id bigint, n_words bigint, hit binary, items array<string>, near array<string>"
 
 
-def matches(index: DataFrame, phrases: Phrases, rare: list[np.ndarray], slop: int, every_text: bool) -> DataFrame:
+def matches(index: DataFrame, phrases: Phrases, rare: list[tuple[np.ndarray, int]], every_text: bool) -> DataFrame:
     """HITS of the phrases: of every text, or only of texts with an exact or near match.
 
     ``segment`` and ``text`` name a row: the number of the segment in the written index, and the text's number in it.
@@ -214,7 +214,7 @@ def matches(index: DataFrame, phrases: Phrases, rare: list[np.ndarray], slop: in
                         items.setdefault(int(t), set()).add(int(phrases.item[w]))
                 hit = np.cumsum(step[:-1]) > 0
                 close: dict[int, set] = {}
-                for i, t in seg.near(rare, slop):
+                for i, t in seg.near(rare):
                     close.setdefault(t, set()).add(i)
                 texts = range(len(seg.ids)) if every_text else sorted(set(items) | set(close))
                 names = lambda found: sorted({str(phrases.items[i]) for i in found})
@@ -252,7 +252,8 @@ def search(docs: DataFrame, items: DataFrame, near_terms: int = 5, slop: int = 2
     BLOCK items, each block in one scan of the stored index. Items with a null text or
     without a word have no window; items with equal ids count as one, a null id is listed as None. A null text has no words. A
     repeated row is found again on its own. A very long text is one segment. Other columns are not read.
-    ``near_items`` have their ``near_terms`` rarest terms within ``slop`` words of the rarest, in any order.
+    ``near_items`` have the ``near_terms`` rarest of their terms that the corpus has within ``slop`` words of the rarest, or
+    within the item's length if that is longer, in any order; so a whole item that occurs is near, too.
     """
     queries = [(r["item_id"], _item_words(r["text"])) for r in items.select("item_id", "text").orderBy("item_id", "text").toLocalIterator()]
     queries = [(i, h) for i, h in queries if len(h)]
@@ -266,9 +267,9 @@ def search(docs: DataFrame, items: DataFrame, near_terms: int = 5, slop: int = 2
     found = None
     for at in range(0, max(1, len(queries)), BLOCK):
         block = queries[at:at + BLOCK]
-        by_rarity = [sorted(set(h.view(np.int64).tolist()), key=lambda x: (counted.get(x, 0), x))[:near_terms] for _, h in block]
-        rare = [np.array(x, np.int64).view(np.uint64) for x in by_rarity]
-        part = matches(index, phrases_of(block, counted), rare, slop, every_text=at == 0)
+        by_rarity = [sorted(counted.keys() & h.view(np.int64).tolist(), key=lambda x: (counted[x], x))[:near_terms] for _, h in block]
+        rare = [(np.array(x, np.int64).view(np.uint64), max(slop, len(h))) for x, (_, h) in zip(by_rarity, block)]
+        part = matches(index, phrases_of(block, counted), rare, every_text=at == 0)
         found = part if found is None else found.unionByName(part)
     if len(queries) > BLOCK:
         found = found.groupBy("segment", "text", "doc_id", "n_words").agg(

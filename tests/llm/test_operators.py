@@ -2,6 +2,7 @@
 
 import random
 import string
+from collections import Counter
 
 import public_tokenizers
 import pytest
@@ -398,3 +399,35 @@ def test_decontamination_of_repeated_rows(spark, monkeypatch):
     monkeypatch.setattr(decontaminate, "BLOCK", 2)
     got = decontaminate.op7_positional_index_decontamination(docs.union(docs), bench)
     same(got.drop("n_near_items"), brute.op7(rows + rows, items))
+
+
+def near_items(rows, items, near_terms=5, slop=26):
+    """near_items of every row, by trying every place of the rarest term."""
+    split = [brute.ALNUM_WORD.findall(brute.lower(t or "")) for _, t in rows]
+    counts = Counter(w for words in split for w in words)
+    number = lambda w: int(decontaminate._item_words(w).view("int64")[0])
+    out = [set() for _ in rows]
+    for k, t in items:
+        own = brute.ALNUM_WORD.findall(brute.lower(t or ""))
+        terms = sorted({w for w in own if counts[w]}, key=lambda w: (counts[w], number(w)))[:near_terms]
+        span = max(slop, len(own))
+        for found, words in zip(out, split):
+            if terms and any(w == terms[0] and set(terms) <= set(words[max(0, p - span):p + span + 1]) for p, w in enumerate(words)):
+                found.add(str(k))
+    return out
+
+
+def test_near_items(case, spark):
+    docs, rows = case
+    long = [(t, brute.ALNUM_WORD.findall(brute.lower(t))) for _, t in rows if t and len(t.split()) > 60]
+    items = [(k, " ".join(w[3:3 + n])) for k, (n, (_, w)) in enumerate(zip((59, 40, 30, 59, 13, 5, 1, 55), long))]
+    items += [(20, " ".join(long[1][1][:20]) + " neverseenanywhere"), (21, "neverseenanywhere"), (22, long[2][1][0]), (23, None)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = decontaminate.search(docs, bench)
+    want = near_items(rows, items)
+    found = sorted(((r["doc_id"], sorted(r["near_items"])) for r in got.select("doc_id", "near_items").collect()), key=repr)
+    assert found == sorted(((i, sorted(n)) for (i, _), n in zip(rows, want)), key=repr)
+    assert any("20" in n for n in want) and not any("21" in n for n in want)
+    for (_, t), n in zip(rows, want):
+        text = " " + " ".join(brute.ALNUM_WORD.findall(brute.lower(t or ""))) + " "
+        assert {str(k) for k, x in items if x and f" {x} " in text} <= n
