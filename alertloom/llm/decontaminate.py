@@ -16,7 +16,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from . import tokens
 from .tables import materialize
@@ -31,7 +31,7 @@ MAX_TERMS = 2_000_000
 #: Query items that one scan of the index looks for.
 BLOCK = 5_000
 
-SEGMENTS = ("doc_ids array<bigint>, n_words array<bigint>, places array<bigint>, terms binary, ends binary, postings binary")
+SEGMENTS = ("doc_ids array<bigint>, k1 array<bigint>, k2 array<bigint>, n_words array<bigint>, places array<bigint>, terms binary, ends binary, postings binary")
 
 
 @dataclass(frozen=True)
@@ -63,10 +63,16 @@ def _term_hashes(column) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(hashes), np.concatenate(n)
 
 
+def _text_keys(text: Column) -> tuple[Column, Column]:
+    """Two 64-bit hashes of a text; a null text is empty."""
+    text = F.coalesce(text.cast("string"), F.lit(""))
+    return F.xxhash64(text), F.xxhash64(F.lit(1), text)
+
+
 def build_index(docs: DataFrame, vocabulary: np.ndarray | None = None) -> DataFrame:
     """The index of doc_id, text; with a vocabulary of term hashes, only of those terms.
 
-    ``segment`` numbers the rows; it is fixed once the index is written. n_words and places tell for each text how many words it has and at which position they begin.
+    ``segment`` numbers the rows; it is fixed once the index is written. k1 and k2 are hashes of each text. n_words and places tell for each text how many words it has and at which position they begin.
     """
     if vocabulary is not None:
         vocabulary = np.unique(vocabulary)
@@ -87,16 +93,16 @@ def build_index(docs: DataFrame, vocabulary: np.ndarray | None = None) -> DataFr
                 h, place = h[order], place[order]
                 last = np.flatnonzero(np.append(h[1:] != h[:-1], True)) if len(h) else np.zeros(0, np.int64)
                 lists = lambda x: pa.array([x.astype(np.int64)], pa.list_(pa.int64()))
-                ids = batch.column("doc_id").slice(at, rows)
+                one = lambda c: pa.ListArray.from_arrays(pa.array([0, rows], pa.int32()), batch.column(c).slice(at, rows).cast(pa.int64()))
                 yield pa.RecordBatch.from_arrays([
-                    pa.ListArray.from_arrays(pa.array([0, rows], pa.int32()), ids.cast(pa.int64())),
-                    lists(n), lists(begin),
+                    one("doc_id"), one("k1"), one("k2"), lists(n), lists(begin),
                     pa.array([h[last].tobytes()], pa.binary()), pa.array([(last + 1).astype(np.int64).tobytes()], pa.binary()),
                     pa.array([place.astype(np.int32).tobytes()], pa.binary())],
-                    ["doc_ids", "n_words", "places", "terms", "ends", "postings"])
+                    ["doc_ids", "k1", "k2", "n_words", "places", "terms", "ends", "postings"])
 
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(segments, SEGMENTS)
-    return rows.withColumn("segment", F.monotonically_increasing_id())
+    k1, k2 = _text_keys(F.col("text"))
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), k1.alias("k1"), k2.alias("k2"), "text")
+    return rows.mapInArrow(segments, SEGMENTS).withColumn("segment", F.monotonically_increasing_id())
 
 
 def term_counts(index: DataFrame) -> DataFrame:
@@ -191,7 +197,7 @@ class Segment:
 
 
 #: One row for each text and block of items: words hit as a bit for each word, ids of items found and near.
-HITS = "segment bigint, text bigint, doc_id bigint, n_words bigint, hit binary, items array<string>, near array<string>"
+HITS = "segment bigint, text bigint, doc_id bigint, k1 bigint, k2 bigint, n_words bigint, hit binary, items array<string>, near array<string>"
 
 
 def matches(index: DataFrame, phrases: Phrases, rare: list[tuple[np.ndarray, int]], every_text: bool) -> DataFrame:
@@ -218,16 +224,17 @@ def matches(index: DataFrame, phrases: Phrases, rare: list[tuple[np.ndarray, int
                     close.setdefault(t, set()).add(i)
                 texts = range(len(seg.ids)) if every_text else sorted(set(items) | set(close))
                 names = lambda found: sorted({str(phrases.items[i]) for i in found})
-                out = {"segment": [], "text": [], "doc_id": [], "n_words": [], "hit": [], "items": [], "near": []}
+                out = {"segment": [], "text": [], "doc_id": [], "k1": [], "k2": [], "n_words": [], "hit": [], "items": [], "near": []}
                 for t in texts:
                     span = hit[seg.places[t]:seg.places[t] + seg.n_words[t]]
-                    for k, v in (("segment", row["segment"]), ("text", t), ("doc_id", seg.ids[t]), ("n_words", int(seg.n_words[t])),
+                    for k, v in (("segment", row["segment"]), ("text", t), ("doc_id", seg.ids[t]), ("k1", row["k1"][t]), ("k2", row["k2"][t]), ("n_words", int(seg.n_words[t])),
                                  ("hit", np.packbits(span).tobytes() if span.any() else b""),
                                  ("items", names(items.get(t, ()))), ("near", names(close.get(t, ())))):
                         out[k].append(v)
                 if texts:
                     yield pa.RecordBatch.from_pydict(out, pa.schema([
-                        ("segment", pa.int64()), ("text", pa.int64()), ("doc_id", pa.int64()), ("n_words", pa.int64()),
+                        ("segment", pa.int64()), ("text", pa.int64()), ("doc_id", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()),
+                        ("n_words", pa.int64()),
                         ("hit", pa.binary()), ("items", pa.list_(pa.string())), ("near", pa.list_(pa.string()))]))
 
     return index.mapInArrow(find, HITS)
@@ -246,7 +253,7 @@ def _digest(hits: pa.Array, items: pa.Array) -> pa.Array:
 
 
 def search(docs: DataFrame, items: DataFrame, near_terms: int = 5, slop: int = 2 * WINDOW) -> DataFrame:
-    """doc_id, n_words, n_hit, items, near_items and contaminated of every row of docs.
+    """doc_id, k1 and k2 (hashes of the text), n_words, n_hit, items, items_sha256, near_items and contaminated of every row of docs.
 
     ``items`` (item_id, text) is the stated set of queries: its words go to the tasks in blocks of
     BLOCK items, each block in one scan of the stored index. Items with a null text or
@@ -272,22 +279,23 @@ def search(docs: DataFrame, items: DataFrame, near_terms: int = 5, slop: int = 2
         part = matches(index, phrases_of(block, counted), rare, every_text=at == 0)
         found = part if found is None else found.unionByName(part)
     if len(queries) > BLOCK:
-        found = found.groupBy("segment", "text", "doc_id", "n_words").agg(
+        found = found.groupBy("segment", "text", "doc_id", "k1", "k2", "n_words").agg(
             F.collect_list("hit").alias("hits"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"),
             F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
     else:
         found = found.select("*", F.array("hit").alias("hits"))
-    found = found.select("doc_id", "n_words", F.array_distinct("items").alias("items"), F.array_distinct("near").alias("near"),
+    found = found.select("doc_id", "k1", "k2", "n_words", F.array_distinct("items").alias("items"), F.array_distinct("near").alias("near"),
                          _digest("hits", F.array_distinct("items")).alias("d"))
-    return found.select("doc_id", "n_words", "d.n_hit", "items", "d.items_sha256", F.col("near").alias("near_items"),
+    return found.select("doc_id", "k1", "k2", "n_words", "d.n_hit", "items", "d.items_sha256", F.col("near").alias("near_items"),
                         ((F.col("d.n_hit") > 0) & (F.col("d.n_hit") * 20 >= F.col("n_words"))).alias("contaminated"))
 
 
 def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The rows whose id has no contaminated text, with all their columns; rows with a null id are judged together."""
-    bad = search(docs, items).where("contaminated").select(F.col("doc_id").alias("_bad")).distinct()
+    """The rows without a contaminated text, with all their columns: a row is known by its id and a 128-bit hash of its text."""
+    bad = search(docs, items).where("contaminated").select(F.col("doc_id").alias("_bad"), "k1", "k2").distinct()
     bad = materialize(bad, "contaminated")  # the planner knows the size of a written table before it deals the texts out
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_bad"]), "left_anti")
+    k1, k2 = _text_keys(docs["text"])
+    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_bad"]) & (k1 == bad["k1"]) & (k2 == bad["k2"]), "left_anti")
 
 
 def op7_positional_index_decontamination(docs: DataFrame, items: DataFrame) -> DataFrame:

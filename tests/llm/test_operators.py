@@ -431,3 +431,13 @@ def test_near_items(case, spark):
     for (_, t), n in zip(rows, want):
         text = " " + " ".join(brute.ALNUM_WORD.findall(brute.lower(t or ""))) + " "
         assert {str(k) for k, x in items if x and f" {x} " in text} <= n
+
+
+def test_decontamination_decides_by_row(spark):
+    bad, good = " ".join(f"bad{k}" for k in range(30)), " ".join(f"good{k}" for k in range(30))
+    rows = [(None, bad), (None, good), (None, None), (1, bad), (1, good), (2, good), (3, bad), (3, bad)]
+    docs = spark.createDataFrame([(*r, "z") for r in rows], "doc_id long, text string, k1 string")
+    bench = spark.createDataFrame([(1, bad)], "item_id long, text string")
+    kept = decontaminate.clean(docs, bench)
+    assert kept.columns == docs.columns
+    assert as_rows(kept, "doc_id", "text") == sorted((r for r in rows if r[1] != bad), key=repr)
