@@ -20,7 +20,7 @@ HEX = r"[0-9a-f]+"
 #: Runs of 16 and more are those of HEX that pass its length test; no match is lost or gained.
 HEX_LONG = r"[0-9a-f]{16,}"
 ACCESS_LONG = r"AKIA[A-Z0-9]{14,}"
-IDENT = r"\b[A-Z][A-Z0-9]{15,31}\b"
+IDENT = r"\b[A-Z][A-Z0-9]{15,}\b"
 OPAQUE = r"[A-Za-z0-9+/_-]{24,}"
 ENDPOINT = r"\b(?:https?|ftp|s3|wss?)://[^\x00-\x20\"'<>]{4,}"
 
@@ -53,7 +53,7 @@ def _spans(located: Column, kind: str, keep=None) -> Column:
 
 
 def _mixed(m: Column) -> Column:
-    return m.rlike("[0-9]") & m.rlike("[A-Z]") & m.rlike("[a-z]") & (F.length(m) <= 88)
+    return m.rlike("[0-9]") & m.rlike("[A-Z]") & m.rlike("[a-z]")
 
 
 def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
