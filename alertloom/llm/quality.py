@@ -114,7 +114,7 @@ def base_failed(n_words: Column, n_repeat_words: Column) -> Column:
     return (n_words < 20) | (n_repeat_words * 100 > n_words * 30)
 
 
-def _fires(rule: str, cutoff: int) -> Column:
+def _fires(rule: str, cutoff: int | Column) -> Column:
     """Whether a rule rejects a row that has the STATS as columns."""
     expr, large, _ = RULES[rule]
     return F.expr(expr) > cutoff if large else F.expr(expr) < cutoff
@@ -122,22 +122,21 @@ def _fires(rule: str, cutoff: int) -> Column:
 
 @dataclass(frozen=True)
 class Thresholds:
-    """Cutoffs as (stratum, rule, cutoff, bound); strata that are not in ``own`` use those of '*'."""
+    """Cutoffs as (stratum, rule, cutoff, bound); a stratum without one of its own has no learned rule. ``own`` were tried."""
 
     own: tuple[str, ...]
     rules: tuple[tuple[str, str, int, float], ...]
 
 
-def calibrate(measured: DataFrame, labels: DataFrame, alpha: float = 0.03, delta: float = 0.05, min_good: int = 100,
-              max_strata: int = 64) -> Thresholds:
+def calibrate(measured: DataFrame, labels: DataFrame, alpha: float = 0.03, delta: float = 0.05, min_good: int = 100) -> Thresholds:
     """The strictest cutoff of each rule and stratum that keeps its promise.
 
     ``measured`` has doc_id, stratum and the STATS. All labelled rows are holdouts: no cutoff was
     fitted on them. Good texts are labelled quality 1 and not toxic; a document that carries
-    several labels is good if all are. A stratum with fewer than ``min_good`` good texts, or beyond the
-    ``max_strata`` largest, is pooled in '*'. Each rule may wrongly reject alpha / rules of the
+    several labels is good if all are. A stratum with fewer than ``min_good`` good texts is not tried; no
+    stratum uses the cutoffs of others. Each rule may wrongly reject alpha / rules of the
     good texts, so together they reject at most alpha; each bound has confidence
-    1 - delta / (strata x cutoffs).
+    1 - delta / (strata tried x cutoffs).
     """
     fine = F.coalesce(F.col("quality") == 1, F.lit(False))
     if "toxic" in labels.columns:
@@ -148,14 +147,11 @@ def calibrate(measured: DataFrame, labels: DataFrame, alpha: float = 0.03, delta
     usable = measured.join(good, "doc_id", "left_semi").where(~base_failed(F.col("n_words"), F.col("n_repeat_words")))
     counts = usable.groupBy("stratum").agg(F.count("*").alias("n"), *(
         F.sum(_fires(r, c).cast("bigint")).alias(f"{r}_{c}") for r, c in tried))
-    large = counts.where(F.col("n") >= min_good).orderBy(F.desc("n"), "stratum").limit(max_strata).collect()
-    own = tuple(r["stratum"] for r in large)
-    pooled = (counts.where(~F.col("stratum").isin(*own)) if own else counts).agg(
-        *(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in counts.columns if c != "stratum")).first()
-    strata = [*((r["stratum"], r) for r in large), ("*", pooled)]
-    confidence, limit = 1 - delta / (len(strata) * len(tried)), alpha / len(RULES)
+    strata = counts.where(F.col("n") >= min_good).orderBy(F.desc("n"), "stratum").collect()  # one small row a stratum
+    own = tuple(r["stratum"] for r in strata)
+    confidence, limit = 1 - delta / (max(1, len(strata)) * len(tried)), alpha / len(RULES)
     out = []
-    for name, row in strata:
+    for name, row in zip(own, strata):
         for rule, (_, _, cuts) in RULES.items():
             for c in cuts:  # from strict to lax
                 n, failures = int(row["n"]), int(row[f"{rule}_{c}"])
@@ -167,10 +163,11 @@ def calibrate(measured: DataFrame, labels: DataFrame, alpha: float = 0.03, delta
 
 def verdict(thresholds: Thresholds, stratum: Column) -> Column:
     """Whether a row with the STATS as columns stays: no rule of its stratum rejects it."""
-    stratum = F.when(stratum.isin(*thresholds.own), stratum).otherwise(F.lit("*")) if thresholds.own else F.lit("*")
     out = F.lit(True)
-    for name, rule, cutoff, _ in thresholds.rules:
-        out = out & ~((stratum == name) & _fires(rule, cutoff))
+    for rule in RULES:
+        cutoffs = [F.lit(x) for name, r, cutoff, _ in thresholds.rules if r == rule for x in (name, cutoff)]
+        if cutoffs:  # a stratum that is not in the map has no cutoff
+            out = out & ~F.coalesce(_fires(rule, F.try_element_at(F.create_map(*cutoffs), stratum)), F.lit(False))
     return ~base_failed(F.col("n_words"), F.col("n_repeat_words")) & out
 
 
