@@ -14,7 +14,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from . import tokens
 from .tables import fold_of
@@ -30,7 +30,7 @@ UNKNOWN = "und"
 @dataclass(frozen=True)
 class Model:
     languages: tuple[str, ...]
-    slots: np.ndarray            # uint64 masks, 2 ** SLOT_BITS of them
+    slots: np.ndarray            # uint64 masks of 64 languages each, 2 ** SLOT_BITS in a row, a row for every 64 languages
     false_rate: tuple[float, ...]  # chance that an n-gram outside the language hits its slices
 
 
@@ -71,15 +71,18 @@ def _slots(h: np.ndarray):
         yield ((h + np.uint64(k) * step) & np.uint64((1 << SLOT_BITS) - 1)).astype(np.int64)
 
 
+def _by_language(values: dict) -> Column:
+    """The value of the row's language; null without one."""
+    return F.try_element_at(F.create_map(*(F.lit(x) for pair in values.items() for x in pair)), F.col("lang")) if values else F.lit(None)
+
+
 def training_rows(docs: DataFrame, per_language: int, seed: int) -> DataFrame:
     """lang, text: at most about ``per_language`` labelled texts of each language, chosen by a hash of the id."""
     learn = docs.select(F.col("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text")).where(
         F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold_of("doc_id", 4) != 2))
     sizes = {r["lang"]: r["n"] for r in learn.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     scale = 1 << 30
-    cut = F.lit(0)
-    for lang, n in sizes.items():
-        cut = F.when(F.col("lang") == lang, min(scale, scale * per_language // n)).otherwise(cut)
+    cut = _by_language({lang: min(scale, scale * per_language // n) for lang, n in sizes.items()})
     return learn.where(F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(scale)) < cut).select("lang", "text")
 
 
@@ -90,34 +93,31 @@ def fit(docs: DataFrame, per_language: int = 4000, share: float = 0.001, dominan
     of the id. For every n-gram Spark counts the texts of each language that have it. A language
     contains an n-gram if at least ``share`` of its texts do, and that rate is at least
     ``dominance`` of the rate of the language that has it most; so a quotation or a wrong label
-    does not put an n-gram into a language. At most 64 languages, the largest ones.
+    does not put an n-gram into a language. A slot has a mask word for every 64 languages.
     """
     rows = training_rows(docs, per_language, seed)
     counted = (rows.mapInArrow(_document_grams, "lang string, gram bigint, n bigint")
                .groupBy("lang", "gram").agg(F.sum("n").alias("n")))
     sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    languages = tuple(sorted(sorted(sizes, key=lambda k: (-sizes[k], k))[:64]))
+    languages = tuple(sorted(sizes))
     if not languages:
         return None
-    rate = F.lit(0.0)
-    for lang in languages:
-        rate = F.when(F.col("lang") == lang, F.col("n") / F.lit(float(sizes[lang]))).otherwise(rate)
-    bit = F.lit(-1)
-    for i, lang in enumerate(languages):
-        bit = F.when(F.col("lang") == lang, i).otherwise(bit)
+    rate = F.col("n") / _by_language({lang: float(n) for lang, n in sizes.items()})
+    bit = _by_language({lang: i for i, lang in enumerate(languages)})
     # Rates of at least `share` are a bounded number of n-grams: a text has a bounded number of them on average.
     kept = (counted.select("gram", bit.alias("bit"), rate.alias("rate"))
-            .where((F.col("bit") >= 0) & (F.col("rate") >= share))
+            .where(F.col("rate") >= share)
             .groupBy("gram").agg(F.max("rate").alias("top"), F.collect_list(F.struct("bit", "rate")).alias("has"))
-            .select("gram", F.aggregate("has", F.lit(0).cast("bigint"), lambda m, x: F.when(
-                x["rate"] >= F.col("top") * dominance,
-                m.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), x["bit"]))).otherwise(m)).alias("mask")))
+            .select("gram", F.explode(F.filter("has", lambda x: x["rate"] >= F.col("top") * dominance)).alias("x"))
+            .select("gram", F.floor(F.col("x.bit") / 64).alias("row"), F.call_function(
+                "shiftleft", F.lit(1).cast("bigint"), F.pmod("x.bit", F.lit(64))).alias("mask")))
     table = kept.toPandas()
-    slots = np.zeros(1 << SLOT_BITS, np.uint64)
+    slots = np.zeros((-(-len(languages) // 64), 1 << SLOT_BITS), np.uint64)
     grams, masks = table["gram"].to_numpy(np.int64).view(np.uint64), table["mask"].to_numpy(np.int64).view(np.uint64)
+    rows_of = table["row"].to_numpy(np.int64)
     for place in _slots(grams):
-        np.bitwise_or.at(slots, place, masks)
-    fill = [float(np.mean((slots >> np.uint64(i)) & np.uint64(1))) for i in range(len(languages))]
+        np.bitwise_or.at(slots, (rows_of, place), masks)
+    fill = [float(np.mean((slots[i // 64] >> np.uint64(i % 64)) & np.uint64(1))) for i in range(len(languages))]
     return Model(languages, slots, tuple(f ** HASHES for f in fill))
 
 
@@ -148,12 +148,13 @@ def predict(text: str | None, model: Model | None, chunk: int = 1 << 20) -> tupl
         h = _gram_hashes(points)
         if not len(h):
             continue
-        mask = np.full(len(h), ~np.uint64(0))
-        for place in _slots(h):
-            mask &= model.slots[place]
         total += len(h)
-        for i in range(len(hits)):
-            hits[i] += np.count_nonzero(mask & np.uint64(1 << i))
+        for k, row in enumerate(np.atleast_2d(model.slots)):
+            mask = np.full(len(h), ~np.uint64(0))
+            for place in _slots(h):
+                mask &= row[place]
+            for i in range(64 * k, min(64 * k + 64, len(hits))):
+                hits[i] += np.count_nonzero(mask & np.uint64(1 << i % 64))
     if not lettered:
         return UNKNOWN, 0.0
     false = np.array(model.false_rate)
