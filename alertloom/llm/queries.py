@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, classes, decontaminate, language, quality, secrets, sharding, simhash, suffixes, windows
+from . import bpe, classes, decontaminate, language, packing, quality, secrets, sharding, simhash, suffixes, windows
 from .tables import read
 
 
@@ -25,5 +25,6 @@ QUERIES = {
     "op8_deletion_variant_simhash": _documents(simhash.op8_deletion_variant_simhash),
     "op9_hof_byte_bpe": _documents(bpe.op9_hof_byte_bpe),
     "op10_brown_class_bigrams": _documents(classes.op10_brown_class_bigrams),
+    "op11_histogram_packing": _documents(packing.op11_histogram_packing),
 }
 CHECKS: dict[str, str] = {}
