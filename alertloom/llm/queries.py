@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, classes, decontaminate, language, packing, quality, secrets, sharding, simhash, suffixes, windows
+from . import bpe, classes, decontaminate, language, packing, quality, secrets, sharding, simhash, spelling, suffixes, windows
 from .tables import read
 
 
@@ -26,5 +26,6 @@ QUERIES = {
     "op9_hof_byte_bpe": _documents(bpe.op9_hof_byte_bpe),
     "op10_brown_class_bigrams": _documents(classes.op10_brown_class_bigrams),
     "op11_histogram_packing": _documents(packing.op11_histogram_packing),
+    "op12_fm_spelling": _documents(spelling.op12_fm_spelling),
 }
 CHECKS: dict[str, str] = {}
