@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, classes, decontaminate, language, packing, quality, secrets, sharding, simhash, spelling, suffixes, windows
+from . import bpe, classes, decontaminate, language, packing, quality, secrets, sharding, simhash, spelling, suffixes, trie, windows
 from .tables import read
 
 
@@ -27,5 +27,6 @@ QUERIES = {
     "op10_brown_class_bigrams": _documents(classes.op10_brown_class_bigrams),
     "op11_histogram_packing": _documents(packing.op11_histogram_packing),
     "op12_fm_spelling": _documents(spelling.op12_fm_spelling),
+    "op13_bitmap_trie": lambda spark, sf_dir: trie.op13_bitmap_trie(read(spark, sf_dir, "conversations")),
 }
-CHECKS: dict[str, str] = {}
+CHECKS: dict[str, str] = {"op13_bitmap_trie": trie.ORACLE}
