@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import os
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..operators import correlate, dedup, enrich, resolve
-from ..session import materialize
+from ..session import materialize, shared_dir
 from . import fixtures as fx
 from .checks import CTES, check, ts as sts
 from .registry import enriched, events, query, ts
@@ -254,6 +257,41 @@ def _(spark, sf):
         F.coalesce("inc.seq", F.lit(-1)).alias("inc_seq"))
 
 
+CORR_SQL = """SELECT seq, is_root_cause, is_symptom, is_independent, is_flapping, flap_count, coalesce(inc_kind, '') AS inc_kind,
+  coalesce(inc_key, '') AS inc_key, coalesce(CAST(inc % 100000000 AS BIGINT), -1) AS inc_seq FROM corr"""
+
+
+def stream_correlated(spark, sf):
+    """The events written by day as files, then correlated as a stream in three micro-batches."""
+    from ..streaming.correlate import run_correlation
+
+    src, out, state = (os.path.join(shared_dir(spark), f"correlate-{x}-{uuid.uuid4().hex}") for x in ("in", "out", "offsets"))
+    ev = materialize(events(spark, sf).select(*correlate.COLUMNS), "q")
+    span = ev.agg(F.min("us").alias("a"), F.max("us").alias("z")).first()
+    third = (span["z"] - span["a"]) // 3 + 1
+    for i in range(3):
+        part = ev.where((F.col("us") >= span["a"] + i * third) & (F.col("us") < span["a"] + (i + 1) * third))
+        part.coalesce(1).write.mode("append").parquet(src)
+    return run_correlation(spark, src, ev.schema, fx.dim(spark, "topo"), out, state, partitions=4)
+
+
+@query("c7_correlate_stream", check(CORR_SQL, "corr", recursive=True))
+def _(spark, sf):
+    return stream_correlated(spark, sf).where("what = 'event'").select(
+        "seq", "is_root_cause", "is_symptom", "is_independent", "is_flapping", "flap_count",
+        F.coalesce("inc_kind", F.lit("")).alias("inc_kind"), F.coalesce("inc_key", F.lit("")).alias("inc_key"),
+        F.coalesce("inc.seq", F.lit(-1)).alias("inc_seq"))
+
+
+@query("c11_resolve_stream", check(f"""
+SELECT kind, key, CAST(inc % 100000000 AS BIGINT) AS seq, CASE WHEN resolved_us IS NOT NULL THEN 'resolved' ELSE 'expired' END AS what,
+  coalesce(CAST(resolved_us AS BIGINT), -1) AS resolved_us, coalesce(CAST(resolved_by AS BIGINT), -1) AS resolved_by FROM ids""", "ids", recursive=True))
+def _(spark, sf):
+    return stream_correlated(spark, sf).where("what <> 'event'").select(
+        F.col("inc_kind").alias("kind"), F.col("inc_key").alias("key"), F.col("inc.seq").alias("seq"), "what",
+        *[F.coalesce(c, F.lit(-1)).alias(c) for c in ("resolved_us", "resolved_by")])
+
+
 @query("c8_incident_ids", check("""
 SELECT incident_id, kind, key, CAST(inc % 100000000 AS BIGINT) AS seq FROM ids""", "ids", recursive=True))
 def _(spark, sf):
