@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import re
+
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import fixed
 from ..functions.text import plain_ascii, rx
-from ..functions.times import ntz
+from ..functions.times import as_datetime, within
 from .once import compute_once
 from .parse import parse
 
@@ -73,7 +75,7 @@ def reclassify(alerts: DataFrame, as_of, rules=fixed.RULES, days: int = 7, limit
 
     ``limit`` keeps the newest rows, as the original start-up job does; by default all are checked.
     """
-    recent = alerts.where(F.col("timestamp") >= ntz(as_of) - F.expr(f"INTERVAL '{days}' DAY"))
+    recent = within(alerts, as_datetime(as_of) - dt.timedelta(days=days))
     if limit is not None:
         recent = recent.orderBy(F.desc("timestamp"), F.desc("alert_id")).limit(limit)
     kept = recent.where(F.coalesce(F.col("raw"), F.lit("")) != "")
@@ -97,3 +99,9 @@ def apply_reclassification(alerts: DataFrame, changes: DataFrame) -> DataFrame:
         .withColumn("classification", F.coalesce("_new", "classification"))
         .drop("_new")
     )
+
+
+def classification_changes(alerts: DataFrame, changes: DataFrame) -> DataFrame:
+    """P24 write-back as change rows: the dates of what :func:`reclassify` found."""
+    rows = alerts.select(F.to_date("timestamp").alias("event_date"), "alert_id")
+    return rows.join(changes.select("alert_id", "classification"), "alert_id")

@@ -367,6 +367,13 @@ def failed_notifications(alerts: DataFrame, n: int = 100) -> DataFrame:
     return alerts.where(failed).orderBy(F.desc("timestamp"), F.desc("alert_id")).limit(n)
 
 
+def delivery_changes(alerts: DataFrame, status: DataFrame, error_length: int | None = None) -> DataFrame:
+    """N12 as change rows for ``table.apply_changes`` with ``null_keeps``: only alerts with a status."""
+    errors = [(F.col(c) if error_length is None else F.substring(c, 1, error_length)).alias(c) for c in ("discord_error", "telegram_error")]
+    new = status.select("alert_id", "discord_sent", "telegram_sent", *errors)
+    return alerts.select(F.to_date("timestamp").alias("event_date"), "alert_id").join(new, "alert_id")
+
+
 def apply_delivery(alerts: DataFrame, status: DataFrame, error_length: int | None = None) -> DataFrame:
     """Partial update of the channel flags and errors; NULL keeps the old value, errors are cut
     to ``error_length`` characters if that is given. ``status`` has one row per alert_id."""

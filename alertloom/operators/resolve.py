@@ -79,6 +79,24 @@ def _match_keys(iface: Column, neighbor: Column, asn: Column, mnemonic: Column,
         key("as", adj & (asn != 0), asn), key("mnemonic", alone, mnemonic)))
 
 
+def _event_date(us: Column) -> Column:
+    return F.to_date(from_us(us)).alias("event_date")
+
+
+def _changes(met: DataFrame, reason: str) -> DataFrame:
+    """Change rows (``event_date, alert_id, resolved_at, resolution_reason``) of alerts that met their next event."""
+    return met.groupBy(_event_date(F.col("us")), F.col("seq").alias("alert_id")).agg(
+        F.min(from_us(F.col("_next.us"))).alias("resolved_at")).withColumn("resolution_reason", F.lit(reason))
+
+
+def recovery_changes(alerts: DataFrame, recoveries: DataFrame, width: int = timeline.CHUNK_US) -> DataFrame:
+    """R1 as change rows, for ``table.apply_changes``: open alerts only, no row of the table is joined back.
+
+    Hand in the alerts of the recoveries' dates and the day before (``within`` prunes the folders).
+    """
+    return _changes(_recovery_meetings(alerts, recoveries, width), "recovery_event")
+
+
 def resolve_by_recovery(alerts: DataFrame, recoveries: DataFrame, width: int = timeline.CHUNK_US) -> DataFrame:
     """CRITICAL rows are resolved by the first recovery of their device, at most 24 h later,
     with the same interface, or (ADJCHANGE) the same neighbor or AS, or, for an ACTIVE recovery
@@ -86,6 +104,12 @@ def resolve_by_recovery(alerts: DataFrame, recoveries: DataFrame, width: int = t
 
     ``recoveries`` are rows with the alert columns; AS counts only when the recovery names a neighbor.
     """
+    met = _recovery_meetings(alerts, recoveries, width)
+    found = met.select(F.col("seq").alias("alert_id"), from_us(F.col("_next.us")).alias("at"))
+    return _resolve(alerts, found, "recovery_event")
+
+
+def _recovery_meetings(alerts: DataFrame, recoveries: DataFrame, width: int) -> DataFrame:
     asn = F.coalesce("as_number", F.lit(0))
     open_rows = alerts.where((F.col("classification") == "CRITICAL") & F.col("resolved_at").isNull())
     akeys = _match_keys(F.col("interface_name"), F.col("bgp_neighbor"), asn, F.col("mnemonic"),
@@ -101,9 +125,7 @@ def resolve_by_recovery(alerts: DataFrame, recoveries: DataFrame, width: int = t
         "device_name", "k.kind", "k.value", "us", "seq")
     c = recoveries.select("device_name", F.explode(rkeys).alias("k"), at, seq).select(
         "device_name", "k.kind", "k.value", "us", "seq")
-    met = _next_event(a, c, ["device_name", "kind", "value"], width)
-    found = met.select(F.col("seq").alias("alert_id"), from_us(F.col("_next.us")).alias("at"))
-    return _resolve(alerts, found, "recovery_event")
+    return _next_event(a, c, ["device_name", "kind", "value"], width)
 
 
 def resolve_silent_faults(alerts: DataFrame, bgp_ups: DataFrame, topology: DataFrame, bgp_bundle: DataFrame,
@@ -113,6 +135,18 @@ def resolve_silent_faults(alerts: DataFrame, bgp_ups: DataFrame, topology: DataF
 
     ``bgp_ups``: non-flapping ADJCHANGE recoveries with the alert columns.
     """
+    met = _silent_meetings(alerts, bgp_ups, topology, bgp_bundle, width)
+    found = met.select(F.col("seq").alias("alert_id"), from_us(F.col("_next.us")).alias("at"))
+    return _resolve(alerts, found, "bgp_up_inferred")
+
+
+def silent_fault_changes(alerts: DataFrame, bgp_ups: DataFrame, topology: DataFrame, bgp_bundle: DataFrame,
+                         width: int = timeline.CHUNK_US) -> DataFrame:
+    """R2 as change rows (see :func:`recovery_changes`)."""
+    return _changes(_silent_meetings(alerts, bgp_ups, topology, bgp_bundle, width), "bgp_up_inferred")
+
+
+def _silent_meetings(alerts: DataFrame, bgp_ups: DataFrame, topology: DataFrame, bgp_bundle: DataFrame, width: int) -> DataFrame:
     members = topology.select(F.col("ip").alias("source_ip"), "bundle", F.explode("members").alias("interface_name"))
     peers = bgp_bundle.select(F.col("ip").alias("source_ip"), F.col("neighbor").alias("bgp_neighbor"), "bundle")
     links = topology.select(F.col("ip").alias("source_ip"), "bundle").distinct()
@@ -125,9 +159,7 @@ def resolve_silent_faults(alerts: DataFrame, bgp_ups: DataFrame, topology: DataF
         .join(peers, ["source_ip", "bgp_neighbor"]).join(links, ["source_ip", "bundle"], "left_semi")
         .join(members, ["source_ip", "bundle"]).select("device_name", "interface_name", "us", "seq")
     )
-    met = _next_event(a, c, ["device_name", "interface_name"], width)
-    found = met.select(F.col("seq").alias("alert_id"), from_us(F.col("_next.us")).alias("at"))
-    return _resolve(alerts, found, "bgp_up_inferred")
+    return _next_event(a, c, ["device_name", "interface_name"], width)
 
 
 def resolve_noise(alerts: DataFrame, as_of, enabled: bool = True) -> DataFrame:
@@ -142,6 +174,14 @@ def resolve_noise(alerts: DataFrame, as_of, enabled: bool = True) -> DataFrame:
     })
 
 
+def noise_changes(alerts: DataFrame, as_of) -> DataFrame:
+    """R3 as change rows: the unresolved hardware rows, read by two columns."""
+    hit = F.col("mnemonic").isin(fixed.HARDWARE_MNEMONICS) & F.col("resolved_at").isNull()
+    return alerts.where(hit).select(
+        F.to_date("timestamp").alias("event_date"), "alert_id", F.lit("NOISE").alias("classification"),
+        F.lit("noise_toggle_enabled").alias("resolution_reason"), ntz(as_of).alias("resolved_at"))
+
+
 def resolve_incidents(incidents: DataFrame, resolved: DataFrame) -> DataFrame:
     """R4, incident side. ``resolved``: id, at."""
     hit = resolved.select("id", F.col("at").alias("_at"))
@@ -163,6 +203,14 @@ def resolve_incident_alerts(alerts: DataFrame, resolved: DataFrame) -> DataFrame
     )
 
 
+def incident_alert_changes(alerts: DataFrame, resolved: DataFrame) -> DataFrame:
+    """R4 as change rows: the unresolved alerts of the resolved incidents, ``resolved`` (id, at)."""
+    hit = resolved.select(F.col("id").alias("incident_id"), F.col("at").alias("resolved_at"))
+    return alerts.where("resolved_at IS NULL").select(F.to_date("timestamp").alias("event_date"), "alert_id", "incident_id").join(
+        hit.where("resolved_at IS NOT NULL"), "incident_id").select(
+        "event_date", "alert_id", "resolved_at", F.lit("incident_resolved").alias("resolution_reason"))
+
+
 def prune_recovered(cards: DataFrame, alerts: DataFrame, from_storage: bool = False) -> DataFrame:
     """Cards without a later recovery on their device with the same interface, neighbor, or
     (same mnemonic) interface found in text.
@@ -267,15 +315,32 @@ def restore_acks(cards: DataFrame, acks: DataFrame) -> DataFrame:
     }).withColumn("acknowledged", F.col("acknowledged_at").isNotNull()).drop("a")
 
 
-def apply_acks(alerts: DataFrame, acks: DataFrame) -> DataFrame:
-    """An ack of ``ALERT-n`` (or ``n``) sets that row; an ack of ``INC-...`` sets its rows that
-    were not acknowledged. Among several acks of a row the latest ``ALERT`` one stands; of an
-    incident the first one does."""
+def ack_changes(alerts: DataFrame, acks: DataFrame) -> DataFrame:
+    """R9 as change rows: only alerts that an ack names, by number or by incident."""
+    rows = alerts.select("timestamp", "alert_id", "incident_id", "acknowledged_at")
+    single, whole = _ack_times(acks)
+    named = rows.join(single, "alert_id").select("timestamp", "alert_id", F.col("_own").alias("at"), F.lit(0).alias("rank"))
+    of_incident = rows.where("acknowledged_at IS NULL").join(whole, "incident_id").select(
+        "timestamp", "alert_id", F.col("_inc").alias("at"), F.lit(1).alias("rank"))
+    return named.unionByName(of_incident).groupBy(F.to_date("timestamp").alias("event_date"), "alert_id").agg(
+        F.min(F.struct("rank", "at")).alias("m")).select("event_date", "alert_id", F.col("m.at").alias("acknowledged_at"))
+
+
+def _ack_times(acks: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(``alert_id, _own``: latest ack of a row, ``incident_id, _inc``: first ack of an incident)."""
     number = F.regexp_replace("incident_id", "ALERT-", "")
     single = acks.where(number.rlike(r"^\d+$")).groupBy(number.cast("bigint").alias("alert_id")).agg(
         F.max("created_at").alias("_own"))
     whole = acks.where(F.col("incident_id").startswith("INC-")).groupBy("incident_id").agg(
         F.min("created_at").alias("_inc"))
+    return single, whole
+
+
+def apply_acks(alerts: DataFrame, acks: DataFrame) -> DataFrame:
+    """An ack of ``ALERT-n`` (or ``n``) sets that row; an ack of ``INC-...`` sets its rows that
+    were not acknowledged. Among several acks of a row the latest ``ALERT`` one stands; of an
+    incident the first one does."""
+    single, whole = _ack_times(acks)
     return (
         alerts.join(single, "alert_id", "left").join(whole, "incident_id", "left")
         .withColumn("acknowledged_at", F.coalesce("_own", "acknowledged_at", "_inc"))

@@ -16,7 +16,6 @@ Positions are ``struct(us, seq)``: event time in microseconds, then the tie-brea
 from __future__ import annotations
 
 import sys
-from collections import deque
 
 import numpy as np
 import pyarrow as pa
@@ -113,34 +112,105 @@ def running_max(df: DataFrame, keys: list[str], values: dict[str, Column], order
 _ANY = 1 << 62
 
 
-def _emit(rows: list, schema: pa.Schema) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(
-        [pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema
-    )
+def _emit(columns: list, schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
+
 
+class _Groups:
+    """The (key, chunk) groups of a sorted batch: where each begins, and times as one ascending array.
+
+    ``at`` is group * (width + 1) + time since the chunk's start, so one search finds a place in any
+    group; a time at or after the chunk's end is the end of the group.
+    """
 
-def _keeper(window_us: int, us_col: str):
+    def __init__(self, keys: pa.Array, chunks: np.ndarray, us: np.ndarray, width: int):
+        code = keys.dictionary_encode().indices.to_numpy(zero_copy_only=False)
+        new = np.ones(len(us), bool)
+        new[1:] = (code[1:] != code[:-1]) | (chunks[1:] != chunks[:-1])
+        self.first = np.flatnonzero(new)
+        self.of, self.n, self.width = np.cumsum(new) - 1, len(us), width
+        self.end = np.append(self.first[1:], self.n)
+        self.base = chunks[self.first] * width
+        self.at = self.of * (width + 1) + (us - chunks * width)
+
+    def after(self, group: np.ndarray, us: np.ndarray) -> np.ndarray:
+        """First row of each group later than a time; the group's end if there is none."""
+        since = np.clip(us - self.base[group], -1, self.width)
+        return np.searchsorted(self.at, group * (self.width + 1) + since, "right")
+
+
+def _successors(groups: _Groups, us: np.ndarray, reset: np.ndarray, window_us: int) -> np.ndarray:
+    """The row that is kept next after each row if that one is kept; n where its group has none."""
+    n = len(us)
+    resets = np.append(np.where(reset, np.arange(n), n), n)
+    following = np.minimum.accumulate(resets[::-1])[::-1][1:]  # the next reset after each row
+    after = np.minimum(groups.after(groups.of, us + window_us), following)
+    return np.append(np.where(after < groups.end[groups.of], after, n), n)
+
+
+def _reached(following: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """All rows on the chains from ``starts``: doubled jumps, the longest taken first."""
+    n = len(following) - 1
+    jumps = [following]
+    while (jumps[-1] < n).any():
+        jumps.append(jumps[-1][jumps[-1]])
+    rows = starts[starts < n]
+    for jump in reversed(jumps):
+        more = jump[rows]
+        rows = np.concatenate([rows, more[more < n]])
+    mask = np.zeros(n, bool)
+    mask[rows] = True
+    return mask
+
+
+def _last_of(following: np.ndarray) -> np.ndarray:
+    """The last row of the chain from each row."""
+    n = len(following) - 1
+    own = np.arange(n + 1)
+    last = np.where(following < n, following, own)
+    while True:
+        further = last[last]
+        if (further == last).all():
+            return last
+        last = further
+
+
+def _keeper(window_us: int, us_col: str, width: int):
     """mapInArrow: rows sorted by (_k, _chunk, us, seq) gain ``kept``; seed rows are consumed.
 
-    The only state is the last kept time of the current chunk, held across batches.
+    The state across batches is the last kept time of the current chunk.
     """
 
     def run(batches):
-        group, anchor = None, None
+        carried = None  # (key, chunk, last kept time or None) at the end of the batch before
         for b in batches:
-            n = b.num_rows
-            keep = np.zeros(n, dtype=bool)
-            cols = [b.column(c).to_pylist() for c in ("_k", "_chunk", us_col, "_reset", "_seed")]
-            for i, (k, c, t, reset, seed) in enumerate(zip(*cols)):
-                if (k, c) != group:
-                    group, anchor = (k, c), None
-                if seed:
-                    anchor = t
-                elif reset or anchor is None or t - anchor > window_us:
-                    anchor = t
-                    keep[i] = True
-            out = b.append_column("kept", pa.array(keep))
-            yield out.filter(pc.invert(out.column("_seed"))).drop_columns(["_k", "_chunk", "_reset", "_seed"])
+            seeds = b.filter(b.column("_seed"))
+            rows = b.filter(pc.invert(b.column("_seed")))
+            anchors = {(k, c): t for k, c, t in zip(*(seeds.column(x).to_pylist() for x in ("_k", "_chunk", us_col)))}
+            if carried is not None and carried[2] is not None:
+                anchors.setdefault(carried[:2], carried[2])
+            # The last row may be a seed, whose rows are all in the next batch.
+            ahead = tuple(b.column(x)[-1].as_py() for x in ("_k", "_chunk", us_col)) if b.num_rows and b.column("_seed")[-1].as_py() else None
+            if not rows.num_rows:
+                carried = ahead or carried
+                continue
+            us, chunks = (rows.column(x).to_numpy(zero_copy_only=False) for x in (us_col, "_chunk"))
+            reset = rows.column("_reset").to_numpy(zero_copy_only=False)
+            groups = _Groups(rows.column("_k"), chunks, us, width)
+            # A chunk starts at its first row, or, after an anchor, at the first row past the wait or with a reset.
+            names = list(zip(rows.column("_k").take(pa.array(groups.first)).to_pylist(), chunks[groups.first].tolist()))
+            start = groups.first.copy()
+            held = [(g, anchors[x]) for g, x in enumerate(names) if x in anchors]
+            if held:
+                g, anchor = (np.array(x, np.int64) for x in zip(*held))
+                resets = np.append(np.flatnonzero(reset), len(us))
+                at = np.minimum(groups.after(g, anchor + window_us), resets[np.searchsorted(resets, groups.first[g])])
+                start[g] = np.where(at < groups.end[g], at, len(us))
+            keep = _reached(_successors(groups, us, reset, window_us), start)
+            mine = np.flatnonzero(keep[groups.first[-1]:])
+            last = int(us[groups.first[-1] + mine[-1]]) if len(mine) else anchors.get(names[-1])
+            carried = ahead or (*names[-1], last)
+            yield rows.append_column("kept", pa.array(keep)).drop_columns(["_k", "_chunk", "_reset", "_seed"])
 
     return run
 
@@ -150,53 +220,74 @@ def _summariser(window_us: int, width: int, us_col: str, schema: pa.Schema):
 
     A row ``(bound, exit)`` reads: if the first row that may be kept lies at or before ``bound``
     and after the next smaller bound, the last kept time of the chunk is ``exit``. Only rows in the
-    first window of a chunk can be such a first row. Chains that agree on their last kept time are
-    one entry from then on, so the state holds at most one entry per distinct time in one window.
+    first window of a chunk can be such a first row. The state is a pair for each of their distinct
+    times; from a reset on there is one.
     """
 
     def run(batches):
-        group = None
-        out: list[tuple] = []
+        open_ = None  # key, chunk, linked, next chunk, bounds, exits of the chunk at the end of the batch before
 
-        def flush():
-            for pieces, exit_ in live:
-                out.extend((*group, linked, nxt, hi_us, exit_) for _, _, hi_us in pieces)
+        def told(group):
+            key, chunk_, linked, following, bounds, exits = group
+            # Neighbours with one exit are one step, up to the largest bound.
+            ends = np.append(exits[1:] != exits[:-1], True)
+            many = int(ends.sum())
+            return _emit([[key] * many, [chunk_] * many, [linked] * many, [following] * many, bounds[ends], exits[ends]], schema)
 
-        live: deque = deque()
-        names = ("_k", "_chunk", us_col, "_reset", "_linked_in", "_next_chunk")
         for b in batches:
-            for k, c, t, reset, linked_, nxt_ in zip(*[b.column(n).to_pylist() for n in names]):
-                if (k, c) != group:
-                    if group is not None:
-                        flush()
-                    group, linked, nxt = (k, c), linked_, nxt_
-                    live, entries, entry_us = deque(), 0, None
-                if reset:
-                    live, entry_us = deque([([(0, 0, _ANY)], t)]), _ANY
-                    continue
-                pieces: list = []
-                while live and t - live[0][1] > window_us:
-                    for lo, hi, hi_us in live.popleft()[0]:
-                        if pieces and pieces[-1][1] + 1 == lo:
-                            pieces[-1] = (pieces[-1][0], hi, hi_us)
-                        else:
-                            pieces.append((lo, hi, hi_us))
-                if entry_us is None or (entry_us < c * width + window_us and t > entry_us):
-                    entry_us = t
-                    if pieces and pieces[-1][1] + 1 == entries:
-                        pieces[-1] = (pieces[-1][0], entries, t)
+            if not b.num_rows:
+                continue
+            us, chunks = (b.column(x).to_numpy(zero_copy_only=False) for x in (us_col, "_chunk"))
+            reset = b.column("_reset").to_numpy(zero_copy_only=False)
+            groups = _Groups(b.column("_k"), chunks, us, width)
+            last = _last_of(_successors(groups, us, reset, window_us))
+            at = pa.array(groups.first)
+            names = list(zip(*(b.column(x).take(at).to_pylist() for x in ("_k", "_chunk", "_linked_in", "_next_chunk"))))
+            resets = np.flatnonzero(reset)
+            distinct = np.ones(len(us), bool)
+            distinct[1:] = (us[1:] != us[:-1]) | (groups.of[1:] != groups.of[:-1])
+            early = us - chunks * width < window_us
+            # The first time at or after the first window is an entry too: rows whose predecessor time is early.
+            before = np.zeros(len(us), bool)
+            before[1:] = early[:-1] & (groups.of[1:] == groups.of[:-1])
+            entries = distinct & (early | before)
+            for g, name in enumerate(names):
+                a, z = int(groups.first[g]), int(groups.end[g])
+                bounds, exits = np.zeros(0, np.int64), np.zeros(0, np.int64)
+                fresh = True
+                if open_ is not None:
+                    if open_[:2] == name[:2]:
+                        bounds, exits = open_[4:]
+                        fresh = False
                     else:
-                        pieces.append((entries, entries, t))
-                    entries += 1
-                if pieces:
-                    live.append((pieces, t))
-            if len(out) > 10_000:
-                yield _emit(out, schema)
-                out.clear()
-        if group is not None:
-            flush()
-        if out:
-            yield _emit(out, schema)
+                        yield told(open_)
+                    open_ = None
+                r = resets[np.searchsorted(resets, a):np.searchsorted(resets, z)]
+                if len(r) or (len(bounds) and bounds[-1] == _ANY):
+                    if len(r):
+                        bounds, exits = np.array([_ANY]), us[last[r[-1:]]]
+                    else:
+                        nxt = int(groups.after(np.array([g]), exits + window_us)[0])
+                        exits = us[last[[nxt]]] if nxt < z else exits
+                else:
+                    if len(bounds):
+                        nxt = groups.after(np.full(len(exits), g), exits + window_us)
+                        exits = np.where(nxt < z, us[last[np.minimum(nxt, len(us) - 1)]], exits)
+                    own = a + np.flatnonzero(entries[a:z])
+                    if fresh:
+                        if not len(own) or own[0] != a:
+                            own = np.append(a, own)
+                    else:
+                        # The batch before may have had the last entry, or this time already.
+                        done = bounds[-1] >= name[1] * width + window_us
+                        own = own[:0] if done else own[us[own] > bounds[-1]]
+                        if not done and not len(own):
+                            later = int(groups.after(np.array([g]), bounds[-1:])[0])
+                            own = np.array([later]) if later < z else own
+                    bounds, exits = np.append(bounds, us[own]), np.append(exits, us[last[own]])
+                open_ = (*name, bounds, exits)
+        if open_ is not None:
+            yield told(open_)
 
     return run
 
@@ -217,12 +308,12 @@ def _composer(window_us: int, schema: pa.Schema):
                 if not found and (anchor is None or bound > anchor + window_us):
                     exit_, found = ex, True
             if len(out) > 10_000:
-                yield _emit(out, schema)
+                yield _emit(list(zip(*out)), schema)
                 out.clear()
         if group is not None:
             out.append((key, nxt, exit_))
         if out:
-            yield _emit(out, schema)
+            yield _emit(list(zip(*out)), schema)
 
     return run
 
@@ -283,5 +374,5 @@ def throttle(df: DataFrame, keys: list[str], window_us: int, reset: Column | Non
         rows.withColumn("_seed", F.lit(False))
         .unionByName(seeds, allowMissingColumns=True)
         .transform(_together, "_k", "_chunk").sortWithinPartitions("_k", "_chunk", us, seq)
-        .mapInArrow(_keeper(window_us, us), out_schema)
+        .mapInArrow(_keeper(window_us, us, width), out_schema)
     )

@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import os
 import uuid
 
 from pyspark.sql import functions as F
 
 from ..functions import fixed, text, times
+from ..functions.times import as_datetime, within
 from ..operators import classify, enrich, parse, read, stats
 from ..session import shared_dir
-from ..sources import dims, sinks, syslog
+from ..sources import dims, sinks, syslog, table
 from . import fixtures as fx
-from .checks import (GROUP_KEY, INNER, MONTH_CASE, NORM, check, interface_sql, parsed_sql, q, recovery_sql,
+from .checks import (CTES, GROUP_KEY, INNER, MONTH_CASE, NORM, check, interface_sql, parsed_sql, q, recovery_sql,
                      rule_case, title_sql, ts as sts)
 from .registry import alerts, classified, enriched, events, fields, parsed, query, shared, ts
 
@@ -54,17 +56,29 @@ def _(spark, sf):
     return syslog.distinct_entries(entries.unionByName(again))
 
 
-@query("s3_ingest_stream", check("SELECT us * 1000 AS ts_ns, raw AS line FROM lines WHERE event_id % 53 <> 0", "lines"))
-def _(spark, sf):
+LATE = "(SELECT max(us) - 600000000 FROM lines WHERE event_id % 53 <> 0 AND event_id % 7 < 5)"
+CTES["entries"] = (["lines"], f"""SELECT us * 1000 AS ts_ns, raw AS line, event_id % 7 >= 5 AND us <= {LATE} AS late
+  FROM lines WHERE event_id % 53 <> 0""")
+
+
+def ingested(spark, sf):
+    """(table of entries, table of late ones): export files in two micro-batches, the second from all over the range
+    and with repeats, ten minutes of horizon."""
     from ..streaming import ingest
 
     src, out, state = (_scratch(spark, x) for x in ("export", "ingested", "offsets"))
     body = envelopes(spark, sf)
-    again = body.where("event_id % 7 < 3")
-    body.unionByName(again).select("value").write.text(src)
-    # One trigger reads everything, so the whole range lies inside the repeat horizon.
-    ingest.run_ingest(spark, src, out, state, horizon="3650 days")
-    return spark.read.parquet(out).select("ts_ns", "line")
+    for part in (body.where("event_id % 7 < 5"), body.where("event_id % 7 >= 3")):
+        part.select("value").write.mode("append").text(src)
+        ingest.run_ingest(spark, src, out, state, "10 minutes")
+    return table.read(spark, out), table.read(spark, f"{out}-late")
+
+
+@query("s3_ingest_stream", check("SELECT ts_ns, line, late FROM entries", "entries"))
+def _(spark, sf):
+    rows, late = ingested(spark, sf)
+    return rows.select("ts_ns", "line", F.lit(False).alias("late")).unionByName(
+        late.select("ts_ns", "line", F.lit(True).alias("late")))
 
 
 @query("s4_resume_point", check(f"SELECT {sts('max(timestamp)')} AS resume_from FROM alerts", "alerts"))
@@ -82,6 +96,23 @@ def _(spark, sf):
         F.count("*").alias("n"), F.sum("alert_id").alias("ids"))
 
 
+@query("s5_alert_stream", check(f"""
+SELECT CAST(CAST(timestamp AS DATE) AS VARCHAR) AS event_date, count(*) AS n, CAST(sum(alert_id) AS BIGINT) AS ids FROM alerts
+WHERE timestamp >= TIMESTAMP '{fx.AS_OF}' - INTERVAL 20 DAY AND timestamp < TIMESTAMP '{fx.AS_OF}' - INTERVAL 2 DAY GROUP BY 1""", "alerts"))
+def _(spark, sf):
+    """A stream writes the table, retention prunes it, and a period is read."""
+    from ..streaming import live
+
+    src, path, state = (_scratch(spark, x) for x in ("alert-files", "alerts", "offsets"))
+    rows = alerts(spark, sf)
+    rows.write.parquet(src)
+    live.write_alert_stream(spark.readStream.schema(rows.schema).parquet(src), path, state).awaitTermination()
+    sinks.prune_alert_table(spark, path, 20, fx.AS_OF, offset_hours=0)
+    end = as_datetime(fx.AS_OF) - dt.timedelta(days=2)
+    return within(live.alert_table(spark, path, end=end), end=end).groupBy(F.col("event_date").cast("string").alias("event_date")).agg(
+        F.count("*").alias("n"), F.sum("alert_id").alias("ids"))
+
+
 @query("s6_backfill", check("""
 SELECT 'inserted' AS outcome, count(DISTINCT (device_name, mnemonic, timestamp)) AS n FROM enriched
   WHERE (device_name, mnemonic, timestamp) NOT IN (SELECT (device_name, mnemonic, timestamp) FROM stored)

@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import os
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import fixed, text
 from ..functions.times import to_us
-from ..operators import correlate, dedup, notify, read, resolve
-from ..session import materialize
+from ..operators import classify, correlate, dedup, notify, read, resolve
+from ..session import materialize, shared_dir
+from ..sources import sinks, table
 from . import fixtures as fx
 from .checks import CTES, GROUP_KEY, MSG_IFACE, STATE_KEY, check, recovery_sql, title_sql, ts as sts
 from .folds import incident_table, link_events
-from .registry import alerts, enriched, events, query, shared, ts
+from .registry import CHECKS, alerts, enriched, events, query, shared, ts
 
 S = 1_000_000
 REC = recovery_sql()
@@ -501,3 +505,72 @@ def _(spark, sf):
     f"SELECT id, shift_name, {sts('created_at')} AS created_at FROM notes ORDER BY notes.created_at DESC, id DESC LIMIT 10", "notes"))
 def _(spark, sf):
     return read.handoffs(shared(spark, sf, "HANDOFFS")).select("id", "shift_name", ts("created_at"))
+
+
+# ---------------------------------------------------------------------------------- change sets
+
+def stored_alerts(spark, sf) -> str:
+    """The path of a new alert table."""
+    path = os.path.join(shared_dir(spark), f"changes-{uuid.uuid4().hex}")
+    sinks.write_alerts(alerts(spark, sf), path)
+    return path
+
+
+def changed(spark, path: str, changes, **how):
+    """The table at ``path`` after the change rows were committed."""
+    table.apply_changes(spark, path, changes, **how)
+    return table.read(spark, path)
+
+
+@query("r1_change_set", CHECKS["r1_resolve_by_recovery"])
+def _(spark, sf):
+    path = stored_alerts(spark, sf)
+    a = table.read(spark, path)
+    rec = a.where(text.is_recovery(F.col("mnemonic"), F.col("message")))
+    return _resolved(changed(spark, path, resolve.recovery_changes(a, rec)))
+
+
+@query("r2_change_set", CHECKS["r2_resolve_silent_faults"])
+def _(spark, sf):
+    path = stored_alerts(spark, sf)
+    a = table.read(spark, path)
+    ups = a.where((F.col("mnemonic") == "ADJCHANGE") & text.is_recovery(F.col("mnemonic"), F.col("message")))
+    out = changed(spark, path, resolve.silent_fault_changes(a, ups, fx.dim(spark, "topo"), fx.dim(spark, "bgp_bundle")))
+    return out.where("resolution_reason = 'bgp_up_inferred'").select("alert_id", ts("resolved_at"))
+
+
+@query("r3_change_set", CHECKS["r3_resolve_noise"])
+def _(spark, sf):
+    path = stored_alerts(spark, sf)
+    out = changed(spark, path, resolve.noise_changes(table.read(spark, path), fx.AS_OF))
+    return out.groupBy("classification", "resolution_reason").agg(F.count("*").alias("n"), F.count("resolved_at").alias("resolved"))
+
+
+@query("r4_change_set", CHECKS["r4_resolve_incident_alerts"])
+def _(spark, sf):
+    path = stored_alerts(spark, sf)
+    done = _resolved_incidents(spark, sf)[1]
+    return _resolved(changed(spark, path, resolve.incident_alert_changes(table.read(spark, path), done)))
+
+
+@query("r9_change_set", CHECKS["r9_apply_acks"])
+def _(spark, sf):
+    path = stored_alerts(spark, sf)
+    out = changed(spark, path, resolve.ack_changes(table.read(spark, path), shared(spark, sf, "ALERT_ACKS")))
+    return out.where("acknowledged_at IS NOT NULL").select("alert_id", ts("acknowledged_at"))
+
+
+@query("n12_change_set", CHECKS["n12_apply_delivery"])
+def _(spark, sf):
+    path = stored_alerts(spark, sf)
+    status = fx.derive(spark, sf, DELIVERY)
+    out = changed(spark, path, notify.delivery_changes(table.read(spark, path), status), null_keeps=True)
+    return out.select("alert_id", "discord_sent", "telegram_sent", "discord_error", "telegram_error")
+
+
+@query("p24_change_set", CHECKS["p24_apply_reclassification"])
+def _(spark, sf):
+    path = stored_alerts(spark, sf)
+    a = table.read(spark, path)
+    found = classify.classification_changes(a, classify.reclassify(a, fx.AS_OF))
+    return changed(spark, path, found).groupBy("classification").agg(F.count("*").alias("n"))

@@ -3,14 +3,12 @@
 from __future__ import annotations
 
 import datetime as dt
-import os
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import fixed
 from ..functions.times import as_datetime, in_period, ntz
-from ..session import shared_dir
+from . import table
 
 ALERT_COLUMNS = [
     "timestamp", "source_ip", "device_name", "hostname", "rp_location", "facility", "subfacility",
@@ -28,24 +26,15 @@ def alert_rows(df: DataFrame) -> DataFrame:
 
 
 def write_alerts(df: DataFrame, path: str, ts: str = "timestamp") -> None:
-    """Append, one folder per event date."""
-    by_date(df, ts).write.mode("append").partitionBy("event_date").parquet(path)
-
-
-def by_date(df: DataFrame, ts: str = "timestamp") -> DataFrame:
-    """Rows gathered by event date for a partitioned write. Rebalancing splits a busy date over many
-    tasks and joins quiet ones, by measured size."""
-    return df.withColumn("event_date", F.to_date(ts)).hint("rebalance", "event_date")
+    """Append in one commit, one folder per event date (see :mod:`.table`). Rebalancing splits a busy date over
+    many tasks and joins quiet ones, by measured size."""
+    table.append(df.sparkSession, df, path, ts)
 
 
 def replace_dates(spark: SparkSession, df: DataFrame, path: str, ts: str = "timestamp") -> None:
-    """Replace the date folders that ``df`` touches. The rows are staged first, since they were
-    usually computed from the very folders they replace."""
-    stage = os.path.join(shared_dir(spark), f"stage-{uuid.uuid4().hex}")
-    by_date(df, ts).write.partitionBy("event_date").parquet(stage)
-    schema = by_date(df, ts).schema
-    staged = spark.read.schema(schema).parquet(stage)
-    staged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("event_date").parquet(path)
+    """Replace the dates that ``df`` touches. Their old folders go, so readers of older versions must be done."""
+    table.replace_dates(spark, df, path, ts=ts)
+    table.vacuum(spark, path)
 
 
 def export_view(alerts: DataFrame, period: str, as_of, limit: int | None = None) -> DataFrame:
@@ -85,21 +74,13 @@ def prune_hourly(stats: DataFrame, as_of, days: int = 365, offset_hours: int = f
 
 def prune_alert_table(spark: SparkSession, path: str, days: int, as_of,
                       offset_hours: int = fixed.LOCAL_OFFSET_HOURS) -> None:
-    """S9 on a date-partitioned table: whole older dates are dropped, only the boundary date is
-    rewritten. That date may have no folder, or lose all its rows; a table without a date stays."""
-    cutoff = as_datetime(as_of) - dt.timedelta(hours=offset_hours, days=days)
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
-    folder = hadoop.Path(path)
-    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(folder) or not any(s.getPath().getName().startswith("event_date=") for s in fs.listStatus(folder)):
+    """S9 on a date-partitioned table, whether a batch or a stream wrote it: whole older dates are dropped unread, only
+    the boundary date is rewritten. A folder without a table stays; one with Parquet files but no commits is refused."""
+    if table.version(spark, path).number < 0:
+        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+        fs = hadoop.Path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        if fs.exists(hadoop.Path(path)) and fs.listStatus(hadoop.Path(path)):
+            raise ValueError(f"{path} holds files but no commits; write it with write_alerts or write_alert_stream")
         return
-    boundary = spark.read.parquet(path).where(F.col("event_date") == F.lit(cutoff.date())).drop("event_date")
-    kept = prune(boundary, "timestamp", days, as_of, offset_hours)
-    empty = kept.isEmpty()
-    gone = cutoff.date() + dt.timedelta(days=1) if empty else cutoff.date()
-    if not empty:
-        replace_dates(spark, kept, path)
-    for status in fs.listStatus(folder):
-        name = status.getPath().getName()
-        if name.startswith("event_date=") and name[len("event_date="):] < gone.isoformat():
-            fs.delete(status.getPath(), True)
+    table.prune(spark, path, as_datetime(as_of) - dt.timedelta(hours=offset_hours, days=days))
+    table.vacuum(spark, path)

@@ -15,7 +15,7 @@ from ..functions import fixed, text
 from ..functions.times import to_us
 from ..operators import classify, enrich, parse
 from ..operators.stats import CLASS_COLS
-from ..sources.sinks import by_date
+from ..sources import table
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -27,14 +27,14 @@ def enrich_stream(lines: DataFrame, as_of, device: DataFrame, iface: DataFrame,
     return enrich.with_recovery(rows.withColumn("us", to_us(F.col("timestamp"))))
 
 
-def write_alert_stream(rows: DataFrame, path: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
-    """Write each micro-batch to the alert table, one folder per batch and event date.
+def write_alert_stream(rows: DataFrame, path: str, checkpoint: str, available_now: bool = True,
+                       source: str = "alerts") -> StreamingQuery:
+    """Add each micro-batch to the alert table, in the layout of ``sinks.write_alerts``.
 
-    A micro-batch that runs again after a failure replaces its own folder, so no row is stored twice.
+    A micro-batch commits under ``source`` and its number, so one that runs again after a failure adds nothing twice.
     """
-
     def write(batch: DataFrame, number: int) -> None:
-        by_date(batch).write.mode("overwrite").partitionBy("event_date").parquet(f"{path}/batch={number}")
+        table.append(batch.sparkSession, batch, path, source=source, batch=number)
 
     writer = rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
@@ -104,6 +104,6 @@ def escalation_stream(events: DataFrame, delay_s: int = fixed.ESCALATION_DELAY,
         EscalationTimer(delay_s * 1000), "seq bigint, us bigint", "Append", "EventTime")
 
 
-def alert_table(spark: SparkSession, path: str) -> DataFrame:
-    """The alerts written by :func:`write_alert_stream`."""
-    return spark.read.option("basePath", path).parquet(path)
+def alert_table(spark: SparkSession, path: str, start=None, end=None) -> DataFrame:
+    """The alerts that batches and streams wrote to ``path``, of the event dates from ``start`` to ``end`` if given."""
+    return table.read(spark, path, start, end)

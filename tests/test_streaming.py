@@ -10,6 +10,7 @@ from alertloom.functions import times
 from alertloom.operators import dedup, parse, stats
 from alertloom.plans import fixtures as fx, registry
 from alertloom.session import materialize
+from alertloom.sources import sinks, table
 from alertloom.streaming import dedup as sdedup, ingest, live
 
 SF = "/root/testdata/sf0.001"
@@ -79,10 +80,41 @@ def test_ingest_delivers_once(spark, tmp_path):
     ingest.run_ingest(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "ck"))
     (tmp_path / "in" / "3.json").write_text(again + "\n")
     ingest.run_ingest(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "ck"))
-    rows = spark.read.parquet(str(tmp_path / "out")).select("ts_ns", "line").collect()
+    rows = table.read(spark, str(tmp_path / "out")).select("ts_ns", "line").collect()
     assert sorted(map(tuple, rows)) == [(1000000, "a"), (2000000, "b"), (3000000, "c")]
 
 
+def test_late_entries_go_to_their_own_table(spark, tmp_path):
+    m = 60 * 10 ** 9
+    batches = [[(20 * m, "a"), (1 * m, "b")], [(21 * m, "c"), (10 * m, "at the mark"), (20 * m, "a"), (1 * m, "b")],
+               [(5 * m, "late"), (1 * m, "b"), (11 * m + 1000, "d"), (-90_000 * m, "long ago")], [(5 * m, "late"), (11 * m, "mark"), (11 * m + 1000, "d")]]
+    (tmp_path / "in").mkdir()
+    late, out, ck = (str(tmp_path / x) for x in ("late", "out", "ck"))
+    for i, rows in enumerate(batches):
+        values = ",".join(f'["{ns}","{line}"]' for ns, line in rows)
+        (tmp_path / "in" / f"{i}.json").write_text('{"data":{"result":[{"values":[%s]}]}}\n' % values)
+        ingest.run_ingest(spark, str(tmp_path / "in"), out, ck, "10 minutes", late)
+    got = lambda path: sorted((r.ts_ns // m, r.line) for r in table.read(spark, path).collect())
+    assert got(out) == [(1, "b"), (11, "d"), (20, "a"), (21, "c")]
+    assert got(late) == [(-90_000, "long ago"), (5, "late"), (10, "at the mark"), (11, "mark")]
+
+
+def test_a_batch_that_runs_again_decides_the_same(spark, tmp_path):
+    out, late = str(tmp_path / "out"), str(tmp_path / "late")
+    write = ingest._batch_writer(out, late, 600 * 10 ** 6, "s")
+    rows = lambda *us: spark.createDataFrame([(u * 1000, str(u)) for u in us], "ts_ns bigint, line string").withColumn(
+        "ts", F.timestamp_micros(F.expr("ts_ns div 1000")))
+    write(rows(10 ** 10), 0)
+    write(rows(10 ** 7, 10 ** 10 + 1), 1)
+    # The late table committed batch 2, then the writer died.
+    table.append(spark, rows(10 ** 6), late, "ts", "s", 2, {"newest": 10 ** 10 + 1})
+    for _ in range(2):
+        write(rows(10 ** 6, 10 ** 10 + 2), 2)
+        write(rows(10 ** 7, 10 ** 10 + 1), 1)
+    assert sorted(int(r.line) for r in table.read(spark, out).collect()) == [10 ** 10, 10 ** 10 + 1, 10 ** 10 + 2]
+    assert sorted(int(r.line) for r in table.read(spark, late).collect()) == [10 ** 6, 10 ** 7]
+
+
 def test_lines_to_alert_table(spark, tmp_path):
     lines = fx.lines(spark, SF).select(F.col("event_id").alias("seq"), "raw")
     schema = lines.schema
@@ -91,8 +123,14 @@ def test_lines_to_alert_table(spark, tmp_path):
     rows = live.enrich_stream(_stream(spark, str(tmp_path / "in"), schema), fx.AS_OF_LINES, *dims)
     live.write_alert_stream(rows, str(tmp_path / "alerts"), str(tmp_path / "ck")).awaitTermination()
     stored = live.alert_table(spark, str(tmp_path / "alerts"))
-    assert stored.count() == parse.parse(lines, fx.AS_OF_LINES).count()
-    assert glob.glob(str(tmp_path / "alerts" / "batch=0" / "event_date=2026-05-20"))
+    stored_rows = stored.count()
+    assert stored_rows == parse.parse(lines, fx.AS_OF_LINES).count()
+    assert glob.glob(str(tmp_path / "alerts" / "event_date=2026-05-20" / "commit=*"))
+    days = sorted(r[0] for r in stored.select("event_date").distinct().collect())
+    sinks.prune_alert_table(spark, str(tmp_path / "alerts"), 1, f"{days[-1]} 06:00:00", offset_hours=0)
+    left = live.alert_table(spark, str(tmp_path / "alerts"))
+    cut = F.lit(f"{days[-1]} 06:00:00").cast("timestamp_ntz") - F.expr("INTERVAL 1 DAY")
+    assert 0 < left.count() == parse.parse(lines, fx.AS_OF_LINES).where(F.col("timestamp") >= cut).count() < stored_rows
 
 
 def test_hourly_stream_equals_batch(spark, tmp_path):

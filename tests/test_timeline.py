@@ -40,6 +40,47 @@ def test_throttle(spark, seed, n, span, window, width, with_reset):
     assert {r.seq for r in got.where("kept").collect()} == _throttle_loop(rows, window)
 
 
+@pytest.mark.parametrize("size", [1, 2, 5])
+def test_throttle_steps_do_not_depend_on_batches(size):
+    """Chunks, seeds and entries cut by batches anywhere; the steps of a chunk from every starting state."""
+    import pyarrow as pa
+
+    window, width = 20, 60
+    for seed in range(25):
+        rng = random.Random(seed)
+        steps = []
+        for key in "ab":
+            for c in sorted(rng.sample(range(6), 3)):
+                times = sorted(c * width + rng.randrange(width) for _ in range(rng.randint(1, 12)))
+                anchor = rng.choice([None, c * width - rng.randint(1, 30)])
+                steps.append((key, c, times, [rng.random() < 0.1 for _ in times], anchor))
+        rows = [(k, c, t, r, False) for k, c, ts, rs, _ in steps for t, r in zip(ts, rs)]
+        seeds = [(k, c, a, False, True) for k, c, _, _, a in steps if a is not None]
+        both = sorted(rows + seeds, key=lambda r: (r[0], r[1], r[2]))
+        table = pa.table({n: list(x) for n, x in zip(("_k", "_chunk", "us", "_reset", "_seed"), zip(*both))})
+        got = [x.column("kept").to_pylist() for x in timeline._keeper(window, "us", width)(table.to_batches(size))]
+        want = []
+        for _, _, times, resets, anchor in steps:
+            for t, reset in zip(times, resets):
+                kept = reset or anchor is None or t - anchor > window
+                anchor = t if kept else anchor
+                want.append(kept)
+        assert sum(got, []) == want
+        schema = pa.schema([("_k", pa.string()), ("_chunk", pa.int64()), ("l", pa.bool_()), ("n", pa.int64()), ("b", pa.int64()), ("e", pa.int64())])
+        plain = sorted(rows, key=lambda r: (r[0], r[1], r[2]))
+        table = pa.table({n: list(x) for n, x in zip(("_k", "_chunk", "us", "_reset"), zip(*plain))})
+        table = table.append_column("_linked_in", pa.array([True] * len(plain))).append_column("_next_chunk", pa.array([9] * len(plain)))
+        out = [r for x in timeline._summariser(window, width, "us", schema)(table.to_batches(size)) for r in x.to_pylist()]
+        for k, c, times, resets, _ in steps:
+            mine = sorted((r["b"], r["e"]) for r in out if (r["_k"], r["_chunk"]) == (k, c))
+            for anchor in [None, *range(c * width - 40, c * width)]:
+                last = anchor
+                for t, reset in zip(times, resets):
+                    last = t if reset or last is None or t - last > window else last
+                step = next((e for b, e in mine if anchor is None or b > anchor + window), anchor)
+                assert step == last, (seed, k, c, anchor)
+
+
 def test_throttle_periodic_chains_never_merge(spark):
     rows = [("k", us, us, False) for us in range(0, 3000, 10)]
     df = spark.createDataFrame(rows, "k string, us bigint, seq bigint, r boolean")
