@@ -25,7 +25,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 WINDOW = 13
 #: Bytes of text in a segment, or one text if it is longer.
-SEGMENT = 4 << 20
+SEGMENT = 1 << 20
 #: Terms of the queries up to which the index leaves other terms out; with more it keeps every term.
 MAX_TERMS = 2_000_000
 #: Query items that one scan of the index looks for.

@@ -40,7 +40,7 @@ RULES = {
 }
 
 
-def _line_repeats(data: np.ndarray, offsets: np.ndarray, starts: np.ndarray, hashes: np.ndarray):
+def _line_repeats(data: np.ndarray, offsets: np.ndarray, starts: np.ndarray):
     """(lines with a word, of those equal to an earlier line) of each text; lines are equal byte by byte."""
     n = len(data)
     breaks = np.flatnonzero(data == 10)
@@ -54,7 +54,7 @@ def _line_repeats(data: np.ndarray, offsets: np.ndarray, starts: np.ndarray, has
     texts = len(offsets) - 1
     if not len(begin):
         return np.zeros(texts, np.int64), np.zeros(texts, np.int64)
-    h = tokens.span_hashes(hashes, begin, end, tokens.BYTE_BASE)
+    h = tokens.word_hashes(data, begin, end)
     order = np.lexsort((h, text))
     again = np.zeros(len(h), bool)
     again[1:] = (h[order][1:] == h[order][:-1]) & (text[order][1:] == text[order][:-1])
@@ -67,10 +67,9 @@ def measure(column) -> list[np.ndarray]:
     for at, rows in tokens.pieces(column, tokens.SMALL_PIECE):
         data, offsets = tokens.flat(column.slice(at, rows))
         starts, ends, first = tokens.words(data, offsets, tokens.SPACE)
-        sums = tokens.prefix_sums(tokens.BYTE_CODE[data], tokens.BYTE_BASE)
-        hashes = tokens.span_hashes(sums, starts, ends, tokens.BYTE_BASE)
+        hashes = tokens.word_hashes(data, starts, ends)
         chars = tokens.masked_sums(((data & 0xC0) != 0x80) & ~tokens.SPACE[data], offsets)
-        lines, dup = _line_repeats(data, offsets, starts, sums)
+        lines, dup = _line_repeats(data, offsets, starts)
         place, window = tokens.window_hashes(hashes, first, WINDOW)
         text = np.searchsorted(first, place, "right") - 1
         order = np.lexsort((window, text))

@@ -31,15 +31,15 @@ class Node:
         object.__setattr__(self, "weight", sum(c.weight for c in self.children) if self.children else self.own_weight)
 
 
-def layout(shards: int, racks: int = 2, per_rack: int = 4, weights: dict[int, float] | None = None,
-           initial: int | None = None) -> Node:
-    """A tree over ``shards`` shards: full regions of ``racks`` x ``per_rack`` shards.
+def layout(shards: int, racks: int = 2, per_rack: int = 4, weights: dict[int, float] | None = None, first: int = 8) -> Node:
+    """The tree over ``shards`` shards; it depends on nothing but their number (and weights).
 
-    ``initial`` is the number of shards there were at first: those fill regions in turn, and every
-    shard beyond them gets a region of its own, so growth takes rows only into the new shards.
+    The first ``first`` shards fill regions of ``racks`` x ``per_rack`` shards in turn. Every further shard is a region
+    of its own, so from ``first`` on a tree of one shard more is the same tree with one region more, and rows move into
+    that one only. Below ``first`` a shard more makes its region heavier, and rows move into all of that region.
     """
     weights = weights or {}
-    old = min(shards, initial if initial is not None else shards)
+    old = min(shards, first)
     regions: dict[int, dict[int, list[Node]]] = {}
     for s in range(old):
         region, rest = divmod(s, racks * per_rack)
@@ -116,4 +116,4 @@ def _leaves(node: Node) -> list[Node]:
 
 
 def op2_hash_tree_sharding(docs: DataFrame, shards: int = 16) -> DataFrame:
-    return assign(docs, layout(shards), layout(shards + 1, initial=shards))
+    return assign(docs, layout(shards), layout(shards + 1))

@@ -11,6 +11,7 @@ import sys
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark import cloudpickle
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -113,7 +114,9 @@ def prefix_sums(codes: np.ndarray, base: int) -> np.ndarray:
 
 
 def span_hashes(p: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int) -> np.ndarray:
-    """Rabin-Karp hash of each span of the array that ``p`` has the sums of; equal spans, equal hashes."""
+    """Rabin-Karp hash of each span of the array that ``p`` has the sums of; equal spans, equal hashes.
+
+    For short spans of spread numbers: from 1024 on there are different spans with equal sums in any odd base."""
     inverse = powers(pow(base, -1, 1 << 64), len(p))
     return mix((p[ends] - p[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
 
@@ -127,8 +130,33 @@ def gram_hashes(p: np.ndarray, length: int) -> np.ndarray:
     return mix(h)
 
 
+#: Longest span, in bytes, that is hashed with others side by side; a longer one is hashed by itself.
+SIDE_BY_SIDE = 256
+
+
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    return span_hashes(prefix_sums(BYTE_CODE[data], BYTE_BASE), starts, ends, BYTE_BASE)
+    """64-bit hash of each span's bytes, eight bytes a round, mixed after every round.
+
+    No sum of powers: sums modulo a power of two are equal for some different spans whatever the base.
+    """
+    size = ends - starts
+    h = mix(size.astype(np.uint64) + np.uint64(BYTE_BASE))
+    if not len(size):
+        return h
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    words = np.ndarray((len(data) + 1,), "<u8", padded.data, strides=(1,))
+    own, at = np.flatnonzero((size > 0) & (size <= SIDE_BY_SIDE)), 0
+    while len(own):
+        block = words[starts[own] + at]
+        left = size[own] - at
+        short = left < 8
+        block[short] &= (np.uint64(1) << (left[short] * 8).astype(np.uint64)) - np.uint64(1)
+        h[own] = mix((h[own] ^ block) * np.uint64(WORD_BASE) + np.uint64(BYTE_BASE))
+        at += 8
+        own = own[left > 8]
+    for i in np.flatnonzero(size > SIDE_BY_SIDE):
+        h[i] = xxhash.xxh64_intdigest(data[starts[i]:ends[i]].tobytes(), 42)
+    return h
 
 
 def word_hash(word: bytes) -> int:
