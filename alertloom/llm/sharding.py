@@ -66,11 +66,9 @@ def descend(key: Column, node: Node) -> Column:
     children = [c for c in node.children if c.weight > 0]
     if len(children) == 1:
         return descend(key, children[0])
+    # Every draw stands once in the expression, however many children a node has.
     best = F.least(*(F.struct(_draw(key, c).alias("d"), F.lit(i).alias("i")) for i, c in enumerate(children)))["i"]
-    out = descend(key, children[-1])
-    for i in range(len(children) - 2, -1, -1):
-        out = F.when(best == i, descend(key, children[i])).otherwise(out)
-    return out
+    return F.get(F.array(*(descend(key, c) for c in children)), best)
 
 
 def assign(docs: DataFrame, tree: Node, grown: Node, id_col: str = "doc_id", text_col: str = "text",

@@ -126,12 +126,12 @@ def test_sharding_moves_only_into_what_grew(spark):
 
 def test_the_number_of_shards_decides(spark):
     keys = spark.range(3_000).select(F.col("id").cast("string").alias("k"))
-    at = keys.select(*(sharding.descend(F.col("k"), sharding.layout(n)).alias(f"n{n}") for n in range(8, 41))).toPandas()
-    for n in range(9, 41):
-        moved = at[at[f"n{n - 1}"] != at[f"n{n}"]]
-        assert (moved[f"n{n}"] == n - 1).all() and abs(len(moved) - 3_000 / n) < 5 * (3_000 / n) ** 0.5
+    for n in (9, 16, 17, 40):
+        at = keys.select(sharding.descend(F.col("k"), sharding.layout(n - 1)).alias("a"), sharding.descend(F.col("k"), sharding.layout(n)).alias("b")).toPandas()
+        moved = at[at["a"] != at["b"]]
+        assert (moved["b"] == n - 1).all() and abs(len(moved) - 3_000 / n) < 5 * (3_000 / n) ** 0.5
     docs = keys.select(F.col("k").cast("long").alias("doc_id"), F.lit("x").alias("text"))
-    for n in (2, 9, 16, 17):
+    for n in (2, 17):
         a, b = sharding.op2_hash_tree_sharding(docs, n), sharding.op2_hash_tree_sharding(docs, n - 1)
         assert a.select("doc_id", "shard").exceptAll(b.select("doc_id", F.col("grown_shard").alias("shard"))).count() == 0
 
