@@ -425,8 +425,11 @@ SELECT what, count(*) AS n, CAST(sum(us % 1000003) AS BIGINT) AS us_sum FROM (
   UNION ALL SELECT 'clear', CAST(resolved_us AS BIGINT) FROM ids WHERE resolved_us IS NOT NULL) x GROUP BY what""", "esc_events", "esc_acks", recursive=True))
 def _(spark, sf):
     _, tracked, recoveries, acks, opens = escalation_inputs(spark, sf)
-    clears = opens.where("resolved_us IS NOT NULL").select(
-        F.col("device_ip").alias("device_name"), F.col("resolved_us").alias("us"), F.col("resolved_by").alias("seq"))
+    # Escalations know a device by its name, incidents by its address.
+    names = fx.dim(spark, "device").select(F.col("ip").alias("device_ip"), F.col("name"))
+    clears = opens.where("resolved_us IS NOT NULL").join(names, "device_ip", "left").select(
+        F.coalesce("name", F.concat(F.lit("UNKNOWN-"), "device_ip")).alias("device_name"), F.col("resolved_us").alias("us"),
+        F.col("resolved_by").alias("seq"))
     return notify.escalation_events(tracked, recoveries, clears, acks).groupBy("what").agg(
         F.count("*").alias("n"), F.sum(F.col("us") % 1000003).alias("us_sum"))
 
