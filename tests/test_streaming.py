@@ -1,5 +1,6 @@
 """Streams give what the batch operators give."""
 
+import datetime as dt
 import glob
 import os
 
@@ -126,10 +127,11 @@ def test_lines_to_alert_table(spark, tmp_path):
     stored_rows = stored.count()
     assert stored_rows == parse.parse(lines, fx.AS_OF_LINES).count()
     assert glob.glob(str(tmp_path / "alerts" / "event_date=2026-05-20" / "commit=*"))
-    days = sorted(r[0] for r in stored.select("event_date").distinct().collect())
-    sinks.prune_alert_table(spark, str(tmp_path / "alerts"), 1, f"{days[-1]} 06:00:00", offset_hours=0)
+    # Retention of a day, a day after the middle of what a stream wrote.
+    middle = stored.agg(F.expr("timestampadd(SECOND, cast(timestampdiff(SECOND, min(timestamp), max(timestamp)) / 2 as int), min(timestamp))")).first()[0]
+    sinks.prune_alert_table(spark, str(tmp_path / "alerts"), 1, middle + dt.timedelta(days=1), offset_hours=0)
     left = live.alert_table(spark, str(tmp_path / "alerts"))
-    cut = F.lit(f"{days[-1]} 06:00:00").cast("timestamp_ntz") - F.expr("INTERVAL 1 DAY")
+    cut = F.lit(middle).cast("timestamp_ntz")
     assert 0 < left.count() == parse.parse(lines, fx.AS_OF_LINES).where(F.col("timestamp") >= cut).count() < stored_rows
 
 
