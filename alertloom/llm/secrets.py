@@ -31,19 +31,55 @@ SPANS = "array<struct<start:bigint,rank:int,end:bigint>>"
 MASK = "[REDACTED]"
 
 
+#: Items of a block of :func:`_folded`.
+FOLDED = 256
+
+
+def _folded(items: Column, kind: str, step) -> Column:
+    """What ``step`` appends over the items, as an array of ``kind``.
+
+    ``step(at, item)`` gives the next running place and the element. Appending copies an array, so items are
+    folded in blocks, and the blocks' arrays are put together at the end.
+    """
+    none = F.array().cast(f"array<{kind}>")
+
+    def within(acc, x):
+        at, element = step(acc["at"], x)
+        return F.struct(at.alias("at"), F.array_append(acc["out"], element).alias("out"))
+
+    def across(acc, block):
+        done = F.aggregate(block, F.struct(acc["at"].alias("at"), none.alias("out")), within)
+        return F.element_at(F.transform(F.array(done), lambda d: F.struct(
+            d["at"].alias("at"), F.array_append(acc["out"], d["out"]).alias("out"))), 1)
+
+    def all_blocks(held):
+        """The items are bound by a lambda, so that they are computed once and not for every block."""
+        return F.transform(F.sequence(F.lit(0), F.floor(F.greatest(F.size(held) - 1, F.lit(0)) / FOLDED).cast("int"), F.lit(1)),
+                           lambda b: F.slice(held, b * FOLDED + 1, F.lit(FOLDED)))
+
+    blocks = F.element_at(F.transform(F.array(items), all_blocks), 1)
+    begin = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(f"array<array<{kind}>>").alias("out"))
+    return F.aggregate(blocks, begin, across, lambda acc: F.flatten(acc["out"]))
+
+
 def _located(text: Column, matches: Column, pattern: str) -> Column:
     """(start, end, match) of every match, in code points: matches alternate with the pieces that split() leaves."""
-    gaps = F.split(text, pattern, -1)
-    begin = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<struct<start:bigint,end:bigint,match:string>>").alias("out"))
-
-    def step(acc, pair):
-        start = acc["at"] + F.length(pair["gap"])
+    def step(at, pair):
+        start = at + F.length(pair["gap"])
         end = start + F.length(pair["match"])
-        return F.struct(end.alias("at"), F.array_append(
-            acc["out"], F.struct(start.alias("start"), end.alias("end"), pair["match"].alias("match"))).alias("out"))
+        return end, F.struct(start.alias("start"), end.alias("end"), pair["match"].alias("match"))
+
+    pairs = F.arrays_zip(F.slice(F.split(text, pattern, -1), 1, F.size(matches)).alias("gap"), matches.alias("match"))
+    return F.when(F.size(matches) > 0, _folded(pairs, "struct<start:bigint,end:bigint,match:string>", step)).otherwise(
+        F.array().cast("array<struct<start:bigint,end:bigint,match:string>>"))
 
-    pairs = F.arrays_zip(F.slice(gaps, 1, F.size(matches)).alias("gap"), matches.alias("match"))
-    return F.when(F.size(matches) > 0, F.aggregate(pairs, begin, step, lambda acc: acc["out"])).otherwise(begin["out"])
+
+def _touched(span: Column, spans: Column) -> Column:
+    """Whether a span overlaps one of ``spans``, which are in order and apart from each other: the last that begins before its end."""
+    steps = F.array(*(F.lit(1 << k) for k in reversed(range(25))))
+    before = F.aggregate(steps, F.lit(0), lambda n, k: F.when(
+        F.get(spans, n + k - 1)["start"] < span["end"], n + k).otherwise(n))
+    return (F.size(spans) > 0) & F.coalesce(F.get(spans, before - 1)["end"] > span["start"], F.lit(False))
 
 
 def _spans(located: Column, kind: str, keep=None) -> Column:
@@ -64,17 +100,17 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     patterns = {"assign": ASSIGN, "access": ACCESS_LONG, "hex": HEX_LONG, "ident": IDENT, "opaque": OPAQUE, "endpoint": ENDPOINT}
     rows = rows.select("doc_id", "text", *(F.regexp_extract_all(text, F.lit(p), F.lit(0)).alias(k) for k, p in patterns.items()))
     at = {k: _located(text, F.col(k), p) for k, p in patterns.items()}
-    base = F.concat(
-        _spans(at["assign"], "assign", lambda x: F.length(F.regexp_extract(x["match"], ASSIGN, 1)) >= 12),
-        _spans(at["access"], "access"), _spans(at["hex"], "hex"))
     weak = F.concat(
         _spans(at["ident"], "ident", lambda x: x["match"].rlike("[0-9]")),
         _spans(at["opaque"], "opaque", lambda x: _mixed(x["match"])), _spans(at["endpoint"], "endpoint"))
-    rows = rows.select("doc_id", F.xxhash64("text").alias("k1"), F.xxhash64(F.lit(1), "text").alias("k2"),
-                       base.alias("base"), weak.alias("weak"))
+    rows = rows.select(
+        "doc_id", F.xxhash64("text").alias("k1"), F.xxhash64(F.lit(1), "text").alias("k2"),
+        _spans(at["assign"], "assign", lambda x: F.length(F.regexp_extract(x["match"], ASSIGN, 1)) >= 12).alias("assign"),
+        _spans(at["access"], "access").alias("access"), _spans(at["hex"], "hex").alias("hex"), weak.alias("weak"))
     # A weak span that touches a base one is that secret itself.
-    apart = F.filter("weak", lambda w: ~F.exists("base", lambda b: (w["start"] < b["end"]) & (b["start"] < w["end"])))
-    return rows.select("doc_id", "k1", "k2", "base", F.when(F.size("weak") > 0, apart).otherwise(F.col("weak")).alias("weak"))
+    apart = F.filter("weak", lambda w: ~(_touched(w, F.col("assign")) | _touched(w, F.col("access")) | _touched(w, F.col("hex"))))
+    return rows.select("doc_id", "k1", "k2", F.concat("assign", "access", "hex").alias("base"),
+                       F.when(F.size("weak") > 0, apart).otherwise(F.col("weak")).alias("weak"))
 
 
 def linked(rows: DataFrame, reach: int = REACH) -> DataFrame:
@@ -132,6 +168,49 @@ def _listed(spans: str) -> Column:
         ":", F.element_at(kinds, s["rank"] + 1), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
+def _apart(spans: Column) -> Column:
+    """(start, end) of the unions of spans that overlap, for spans in order of their starts.
+
+    The fold marks each span with the furthest end before it; a span that begins at or behind that begins a union.
+    """
+    seen = _folded(spans, "struct<start:bigint,before:bigint>", lambda at, s: (
+        F.greatest(at, s["end"]), F.struct(s["start"].alias("start"), at.alias("before"))))
+    last = F.array_max(F.transform(spans, lambda s: s["end"]))
+
+    def unions(first):
+        ends = F.concat(F.slice(F.transform(first, lambda x: x["before"]), F.lit(2), F.greatest(F.size(first) - 1, F.lit(0))), F.array(last))
+        return F.arrays_zip(F.transform(first, lambda x: x["start"]).alias("start"), ends.alias("end"))
+
+    return F.element_at(F.transform(F.array(F.filter(seen, lambda x: x["start"] >= x["before"])), unions), 1)
+
+
+#: Code points of a block of a text that is cut into pieces.
+CUT = 256
+
+
+def _between(text: Column, spans: Column) -> Column:
+    """The pieces of a text before, between and behind spans that are in order and apart.
+
+    Finding a code point counts from the front, so the text is cut into blocks of CUT code points first.
+    """
+    def pieces(blocks):
+        def piece(low, high):
+            first, last = F.floor(low / CUT).cast("int"), F.floor(high / CUT).cast("int")
+            block = lambda i: F.coalesce(F.get(blocks, i), F.lit(""))
+            at, to = (low % CUT).cast("int"), (high % CUT).cast("int")
+            return F.when(first == last, F.substring(block(first), at + 1, to - at)).otherwise(F.concat(
+                F.substring(block(first), at + 1, F.lit(CUT)),
+                F.array_join(F.slice(blocks, first + 2, F.greatest(last - first - 1, F.lit(0))), ""),
+                F.substring(block(last), F.lit(1), to)))
+
+        zero, n = F.array(F.lit(0).cast("bigint")), F.array(F.length(text).cast("bigint"))
+        ends = F.concat(zero, F.transform(spans, lambda s: s["end"]))
+        starts = F.concat(F.transform(spans, lambda s: s["start"]), n)
+        return F.transform(F.arrays_zip(ends.alias("low"), starts.alias("high")), lambda x: piece(x["low"], x["high"]))
+
+    return F.element_at(F.transform(F.array(F.regexp_extract_all(text, F.lit(r"(?s).{1,%d}" % CUT), F.lit(0))), pieces), 1)
+
+
 def masked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows with every reported span replaced by MASK; a null text stays null.
 
@@ -144,15 +223,7 @@ def masked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     keyed = docs.withColumns({a: F.xxhash64(text), b: F.xxhash64(F.lit(1), text)})
     joined = keyed.join(found.toDF(a, b, c), [a, b], "left")
     source = F.col(text_col)
-    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out"))
-
-    def step(acc, s):
-        more = F.concat(acc["out"], F.substring(source, (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int")), F.lit(MASK))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"),
-                        F.when(s["start"] >= acc["at"], more).otherwise(acc["out"]).alias("out"))
-
-    clean = F.aggregate(c, start, step, lambda acc: F.concat(
-        acc["out"], F.substring(source, (acc["at"] + 1).cast("int"), F.length(source))))
+    clean = F.array_join(_between(source, _apart(F.col(c))), MASK)
     out = {text_col: F.when(F.col(c).isNull() | source.isNull(), source).otherwise(clean)}
     masked_rows = joined.withColumns(out)
     if "n_chars" in docs.columns:
