@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import heapq
 import json
 import sys
 
@@ -34,6 +35,8 @@ LATIN = "ISO-8859-1"
 LOWEST = -(1 << 63)
 #: Words that runs ask about in one bucket, for up to R.BASE bytes of text.
 BUCKET_WORDS = 1 << 18
+#: Bytes of the longest word that is folded by higher-order functions.
+FOLD_BYTES = 512
 #: The pattern that :class:`Cutter` follows without a regular expression.
 PLAIN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 OTHER, LETTER, NUMBER, SPACE = range(4)
@@ -99,6 +102,42 @@ def fold(word: Column, rank) -> Column:
     return F.transform(parts, lambda p: rank(p))
 
 
+def join_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """Ids of a word as :func:`fold` gives them: the leftmost pair of lowest rank is joined first.
+
+    Pieces are a linked list by their first byte. A heap entry is out of date if its piece has gone or the pair has
+    another end by now.
+    """
+    n = len(word)
+    after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+    alive = [True] * n
+    heap: list[tuple[int, int, int]] = []
+
+    def offer(at: int) -> None:
+        middle = after[at]
+        if middle < n and (rank := ranks.get(word[at:after[middle]])) is not None:
+            heapq.heappush(heap, (rank, at, after[middle]))
+
+    for at in range(n - 1):
+        offer(at)
+    while heap:
+        _, at, end = heapq.heappop(heap)
+        if not alive[at] or after[at] >= n or after[after[at]] != end:
+            continue
+        alive[after[at]] = False
+        after[at] = end
+        if end < n:
+            before[end] = at
+        offer(at)
+        if before[at] >= 0:
+            offer(before[at])
+    ids, at = [], 0
+    while at < n:
+        ids.append(ranks[word[at:after[at]]])
+        at = after[at]
+    return ids
+
+
 def _kinds() -> tuple[np.ndarray, np.ndarray]:
     """All code points as runs of one kind: length and kind of each."""
     kind = np.zeros(0x110000, np.uint8)
@@ -261,7 +300,8 @@ def _words(column: pa.Array, cutter: Cutter):
 
 
 ASKED = "run int, bucket int, sizes binary, words binary"
-DISTINCT = "bucket int, words array<binary>, runs array<int>, places array<binary>"
+#: ``long`` numbers the words of over FOLD_BYTES, whose ids are in ``joined``; one byte stands for each in ``words``.
+DISTINCT = "bucket int, words array<binary>, runs array<int>, places array<binary>, long array<int>, joined array<binary>"
 ANSWER = "run int, bucket int, sizes binary, ids binary"
 
 
@@ -270,7 +310,7 @@ def _with_ids(docs: DataFrame, tokenizer: Tokenizer, use, schema: str, run_bytes
     runs = R.into_runs(docs.select("doc_id", "text"), run_bytes=run_bytes)
     # About one distinct word of a run for every 40 bytes.
     buckets = max(1, int(-(-runs.n_bytes // (40 * BUCKET_WORDS * runs.grown))))
-    cutter, kind = tokenizer.cutter, np.min_scalar_type(len(tokenizer.pieces))
+    cutter, kind, ranks = tokenizer.cutter, np.min_scalar_type(len(tokenizer.pieces)), tokenizer.ranks
 
     def ask(table: pa.Table) -> pa.Table:
         run = table.column("run")[0].as_py()
@@ -288,13 +328,18 @@ def _with_ids(docs: DataFrame, tokenizer: Tokenizer, use, schema: str, run_bytes
         data = np.frombuffer(b"".join(_unsqueeze(x.as_py()) for x in table.column("words")), np.uint8)
         spans = _spans(np.concatenate(size))
         _, index, back = np.unique(tokens.word_hashes(data, *spans), return_index=True, return_inverse=True)
-        words, sizes = _take(data, spans, index)
+        starts, ends = spans[0][index], spans[1][index]
+        long = np.flatnonzero(ends - starts > FOLD_BYTES)
+        joined = [np.array(join_long(data[starts[i]:ends[i]].tobytes(), ranks), kind).tobytes() for i in long]
+        ends[long] = starts[long] + 1
+        words, sizes = _take(data, (starts, ends), np.arange(len(index)))
         ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
         every = pa.BinaryArray.from_buffers(pa.binary(), len(index), [None, pa.py_buffer(ends), pa.py_buffer(words)])
         places = np.split(back.astype(np.int32), np.cumsum([len(s) for s in size])[:-1])
         return pa.table({"bucket": table.column("bucket").slice(0, 1), "words": pa.ListArray.from_arrays([0, len(index)], every),
                          "runs": pa.array([table.column("run").to_pylist()], pa.list_(pa.int32())),
-                         "places": pa.array([[p.tobytes() for p in places]], pa.list_(pa.binary()))})
+                         "places": pa.array([[p.tobytes() for p in places]], pa.list_(pa.binary())),
+                         "long": pa.array([long.tolist()], pa.list_(pa.int32())), "joined": pa.array([joined], pa.list_(pa.binary()))})
 
     def reply(batches):
         for batch in batches:
@@ -303,6 +348,12 @@ def _with_ids(docs: DataFrame, tokenizer: Tokenizer, use, schema: str, run_bytes
                 ends = ids.offsets.to_numpy()
                 flat = ids.values.to_numpy().astype(kind)
                 spans = (ends[:-1].astype(np.int64), ends[1:].astype(np.int64))
+                joined = [np.frombuffer(x.as_py(), kind) for x in batch.column("joined")[i]]
+                size = np.array([len(x) for x in joined], np.int64)
+                long = batch.column("long")[i].as_py()
+                spans[1][long] = ends[-1] + np.cumsum(size)
+                spans[0][long] = spans[1][long] - size
+                flat = np.concatenate([flat, *joined])
                 bucket = batch.column("bucket")[i].as_py()
                 for run, place in zip(batch.column("runs")[i].as_py(), batch.column("places")[i]):
                     mine, size = _take(flat, spans, np.frombuffer(place.as_py(), np.int32))
@@ -324,7 +375,7 @@ def _with_ids(docs: DataFrame, tokenizer: Tokenizer, use, schema: str, run_bytes
     packed = runs.rows.mapInArrow(_pack, PACKED)
     asked = packed.groupBy("run").applyInArrow(ask, ASKED)
     folded = (asked.groupBy("bucket").applyInArrow(distinct, DISTINCT)
-              .select("bucket", tokenizer.fold_words(F.col("words")).alias("ids"), "runs", "places"))
+              .select("bucket", tokenizer.fold_words(F.col("words")).alias("ids"), "runs", "places", "long", "joined"))
     answers = folded.mapInArrow(reply, ANSWER)
     return packed.groupBy("run").cogroup(answers.groupBy("run")).applyInArrow(apply, schema)
 
@@ -333,7 +384,7 @@ def encode(docs: DataFrame, tokenizer: Tokenizer | None = None, run_bytes: int =
     """doc_id, ids (array of int) of every row; a null or empty text has none. Other columns are not read.
 
     Whole texts are encoded, special tokens are ordinary text. Repeated rows give repeated results.
-    A word of n bytes takes time n squared at worst.
+    A word of n bytes takes time n squared at worst up to FOLD_BYTES, n log n beyond; a word is held whole.
     """
     def use(doc_ids, texts):
         return pa.table({"doc_id": pa.array(doc_ids, pa.int64()),

@@ -8,6 +8,7 @@ corrected by that slice's measured rate before the largest one decides.
 
 from __future__ import annotations
 
+import re
 import sys
 from dataclasses import dataclass
 
@@ -136,14 +137,30 @@ def _document_grams(batches):
                     ["lang", "gram", "n"])
 
 
+_BLANK = re.compile(r"\s")
+
+
+def _steps(text: str, chunk: int):
+    """Parts of a text of about ``chunk`` characters, cut at white space only, as no n-gram holds any inside."""
+    at = 0
+    while at < len(text):
+        found = _BLANK.search(text, min(at + chunk, len(text)))
+        to = found.end() if found else len(text)
+        yield text[at:to]
+        at = to
+
+
 def predict(text: str | None, model: Model | None, chunk: int = 1 << 20) -> tuple[str, float]:
-    """(language, score from 0 to 1): the share of the text's n-grams that are the language's, corrected."""
+    """(language, score from 0 to 1): the share of the text's n-grams that are the language's, corrected.
+
+    The result does not depend on ``chunk``: a long text is read in steps that end at white space.
+    """
     if text is None or model is None:
         return UNKNOWN, 0.0
     total, hits = 0, np.zeros(len(model.languages))
     lettered = False
-    for at in range(0, len(text), chunk):
-        points = _characters(text[at:at + chunk])
+    for part in _steps(text, chunk):
+        points = _characters(part)
         lettered |= bool((points != 32).any())
         h = _gram_hashes(points)
         if not len(h):
@@ -168,7 +185,7 @@ def annotate(docs: DataFrame, model: Model | None) -> DataFrame:
 
     A null text and one without a letter are ``und`` with score 0; so is every text if nothing was
     learned. Equal counts go to the first language by name. Whole texts are read, in steps of a
-    million characters. Other columns are not read. Repeated rows give repeated results.
+    million characters and what is left of a word there. Other columns are not read. Repeated rows give repeated results.
     """
     schema = "doc_id bigint, held_out boolean, lang_pred string, score double"
 

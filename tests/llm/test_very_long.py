@@ -3,9 +3,12 @@
 import random
 
 import brute
+import numpy as np
+import public_tokenizers
+import tiktoken
 from pyspark.sql import functions as F
 
-from alertloom.llm import secrets
+from alertloom.llm import bpe, language, secrets
 
 
 def long_text(n, seed):
@@ -50,3 +53,43 @@ def test_weak_apart(spark):
     df = spark.createDataFrame(rows, f"i int, w struct<start:bigint,rank:int,end:bigint>, b {secrets.SPANS}")
     got = {r["i"]: r["t"] for r in df.select("i", secrets._touched(F.col("w"), F.col("b")).alias("t")).collect()}
     assert got == {i: any(w["start"] < s["end"] and s["start"] < w["end"] for s in b) for i, w, b in rows}
+
+
+def test_long_words(spark):
+    """Words on both sides of the fold's bound, and far beyond it, as the tokenizer's own library encodes them."""
+    rng = random.Random(5)
+    encoding = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, special_tokens={},
+                                 mergeable_ranks=bpe.read_ranks(public_tokenizers.path(bpe.RANKS)))
+    word = lambda letters, n: "".join(rng.choices(letters, k=n))
+    texts = [word("ab", n) for n in (511, 512, 513)] + ["a" * 200_000, word("abcdefghijklmnopqrstuvwxyz", 200_000), word("日本語の文é", 5000),
+             "=" * 3000, "a" * 600 + " " + "a" * 600 + " b", word("ethanois", 700) + " short words " + word("ethanois", 700)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: r["ids"] for r in bpe.encode(docs, run_bytes=100_000).collect()}
+    assert got == {i: encoding.encode_ordinary(t) for i, t in enumerate(texts)}
+
+
+def test_long_joins():
+    """The heap gives what joining the leftmost lowest pair step by step gives, for any ranks."""
+    rng = random.Random(8)
+    for _ in range(300):
+        ranks = {bytes([c]): i for i, c in enumerate(b"abc")}
+        for piece in {bytes(rng.choices(b"abc", k=rng.randint(2, 5))) for _ in range(30)}:
+            ranks[piece] = len(ranks)
+        word = bytes(rng.choices(b"abc", k=rng.randint(1, 40)))
+        parts = [word[i:i + 1] for i in range(len(word))]
+        while True:
+            pairs = [(ranks[a + b], i) for i, (a, b) in enumerate(zip(parts, parts[1:])) if a + b in ranks]
+            if not pairs:
+                break
+            i = min(pairs)[1]
+            parts[i:i + 2] = [parts[i] + parts[i + 1]]
+        assert bpe.join_long(word, ranks) == [ranks[p] for p in parts]
+
+
+def test_language_steps():
+    """The size of a step does not change a prediction."""
+    rng = random.Random(4)
+    model = language.Model(("a", "b"), np.random.default_rng(1).integers(0, 4, (1, 1 << language.SLOT_BITS)).astype(np.uint64), (0.1, 0.2))
+    texts = ["".join(rng.choices("abcdeΣσé \n'1.", k=n)) for n in (1, 50, 3000)] + ["abc" * 500, " " * 40, ""]
+    for text in texts:
+        assert len({language.predict(text, model, chunk) for chunk in (1, 7, 100, 1 << 20)}) == 1
