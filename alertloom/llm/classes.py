@@ -24,7 +24,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, functions as F
 
 from . import runs as R, tokens
-from .tables import fold_of, materialize
+from .tables import fold_of, materialize, shuffles_removed
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -36,7 +36,9 @@ ROUNDS = 4
 #: Classes grow with the fourth root of the distinct training words, within these bounds; a class is a byte.
 FEWEST, MOST = 24, 255
 #: Numbers of a step that weighs moves: neighbours by class, times classes.
-STEP = 1 << 22
+STEP = 1 << 18
+#: Bytes of a row group of the tables between the sweeps, whose rows hold many words.
+GROUP = 8 << 20
 #: Weight of the class model beside the unigram.
 MIX = 0.85
 LOWEST = -(1 << 63)
@@ -395,41 +397,42 @@ def score(docs: DataFrame, run_bytes: int = R.RUN_BYTES, rounds: int = ROUNDS, f
     """
     held = (fold_of("doc_id", 10) == 0).alias("held")
     runs = R.into_runs(docs.select("doc_id", "text"), held, run_bytes=run_bytes)
-    # A run has about one distinct word for every 60 bytes, and several neighbours of each.
-    buckets = runs.buckets(runs.n_bytes / 15)
-    blocks = materialize(runs.rows.groupBy("run").applyInArrow(_asked(buckets), R.ASKED), "word-blocks")
-    words = blocks.where("bucket >= 0")
-    model = materialize(words.groupBy("bucket").applyInArrow(
-        _summary(WORDS), "what bigint, key bigint, ending bigint, n bigint, v bigint"), "word-counts")
-    top = model.where("what = 0").orderBy(F.desc("n"), "key").limit(WORDS).toPandas()
-    # At most 65 536 endings.
-    endings = model.where("what = 1").groupBy("key").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).toPandas()
-    texts = docs.select("doc_id").where(fold_of("doc_id", 10) != 0).count()
-    train_tokens, kinds = int(endings["n"].sum()) + texts, int(endings["v"].sum()) + (texts > 0)
-
-    # Endings count the words that are no items of their own.
-    n_of = np.zeros(1 << 16, np.int64)
-    n_of[endings["key"]] = endings["n"]
-    np.subtract.at(n_of, top["ending"].to_numpy(np.int64), top["n"].to_numpy(np.int64))
-    often = np.lexsort((np.arange(1 << 16), -n_of))[:ENDINGS]
-    hashes = top["key"].to_numpy(np.int64).view(np.uint64)
-    items = Items(np.sort(hashes), np.sort(often[n_of[often] > 0]))
-    as_items = R.answered(words, _first_classes(items, np.arange(items.end + 1), items.end + 1), more=-1)
-    of = exchange(_matrix(_joined(blocks, as_items, items.end, False), items.end), min(MOST, max(fewest, int(np.ceil(kinds ** 0.25)))))
-    end = int(of[-1])
-
-    answers = materialize(R.answered(words, _first_classes(items, of, end), more=-1), "word-classes")
-    for sweep in range(rounds):
-        vectors = materialize(_joined(blocks, answers, end, True), "word-neighbours")
-        g = _matrix(vectors, end)
-        answers = materialize(words.groupBy("bucket").cogroup(vectors.where("bucket >= 0").groupBy("bucket")).applyInArrow(
-            _moved(sweep, g), R.ANSWER), "word-classes")
-    g = _matrix(_joined(blocks, answers, end, False), end)
-    tokens_of, kinds_of = g.sum(0).astype(np.float64), np.zeros(end + 1)
-    # A row for each bucket, of one number a class.
-    in_class = answers.where("run = -1").select("answer").mapInArrow(_numbered, "c int, v bigint")
-    in_class = in_class.groupBy("c").agg(F.sum("v").alias("v")).toPandas()
-    kinds_of[in_class["c"]] = in_class["v"]
+    with shuffles_removed(docs.sparkSession):
+        # A run has about one distinct word for every 60 bytes, and several neighbours of each.
+        buckets = runs.buckets(runs.n_bytes / 8)
+        blocks = materialize(runs.rows.groupBy("run").applyInArrow(_asked(buckets), R.ASKED), "word-blocks", GROUP)
+        words = blocks.where("bucket >= 0")
+        model = materialize(words.groupBy("bucket").applyInArrow(
+            _summary(WORDS), "what bigint, key bigint, ending bigint, n bigint, v bigint"), "word-counts")
+        top = model.where("what = 0").orderBy(F.desc("n"), "key").limit(WORDS).toPandas()
+        # At most 65 536 endings.
+        endings = model.where("what = 1").groupBy("key").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).toPandas()
+        texts = docs.select("doc_id").where(fold_of("doc_id", 10) != 0).count()
+        train_tokens, kinds = int(endings["n"].sum()) + texts, int(endings["v"].sum()) + (texts > 0)
+
+        # Endings count the words that are no items of their own.
+        n_of = np.zeros(1 << 16, np.int64)
+        n_of[endings["key"]] = endings["n"]
+        np.subtract.at(n_of, top["ending"].to_numpy(np.int64), top["n"].to_numpy(np.int64))
+        often = np.lexsort((np.arange(1 << 16), -n_of))[:ENDINGS]
+        hashes = top["key"].to_numpy(np.int64).view(np.uint64)
+        items = Items(np.sort(hashes), np.sort(often[n_of[often] > 0]))
+        as_items = R.answered(words, _first_classes(items, np.arange(items.end + 1), items.end + 1), more=-1)
+        of = exchange(_matrix(_joined(blocks, as_items, items.end, False), items.end), min(MOST, max(fewest, int(np.ceil(kinds ** 0.25)))))
+        end = int(of[-1])
+
+        answers = materialize(R.answered(words, _first_classes(items, of, end), more=-1), "word-classes", GROUP)
+        for sweep in range(rounds):
+            vectors = materialize(_joined(blocks, answers, end, True), "word-neighbours", GROUP)
+            g = _matrix(vectors, end)
+            answers = materialize(words.groupBy("bucket").cogroup(vectors.where("bucket >= 0").groupBy("bucket")).applyInArrow(
+                _moved(sweep, g), R.ANSWER), "word-classes", GROUP)
+        g = _matrix(_joined(blocks, answers, end, False), end)
+        tokens_of, kinds_of = g.sum(0).astype(np.float64), np.zeros(end + 1)
+        # A row for each bucket, of one number a class.
+        in_class = answers.where("run = -1").select("answer").mapInArrow(_numbered, "c int, v bigint")
+        in_class = in_class.groupBy("c").agg(F.sum("v").alias("v")).toPandas()
+        kinds_of[in_class["c"]] = in_class["v"]
     move = (g + 0.5) / (g.sum(1, keepdims=True) + 0.5 * (end + 1))
     emit = tokens_of + ALPHA * (kinds_of + 1)
     below = train_tokens + ALPHA * (kinds + 1)

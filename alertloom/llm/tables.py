@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
@@ -31,13 +32,31 @@ def shared_dir(spark: SparkSession) -> str:
     return _local[context.applicationId]
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back; survives lost executors."""
+def materialize(df: DataFrame, label: str, group_bytes: int | None = None) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back; survives lost executors.
+
+    ``group_bytes`` bounds a row group, which a reader may hold whole; for rows of many KB.
+    """
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/llm-{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    writer = df.write
+    if group_bytes:
+        writer = writer.option("parquet.block.size", str(group_bytes)).option("parquet.page.size.row.check.min", "4")
+    writer.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def shuffles_removed(spark: SparkSession):
+    """Within it, the shuffle files of a query go when the query ends; its written result is what later ones read."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """A column name like ``name`` that ``df`` does not have in any letter case."""
     taken = {c.lower() for c in df.columns}
