@@ -53,6 +53,7 @@ _BY_WORD = {
 def encoder(vocabulary: str) -> Callable[[str | None], bytes]:
     """text -> little-endian 32-bit ids by ``tokenizers``, without special tokens; null is empty."""
     import re
+    import struct
 
     from tokenizers import Tokenizer
 
@@ -73,6 +74,7 @@ def encoder(vocabulary: str) -> Callable[[str | None], bytes]:
     letters = _BY_WORD["letters"]
     piece = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[0-9]|[^\\s{letters}0-9]+")
     plain = re.compile("[!-~À-ÖØ-öø-ÿ]*")
+    special = re.compile(b"|".join(map(re.escape, added)) or b"(?!)")
     # The printable character that byte-level vocabularies write for each byte.
     shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
     hidden = [b for b in range(256) if b not in shown]
@@ -96,14 +98,18 @@ def encoder(vocabulary: str) -> Callable[[str | None], bytes]:
 
     def of_piece(word: str) -> bytes:
         said = word if word.isascii() else word.encode().decode("latin-1").translate(table)
-        return np.array([t.id for t in merged(said)], "<u4").tobytes()
+        ids = [t.id for t in merged(said)]
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     pieces = Known(of_piece)
 
     def of_word(word: bytes) -> bytes:
         text = word.decode("utf-8", "surrogatepass")
-        if not plain.fullmatch(text) or any(a in word for a in added):
+        ascii = text.isascii()
+        if not (text.isprintable() if ascii else plain.fullmatch(text)) or special.search(word):
             return whole(text)
+        if ascii and text.isalpha():
+            return pieces[text.lower()]
         return b"".join([pieces[p] for p in piece.findall(text.lower())])
 
     known = Known(of_word)

@@ -1,5 +1,7 @@
 """Packing against the tokenizer itself, one-by-one placement and its own promises."""
 
+import itertools
+import sys
 import random
 import zlib
 from collections import Counter, defaultdict
@@ -141,3 +143,21 @@ def test_empty_table_and_digest(spark, small):
     assert sum(r["length"] for r in rows) == sum(map(len, docs.values()))
     used, padding = _padding(rows, 4096)
     assert padding < 16 * len(used)
+
+
+def test_a_new_word_takes_few_calls():
+    encode, calls = _encode(), 0
+
+    def count(_, event, __):
+        nonlocal calls
+        calls += event in ("call", "c_call")
+
+    words = ["".join(c) for c in itertools.product("bcdfgh", "aeiou", "klmnp", "aeiou", "rst")]
+    text = " ".join(words)
+    encode("warm up")
+    sys.setprofile(count)
+    try:
+        encode(text)
+    finally:
+        sys.setprofile(None)
+    assert calls < 24 * len(words)
