@@ -160,4 +160,4 @@ def test_a_new_word_takes_few_calls():
         encode(text)
     finally:
         sys.setprofile(None)
-    assert calls < 24 * len(words)
+    assert calls < 21 * len(words)
