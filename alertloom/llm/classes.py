@@ -71,7 +71,7 @@ def _unpacked(held: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 def _added(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys in order, with the sum of their counts."""
-    order = np.argsort(keys, kind="stable")
+    order = tokens.ascending(keys)
     keys = keys[order]
     begins = np.flatnonzero(np.diff(keys, prepend=-1))
     return keys[begins], np.add.reduceat(counts[order], begins) if len(begins) else np.zeros(0, np.int64)
@@ -87,7 +87,7 @@ def _asked(buckets: int):
         ending = np.concatenate([np.zeros(0, np.int64), *(x[1] for x in parts)])
         first = np.concatenate([[0], *(np.diff(x[2]) for x in parts)]).cumsum()
         del parts
-        known, place, back = np.unique(h, return_index=True, return_inverse=True)
+        known, place, back = tokens.distinct(h)
         ending, size = ending[place], len(known) + 1
         del h, place
         seq, before, text, word = _sequence(back, first, len(known))
@@ -136,11 +136,6 @@ def _summary(words: int):
     return summary
 
 
-def _distinct(table: pa.Table) -> np.ndarray:
-    column = table.column("text").combine_chunks()
-    return np.unique(np.concatenate([np.zeros(0, np.uint64), *(np.unique(_words(column, at, n)[0]) for at, n in tokens.pieces(column))]))
-
-
 @dataclass(frozen=True)
 class Items:
     """word hashes (sorted) and endings (sorted) that are items; numbers: words, then endings, then other, then the end."""
@@ -245,7 +240,13 @@ def best_classes(own: np.ndarray, near: np.ndarray, count: np.ndarray, g: np.nda
     end = len(g) - 1
     width, out = 2 * end + 3, own.copy()
     g = g.astype(np.float64)
-    flat, row_sum, col_sum = _xlogx(g), g.sum(1), g.sum(0)
+    row_sum, col_sum = g.sum(1), g.sum(0)
+    # What n more tokens add to a class bigram is looked up for small n, but for the word's own class.
+    small = np.arange(max(1, min(32, 4 * STEP // (end + 1) ** 2)) + 1)
+    sides = [(table, _xlogx(table), _xlogx(table[:end].T[:, None] + small[:, None]) - _xlogx(table[:end].T[:, None]))
+             for table in (g, np.ascontiguousarray(g.T))]
+    sums = [(total[:end], _xlogx(total[:end]), _xlogx(total[:end] + small[:, None]) - _xlogx(total[:end]))
+            for total in (row_sum, col_sum)]
     starts = np.searchsorted(near, np.arange(len(own) + 1) * width)
     at = 0
     while at < len(own):
@@ -256,29 +257,34 @@ def best_classes(own: np.ndarray, near: np.ndarray, count: np.ndarray, g: np.nda
         dense = np.bincount(word * width + code, weights=count[part], minlength=(to - at) * width).reshape(-1, width)
         right, left, alone = dense[:, :end + 1], dense[:, end + 1:width - 1], dense[:, -1]
         gain = np.zeros((to - at, end))
-        for side, table, plain, back in ((right, g, flat, left), (left, g.T, flat.T, right)):
+        for (table, plain, added), side, back in zip(sides, (right, left), (left, right)):
             w, d = np.nonzero(side)
             n, o = side[w, d], mine[w]
+            more = added[d, np.minimum(n, small[-1]).astype(np.int64)]
+            often = np.flatnonzero(n > small[-1])
+            more[often] = _xlogx(table[:end, d[often]].T + n[often, None]) - plain[:end, d[often]].T
             # Class bigrams without the word: of its own class with d, and of every class with its own.
-            cell = table[:end, d].T.copy()
-            cell[np.arange(len(w)), o] -= n
-            inner = d == o
-            cell[inner] -= back[w[inner], :end]
-            cell[inner, o[inner]] -= alone[w[inner]]
-            more = _xlogx(cell + n[:, None]) - _xlogx(cell)
+            more[np.arange(len(w)), o] = plain[o, d] - _xlogx(table[o, d] - n)
+            inner = np.flatnonzero(d == o)
+            cell = table[:end, d[inner]].T.copy()
+            cell[np.arange(len(inner)), o[inner]] -= n[inner] + alone[w[inner]]
+            cell -= back[w[inner], :end]
+            more[inner] = _xlogx(cell + n[inner, None]) - _xlogx(cell)
             begins = np.flatnonzero(np.diff(w, prepend=-1))
             if len(begins):
                 gain[w[begins]] += np.add.reduceat(more, begins, axis=0)
         # The cell of a class with itself gets both sides and the word after itself, once.
-        r, l, s = right[:, :end], left[:, :end], alone[:, None]
-        diagonal = np.broadcast_to(np.diag(g)[:end], gain.shape).copy()
-        diagonal[words, mine] -= r[words, mine] + l[words, mine] + alone
-        gain += _xlogx(diagonal + r + l + s) - _xlogx(diagonal + r) - _xlogx(diagonal + l) + _xlogx(diagonal)
-        n_right, n_left = right.sum(1) + alone, left.sum(1) + alone
-        for total, n in ((row_sum, n_right), (col_sum, n_left)):
-            base = np.broadcast_to(total[:end], gain.shape).copy()
-            base[words, mine] -= n
-            gain -= _xlogx(base + n[:, None]) - _xlogx(base)
+        # That is nothing for a class on one side only.
+        w, c = np.nonzero((right[:, :end] > 0) & (left[:, :end] > 0) | (alone > 0)[:, None])
+        r, l, s = right[w, c], left[w, c], alone[w]
+        diagonal = g[c, c] - np.where(c == mine[w], r + l + s, 0)
+        gain[w, c] += _xlogx(diagonal + r + l + s) - _xlogx(diagonal + r) - _xlogx(diagonal + l) + _xlogx(diagonal)
+        for (total, plain, added), n in zip(sums, (right.sum(1) + alone, left.sum(1) + alone)):
+            more = added[np.minimum(n, small[-1]).astype(np.int64)]
+            often = np.flatnonzero(n > small[-1])
+            more[often] = _xlogx(total + n[often, None]) - plain
+            more[words, mine] = plain[mine] - _xlogx(total[mine] - n)
+            gain -= more
         best = np.argmax(np.round(gain, 6), axis=1)
         moves = gain[words, best] > gain[words, mine] + 1e-6
         out[at:to] = np.where(moves, best, mine)
@@ -438,12 +444,14 @@ def score(docs: DataFrame, run_bytes: int = R.RUN_BYTES, rounds: int = ROUNDS, f
     below = train_tokens + ALPHA * (kinds + 1)
 
     def use(table: pa.Table, replies: bytes) -> pa.Table:
-        known = _distinct(table)
+        column, out, at = table.column("text").combine_chunks(), [], 0
+        parts = [_words(column, *part)[::2] for part in tokens.pieces(column)]
+        back = tokens.distinct(np.concatenate([np.zeros(0, np.uint64), *(h for h, _ in parts)]))[2]
+        parts = [first for _, first in parts]
         seen = np.frombuffer(replies, np.int64)
-        column, out = table.column("text").combine_chunks(), []
-        for at, rows in tokens.pieces(column):
-            h, _, first = _words(column, at, rows)
-            found = seen[np.searchsorted(known, h)] if len(h) else np.zeros(0, np.int64)
+        for first in parts:
+            rows, found = len(first) - 1, seen[back[at:at + first[-1]]]
+            at += first[-1]
             n = found >> 16
             seq, before, text, word = _sequence(found & 0xFFFF, first, end)
             c = np.full(len(seq), texts, np.int64)

@@ -74,19 +74,33 @@ def by_bucket(hashes: np.ndarray, buckets: int) -> np.ndarray:
 
 def pack(hashes: np.ndarray) -> bytes:
     """Sorted hashes with their bytes in planes, highest first: the leading planes hardly change and compress."""
-    return hashes.astype(">u8").view(np.uint8).reshape(-1, 8).T.tobytes()
+    hashes, planes = hashes.astype(np.uint64, copy=False), np.empty((8, len(hashes)), np.uint8)
+    for i in range(8):
+        np.right_shift(hashes, np.uint64(56 - 8 * i), out=planes[i], casting="unsafe")
+    return planes.tobytes()
 
 
 def unpack(block: bytes) -> np.ndarray:
     planes = np.frombuffer(block, np.uint8).reshape(8, -1)
-    return np.ascontiguousarray(planes.T).view(">u8").reshape(-1).astype(np.uint64)
+    hashes = planes[0].astype(np.uint64)
+    for plane in planes[1:]:
+        hashes <<= np.uint64(8)
+        hashes |= plane
+    return hashes
 
 
-ASKED = "run int, bucket int, hashes binary, extra binary"
-ANSWER = "run int, bucket int, answer binary"
+def squeezed(raw: bytes) -> bytes:
+    """Size and compressed bytes."""
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
 
+def unsqueezed(held: bytes) -> bytes:
+    return pa.decompress(held[8:], decompressed_size=int.from_bytes(held[:8], "little"), codec="zstd", asbytes=True)
 
 
+ASKED = "run int, bucket int, hashes binary, extra binary"
+ANSWER = "run int, bucket int, answer binary"
+
 
 def asked(runs: Runs, buckets: int, question: Callable) -> DataFrame:
     """ASKED rows: ``question(table)`` of a run gives sorted distinct uint64 hashes, and an array beside them or None."""

@@ -188,6 +188,40 @@ def spans_of(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(step == 1), np.flatnonzero(step == -1)
 
 
+def ascending(x: np.ndarray) -> np.ndarray:
+    """Stable order of non-negative 64-bit numbers, from one sort of numbers that hold their place in the low bits."""
+    x, n = x.view(np.uint64), len(x)
+    if n < 2:
+        return np.arange(n)
+    bits = np.uint64((n - 1).bit_length())
+    low = (np.uint64(1) << bits) - np.uint64(1)
+    short = int(x.max()) >> (64 - int(bits)) == 0
+    held = x << bits if short else x & ~low
+    held |= np.arange(n, dtype=np.uint64)
+    held.sort()
+    held &= low
+    order = held.view(np.int64)
+    if not short:
+        # Numbers that differ in the bits left out only may stand the wrong way round.
+        found = x[order]
+        if (found[1:] < found[:-1]).any():
+            return np.argsort(x, kind="stable")
+    return order
+
+
+def distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct non-negative 64-bit numbers in order, the first place of each, and which of them each number is."""
+    kind = np.int32 if len(x) < 1 << 31 else np.int64
+    order = ascending(x)
+    found = x[order]
+    new = np.ones(len(x), bool)
+    new[1:] = found[1:] != found[:-1]
+    found = found[new]
+    back = np.empty(len(x), kind)
+    back[order] = np.cumsum(new, dtype=kind) - kind(1)
+    return found, order[new], back
+
+
 def masked_sums(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Sum of the values of each text."""
     total = np.concatenate([[0], np.cumsum(values, dtype=np.int64)])

@@ -153,3 +153,34 @@ def test_packed_numbers():
     for k, v in ((keys, n), (keys[:0], n[:0])):
         a, b = classes._unpacked(classes._packed(k, v))
         assert a.tolist() == k.tolist() and b.tolist() == v.tolist()
+
+
+def test_few_logarithms_for_moves(monkeypatch):
+    """Class bigrams without a word differ from those of all words in few cells; the others are looked up."""
+    rnd = np.random.default_rng(3)
+    end, words = 40, 3000
+    width = 2 * end + 3
+    g = rnd.integers(200, 900, (end + 1, end + 1))
+    near = np.unique(rnd.integers(0, words, 12_000) * width + rnd.integers(0, 2 * end + 2, 12_000))
+    seen, plain = 0, classes._xlogx
+
+    def counted(x):
+        nonlocal seen
+        seen += np.size(x)
+        return plain(x)
+
+    monkeypatch.setattr(classes, "_xlogx", counted)
+    classes.best_classes(rnd.integers(0, end, words), near, rnd.integers(1, 4, len(near)), g)
+    assert seen < len(near) * end / 2
+
+
+def test_order_of_numbers():
+    rnd = np.random.default_rng(4)
+    for n, shift in ((0, 0), (1, 0), (5000, 0), (5000, 40), (5000, 60)):
+        x = rnd.integers(0, 1 << 64, n, dtype=np.uint64, endpoint=False) >> np.uint64(shift)
+        close = x | (np.uint64(1) << np.uint64(63)) if shift else x   # They differ in their low bits only.
+        for numbers in (x, close):
+            assert (tokens.ascending(numbers) == np.argsort(numbers, kind="stable")).all()
+            kinds, first, which = tokens.distinct(numbers)
+            want = np.unique(numbers, return_index=True, return_inverse=True)
+            assert all((a == b).all() for a, b in zip((kinds, first, which), want))
