@@ -287,14 +287,15 @@ def _unpack(table: pa.Table) -> tuple[np.ndarray, pa.Array]:
 def _words(column: pa.Array, cutter: Cutter):
     """Bytes, byte ranges and hashes of all words of a run, and the index of each text's first word."""
     data, offsets = tokens.flat(column)
-    starts, ends, hashes = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
-    for at, rows in tokens.pieces(column):
+    kind = np.int32 if len(data) < 1 << 31 else np.int64   # A run has millions of words.
+    starts, ends, hashes = [np.zeros(0, kind)], [np.zeros(0, kind)], [np.zeros(0, np.uint64)]
+    for at, rows in tokens.pieces(column, tokens.SMALL_PIECE):
         low, high = offsets[at], offsets[at + rows]
         part = data[low:high]
         s, e = cutter.cut(part, offsets[at:at + rows + 1] - low)
         hashes.append(tokens.word_hashes(part, s, e))
-        starts.append(s + low)
-        ends.append(e + low)
+        starts.append((s + low).astype(kind))
+        ends.append((e + low).astype(kind))
     starts, ends = np.concatenate(starts), np.concatenate(ends)
     return data, (starts, ends), np.concatenate(hashes), np.searchsorted(starts, offsets)
 
@@ -315,7 +316,8 @@ def _with_ids(docs: DataFrame, tokenizer: Tokenizer, use, schema: str, run_bytes
     def ask(table: pa.Table) -> pa.Table:
         run = table.column("run")[0].as_py()
         data, spans, hashes, _ = _words(_unpack(table)[1], cutter)
-        kinds, index = np.unique(hashes, return_index=True)
+        kinds, index, _ = tokens.distinct(hashes)
+        del hashes, _
         at = R.by_bucket(kinds, buckets)
         full = np.flatnonzero(np.diff(at))
         parts = [_take(data, spans, index[at[b]:at[b + 1]]) for b in full]
@@ -327,7 +329,7 @@ def _with_ids(docs: DataFrame, tokenizer: Tokenizer, use, schema: str, run_bytes
         size = [np.frombuffer(x.as_py(), np.int32) for x in table.column("sizes")]
         data = np.frombuffer(b"".join(_unsqueeze(x.as_py()) for x in table.column("words")), np.uint8)
         spans = _spans(np.concatenate(size))
-        _, index, back = np.unique(tokens.word_hashes(data, *spans), return_index=True, return_inverse=True)
+        _, index, back = tokens.distinct(tokens.word_hashes(data, *spans))
         starts, ends = spans[0][index], spans[1][index]
         long = np.flatnonzero(ends - starts > FOLD_BYTES)
         joined = [np.array(join_long(data[starts[i]:ends[i]].tobytes(), ranks), kind).tobytes() for i in long]
@@ -364,8 +366,10 @@ def _with_ids(docs: DataFrame, tokenizer: Tokenizer, use, schema: str, run_bytes
 
     def apply(documents: pa.Table, replies: pa.Table) -> pa.Table:
         doc_ids, texts = _unpack(documents)
-        _, _, hashes, first = _words(texts, cutter)
-        back = np.unique(hashes, return_inverse=True)[1]
+        _, spans, hashes, first = _words(texts, cutter)
+        del spans, _, texts
+        back = tokens.distinct(hashes)[2]
+        del hashes
         replies = replies.sort_by("bucket")
         size = np.frombuffer(b"".join(x.as_py() for x in replies.column("sizes")), np.int32)
         spans, known = _spans(size), np.frombuffer(b"".join(_unsqueeze(x.as_py()) for x in replies.column("ids")), kind)

@@ -11,6 +11,8 @@ from alertloom.llm.tables import materialize, read
 #: Rows of a batch that goes to Python. A row is a whole document, so Spark's default of 10 000 rows is tens of MB
 #: in the JVM and again in each worker.
 BATCH_ROWS = 1000
+#: Bytes of text in a run of the last stage, whose executors hold the memory that the stages before took.
+RUN_BYTES = 4 << 20
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,7 +38,7 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id and token ids."""
-    return bpe.encode(docs)
+    return bpe.encode(docs, run_bytes=RUN_BYTES)
 
 
 STAGES = [
