@@ -36,9 +36,9 @@ from . import runs as R, tokens
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 LENGTH, ANCHOR = 100, 32
-RUN_BYTES = 6 << 20
-#: Strings that one step of a merge task compares at once.
-STEP = 1 << 19
+RUN_BYTES = 2 << 20
+#: Strings that one step of a merge task compares at once, and bytes of elements that it hashes at once.
+STEP, STEP_BYTES = 1 << 18, 1 << 19
 LOWEST = -(1 << 63)
 OUT = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, starts array<bigint>, ends array<bigint>"
 REPLY = "run int, bucket int, n int, answer binary"
@@ -54,11 +54,22 @@ def _sliding_least(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(x[:len(x) - rest], x[rest:]) if rest else x
 
 
-def anchors(data: np.ndarray, offsets: np.ndarray, sums: np.ndarray):
-    """(string start, place of its anchor, hash of that) of every LENGTH-byte string inside a text, by start."""
-    n = len(data)
+def string_starts(offsets: np.ndarray) -> np.ndarray:
+    """Start of every LENGTH-byte string inside a text."""
+    n = int(offsets[-1])
     if n < LENGTH:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        return np.zeros(0, np.int64)
+    inside = np.ones(n - LENGTH + 1, bool)
+    for end in offsets[1:-1].tolist():
+        inside[max(0, end - LENGTH + 1):end] = False
+    return np.flatnonzero(inside)
+
+
+def anchors(data: np.ndarray, offsets: np.ndarray, sums: np.ndarray):
+    """(strings, place, hash) of every anchor: how many LENGTH-byte strings, by start, have it after each other."""
+    n, start = len(data), string_starts(offsets)
+    if not len(start):
+        return np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.uint64)
     grams = tokens.gram_hashes(sums, ANCHOR)
     # The place in the low bits makes the leftmost of equal hashes the least; a piece may be one long text.
     bits = np.uint64(max(1, int(n).bit_length()))
@@ -66,12 +77,12 @@ def anchors(data: np.ndarray, offsets: np.ndarray, sums: np.ndarray):
     least = grams & ~low
     least |= np.arange(len(grams), dtype=np.uint64)
     least = _sliding_least(least, LENGTH - ANCHOR + 1)
-    inside = np.ones(n - LENGTH + 1, bool)
-    for end in offsets[1:-1].tolist():
-        inside[max(0, end - LENGTH + 1):end] = False
-    start = np.flatnonzero(inside)
-    place = (least[start] & low).astype(np.int64)
-    return start, place, grams[place]
+    least &= low
+    place = least[start].view(np.int64)
+    begin = np.flatnonzero(np.diff(place, prepend=-1))
+    place = place[begin]
+    kind = np.min_scalar_type(-n)
+    return np.diff(begin, append=len(start)).astype(kind), place.astype(kind), grams[place]
 
 
 class Run:
@@ -84,19 +95,16 @@ class Run:
 
     def pieces(self):
         base = row = 0
-        for at, rows in tokens.pieces(self.column):
+        for at, rows in tokens.pieces(self.column, tokens.SMALL_PIECE):
             data, offsets = tokens.flat(self.column.slice(at, rows))
             yield base, row, data, offsets
             base += len(data)
             row += rows
 
     def anchored(self):
-        """For each piece: where its bytes and rows begin, the strings, their anchors' places, which anchor each has, and their hashes."""
+        """For each piece: where its bytes and rows begin, its bytes and rows, and its anchors."""
         for base, row, data, offsets in self.pieces():
-            start, place, h = anchors(data, offsets, tokens.prefix_sums(tokens.BYTE_CODE[data], tokens.BYTE_BASE))
-            new = np.ones(len(place), bool)
-            new[1:] = place[1:] != place[:-1]
-            yield base, row, data, offsets, start.astype(np.int32), place.astype(np.int32), np.cumsum(new, dtype=np.int32) - 1, h[new]
+            yield base, row, data, offsets, *anchors(data, offsets, tokens.prefix_sums(tokens.BYTE_CODE[data], tokens.BYTE_BASE))
 
     def anchor_hashes(self) -> np.ndarray:
         """Sorted distinct anchor hashes."""
@@ -105,44 +113,56 @@ class Run:
     def study(self, elsewhere: np.ndarray) -> None:
         """``elsewhere``: for each of the run's anchor hashes, whether another run has it."""
         found = list(self.anchored())
-        kinds, back, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *(x[-1] for x in found)]),
-                                   return_inverse=True, return_counts=True)
-        several, other = (n > 1)[back], elsewhere[back]
-        start, place, own, h, shared, done = [], [], [], [], [], 0
-        for base, row, data, offsets, s, a, which, hashes in found:
-            which = which + done
-            done += len(hashes)
-            keep = several[which] | other[which]
-            s, a = s[keep].astype(np.int64), a[keep].astype(np.int64)
-            shared.append(other[which[keep]])
-            h.append(tokens.span_hashes(tokens.prefix_sums(tokens.BYTE_CODE[data], tokens.BYTE_BASE), s, s + LENGTH, tokens.BYTE_BASE))
-            own.append((row + np.searchsorted(offsets, s, "right") - 1).astype(np.int32))
-            start.append(s + base)
-            place.append(a + base)
-        del found
-        join = lambda x, kind: np.concatenate(x) if x else np.zeros(0, kind)
-        self.start, place, own = join(start, np.int64), join(place, np.int64), join(own, np.int32)
-        h, shared = join(h, np.uint64), join(shared, bool)
+        hashes = np.concatenate([np.zeros(0, np.uint64), *(x[-1] for x in found)])
+        _, back, n = np.unique(hashes, return_inverse=True, return_counts=True)
+        other = elsewhere[back]
+        keep = (n > 1)[back] | other
+        del hashes, back, n
+        # A run has millions of strings: what is held of each is as narrow as it can be.
+        strings = sum(int(x[4][keep[at:at + len(x[4])]].sum()) for x, at in zip(found, np.cumsum([0, *(len(x[4]) for x in found)])))
+        kind = np.int32 if sum(len(x[2]) for x in found) < 1 << 31 else np.int64
+        self.start, gap, own = np.empty(strings, kind), np.empty(strings, np.uint8), np.empty(strings, np.int32)
+        h, shared, at, done = np.empty(strings, np.uint64), np.empty(strings, bool), 0, 0
+        for base, row, data, offsets, size, place, _ in found:
+            mine = slice(done, done + len(size))
+            done += len(size)
+            s = string_starts(offsets)[np.repeat(keep[mine], size)]
+            size, place = size[keep[mine]], place[keep[mine]]
+            part = slice(at, at + len(s))
+            at += len(s)
+            self.start[part] = s + base
+            gap[part] = np.repeat(place, size) - s
+            own[part] = row + np.searchsorted(offsets, s, "right") - 1
+            h[part] = tokens.span_hashes(tokens.prefix_sums(tokens.BYTE_CODE[data], tokens.BYTE_BASE), s, s + LENGTH, tokens.BYTE_BASE)
+            shared[part] = np.repeat(other[mine][keep[mine]], size)
+        del found, keep, other
         # One of equal strings is first: that of the smallest id, then row, then start. Ids that are equal are not earlier.
-        order = np.argsort(h, kind="stable")
+        order = tokens.ascending(h).astype(kind)
         h = h[order]
         first = np.ones(len(h), bool)
         first[1:] = h[1:] != h[:-1]
         del h
-        ids, r = self.ids[own[order]], own[order]
-        later = ids > ids[np.maximum.accumulate(np.where(first, np.arange(len(r)), 0))] if len(r) else np.zeros(0, bool)
+        group = np.cumsum(first, dtype=kind) - kind(1)
+        r = own[order]
+        # Ids by rank, as they may be any numbers.
+        rank = np.unique(self.ids, return_inverse=True)[1].astype(np.int32)[r]
+        later = rank > rank[first][group]
+        del rank
         later[1:] |= ~first[1:] & (r[1:] == r[:-1])
-        self.later, self.kind = np.empty(len(r), bool), np.empty(len(r), np.int32)
+        del r
+        self.later, self.kind = np.empty(strings, bool), np.empty(strings, kind)
         self.later[order] = later
-        self.kind[order] = np.cumsum(first, dtype=np.int32) - 1
-        lead = np.zeros(len(r), bool)
+        self.kind[order] = group
+        lead = np.zeros(strings, bool)
         lead[order[first]] = True
         lead &= shared
+        del order, first, group, later, shared
         # Elements: leading strings that follow each other in a row with one anchor.
-        at = np.flatnonzero(lead)
-        s, a = self.start[at], place[at]
+        at = np.flatnonzero(lead).astype(kind)
+        s, own = self.start[at], own[at]
+        a = s + gap[at]
         new = np.ones(len(at), bool)
-        new[1:] = (s[1:] != s[:-1] + 1) | (a[1:] != a[:-1]) | (own[at][1:] != own[at][:-1])
+        new[1:] = (s[1:] != s[:-1] + 1) | (a[1:] != a[:-1]) | (own[1:] != own[:-1])
         begin = np.flatnonzero(new)
         #: Strings of each element: those from begin to end of ``leading``.
         self.leading, self.begin, self.end = at, begin, np.append(begin[1:], len(at))[:len(begin)]
@@ -259,8 +279,10 @@ def merge(blocks: list[tuple[bytes, int]]):
             node //= 2
 
 
-def earlier_strings(group: list[tuple[int, int, bytes, bytes]], flags: dict[int, list]) -> None:
-    """Marks in ``flags[block][number]`` the strings of the elements that an element of an earlier block has too.
+def earlier_strings(group: list[tuple[int, int, bytes, bytes]], flags: list[tuple[np.ndarray, np.ndarray]]) -> None:
+    """Marks in ``flags`` of a block the strings of the elements that an element of an earlier block has too.
+
+    Those of a block are one array, with where each element's strings begin.
 
     ``group`` holds (block, number, suffix, left part) of whole anchor groups; blocks ascend with the
     runs. Strings are compared a few offsets from the anchor at a time, as equal strings have equal offsets.
@@ -270,11 +292,19 @@ def earlier_strings(group: list[tuple[int, int, bytes, bytes]], flags: dict[int,
     before = np.array([len(x[3]) for x in group])
     size = np.array([len(t) for t in text])
     begin = np.cumsum(size) - size
-    data = np.frombuffer(b"".join(text), np.uint8)
-    sums = tokens.prefix_sums(tokens.BYTE_CODE[data], tokens.BYTE_BASE)
     strings = size - LENGTH + 1
-    mark = np.zeros(int(strings.sum()), np.uint8)
+    total = int(strings.sum())
+    mark, hashes = np.zeros(total, np.uint8), np.empty(total, np.uint64)
     first = np.cumsum(strings) - strings
+    # An element may be a hundred bytes for one string, and a byte takes several numbers.
+    edges = [*np.flatnonzero(np.diff(begin // STEP_BYTES, prepend=-1)).tolist(), len(group)]
+    for a, b in zip(edges[:-1], edges[1:]):
+        data = np.frombuffer(b"".join(text[a:b]), np.uint8)
+        n = strings[a:b]
+        at = np.arange(int(n.sum())) + np.repeat(begin[a:b] - begin[a] - (np.cumsum(n) - n), n)
+        sums = tokens.prefix_sums(tokens.BYTE_CODE[data], tokens.BYTE_BASE)
+        hashes[first[a]:first[a] + len(at)] = tokens.span_hashes(sums, at, at + LENGTH, tokens.BYTE_BASE)
+    del text
     width = max(1, STEP // len(group))
     for low in range(0, LENGTH - ANCHOR + 1, width):
         # Offsets low .. low + width - 1: the anchor's distance from the string's start.
@@ -285,43 +315,47 @@ def earlier_strings(group: list[tuple[int, int, bytes, bytes]], flags: dict[int,
             continue
         who = np.repeat(np.arange(len(group)), n)
         j = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + from_[who]
-        at = begin[who] + j
-        h = tokens.span_hashes(sums, at, at + LENGTH, tokens.BYTE_BASE)
+        at = first[who] + j
+        h = hashes[at]
         order = np.lexsort((block[who], h))
         h, b = h[order], block[who][order]
         new = np.ones(len(h), bool)
         new[1:] = h[1:] != h[:-1]
         lead = np.maximum.accumulate(np.where(new, np.arange(len(h)), 0))
-        mark[(first[who] + j)[order[b > b[lead]]]] = 1
+        mark[at[order[b > b[lead]]]] = 1
     for i, (k, number, _, _) in enumerate(group):
-        flags[k][number] = mark[first[i]:first[i] + strings[i]]
+        found, begins = flags[k]
+        found[begins[number]:begins[number + 1]] = mark[first[i]:first[i] + strings[i]]
 
 
 def compare(blocks: list[tuple[bytes, int]]) -> list[bytes]:
     """For each block, a flag for each string of its elements in order: whether an earlier block has it."""
-    flags: list[list] = [[np.zeros(b[i + 1] + b[i + 2] - LENGTH + 1, np.uint8) for i in range(0, 3 * n, 3)] for b, n in blocks]
+    flags = []
+    for b, n in blocks:
+        strings = np.frombuffer(b, np.uint8, 3 * n).reshape(-1, 3)[:, 1:].sum(1, dtype=np.int64) - LENGTH + 1
+        flags.append((np.zeros(int(strings.sum()), np.uint8), np.concatenate([[0], np.cumsum(strings)])))
     waiting: list = []
     group: list = []
-    strings = 0
+    held = 0
 
     def close():
-        nonlocal waiting, group, strings
+        nonlocal waiting, group, held
         if len({x[0] for x in group}) > 1:
             waiting += group
-            strings += sum(len(x[2]) + len(x[3]) - LENGTH + 1 for x in group)
+            held += sum(len(x[2]) + len(x[3]) for x in group)
         group = []
 
     for suffix, common, left, block, number in merge(blocks):
         if common < ANCHOR:
             close()
-            if strings >= STEP:
+            if held >= STEP_BYTES:
                 earlier_strings(waiting, flags)
-                waiting, strings = [], 0
+                waiting, held = [], 0
         group.append((block, number, suffix, left))
     close()
     if waiting:
         earlier_strings(waiting, flags)
-    return [np.packbits(np.concatenate(f)).tobytes() if f else b"" for f in flags]
+    return [np.packbits(f).tobytes() for f, _ in flags]
 
 
 def _cuts(docs: DataFrame, parts: int, per_part: int = 64) -> list[bytes]:
@@ -354,7 +388,8 @@ def deduplicate(docs: DataFrame, run_bytes: int = RUN_BYTES) -> DataFrame:
     """
     docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     runs = R.into_runs(docs, run_bytes=run_bytes)
-    cuts = _cuts(docs, runs.runs)
+    # A run sends a block to every range.
+    cuts = _cuts(docs, -(-runs.runs // 2))
 
     # One anchor for every 35 bytes.
     blocks = R.asked(runs, runs.buckets(runs.n_bytes / 35), lambda table: (Run(table).anchor_hashes(), None))
@@ -367,18 +402,23 @@ def deduplicate(docs: DataFrame, run_bytes: int = RUN_BYTES) -> DataFrame:
         run = Run(table)
         run.study(flags_of(replies))
         elements = run.elements()
+        del run
         parts = dealt(elements, cuts)
         # The numbers of the elements go along and come back, so the run need not sort again.
         return pa.table({
             "run": pa.array([table.column("run")[0].as_py()] * len(parts), pa.int32()), "bucket": pa.array(list(parts), pa.int32()),
             "n": pa.array([len(x) for x in parts.values()], pa.int32()),
-            "answer": pa.array([np.array(x, np.int32).tobytes() + front_code([elements[i] for i in x]) for x in parts.values()], pa.binary())})
+            "answer": pa.array([R.squeezed(np.array(x, np.int32).tobytes() + front_code([elements[i] for i in x])) for x in parts.values()], pa.binary())})
 
     def merge_range(table: pa.Table) -> pa.Table:
         table = table.sort_by("run")
-        sent = [x.as_py() for x in table.column("answer")]
-        sizes = table.column("n").to_pylist()
-        found = [x[:4 * n] + flags for x, n, flags in zip(sent, sizes, compare([(x[4 * n:], n) for x, n in zip(sent, sizes)]))]
+        numbers, blocks = [], []
+        for x, n in zip(table.column("answer"), table.column("n").to_pylist()):
+            sent = R.unsqueezed(x.as_py())
+            numbers.append(sent[:4 * n])
+            blocks.append((sent[4 * n:], n))
+        table = table.drop_columns("answer")
+        found = [x + flags for x, flags in zip(numbers, compare(blocks))]
         # Ranges have negative numbers among the answers, so a run tells them from the buckets.
         return pa.table({"run": table.column("run").cast(pa.int32()),
                          "bucket": pa.array([-1 - b for b in table.column("bucket").to_pylist()], pa.int32()),
