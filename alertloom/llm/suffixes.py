@@ -82,7 +82,8 @@ def anchors(data: np.ndarray, offsets: np.ndarray, sums: np.ndarray):
     begin = np.flatnonzero(np.diff(place, prepend=-1))
     place = place[begin]
     kind = np.min_scalar_type(-n)
-    return np.diff(begin, append=len(start)).astype(kind), place.astype(kind), grams[place]
+    # The least of many hashes is small: mixed again, anchors fill all buckets of the hash space alike.
+    return np.diff(begin, append=len(start)).astype(kind), place.astype(kind), tokens.mix(grams[place])
 
 
 class Run:

@@ -6,7 +6,7 @@ import tracemalloc
 import numpy as np
 import pyarrow as pa
 
-from alertloom.llm import bpe, suffixes
+from alertloom.llm import bpe, runs, suffixes
 import public_tokenizers
 
 
@@ -32,6 +32,15 @@ def test_strings_of_a_run_are_held_narrow():
     assert peak(lambda: run.study(everywhere)) < 60 * column.nbytes
 
 
+def test_anchors_of_a_run_fill_all_buckets():
+    column = pa.array(texts(1 << 20))
+    run = suffixes.Run(pa.table({"run": pa.array([0] * len(column), pa.int32()), "doc_id": pa.array(range(len(column)), pa.int64()), "text": column}))
+    hashes = run.anchor_hashes()
+    assert (np.diff(hashes.astype(object)) > 0).all()
+    in_bucket = np.diff(runs.by_bucket(hashes, 28))
+    assert in_bucket.max() < 1.2 * len(hashes) / 28
+
+
 def test_short_elements_are_hashed_in_steps():
     rnd = random.Random(6)
     elements = sorted((bytes(rnd.choices(b"abcd", k=100)), b"") for _ in range(20_000))
