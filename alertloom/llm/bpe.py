@@ -2,8 +2,9 @@
 
 A word (a match of the pattern) is its bytes, one character for each byte (ISO 8859-1). A fold joins, again and
 again, the leftmost pair of pieces whose union has the lowest rank; after a join only the two pairs
-beside it are ranked anew. Ranks are a literal map, cut into small maps by a hash of the piece, as
-Spark searches a map from its start.
+beside it are ranked anew. Ranks are a map that goes with each bucket of words, cut into small maps by a hash of the
+piece, as Spark searches a map from its start. As a literal they would be in every copy of the plan that the driver
+makes, prints and sends.
 
 Documents are dealt into runs. A run cuts its texts into words and asks once for each distinct word, in one block for
 each bucket of the hash space. A bucket folds each distinct word of the corpus once and answers every run in the order
@@ -15,7 +16,6 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
-import json
 import sys
 
 import numpy as np
@@ -47,24 +47,26 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
 
 
-class Literal:
-    """A map as a literal array of small maps; a key is in the one that its hash tells."""
+def small_maps(entries: dict[bytes, int]) -> pa.Array:
+    """One value of MAPS: a map as an array of small maps; a key is in the one that its hash tells."""
+    size = max(1, len(entries) // 2)
+    keys = [k.decode(LATIN) for k in entries]
+    hashes = np.array([xxhash.xxh64_intdigest(k.encode(), 42) for k in keys], np.uint64).view(np.int64)
+    at = hashes % size
+    order = np.argsort(at, kind="stable")
+    maps = pa.MapArray.from_arrays(
+        pa.array(np.searchsorted(at[order], np.arange(size + 1)), pa.int32()),
+        pa.array([keys[i] for i in order.tolist()], pa.string()),
+        pa.array(np.fromiter(entries.values(), np.int32, len(entries))[order], pa.int32()))
+    return pa.ListArray.from_arrays(pa.array([0, size], pa.int32()), maps)
 
-    def __init__(self, entries: dict[str, object], kind: str):
-        self.size = max(1, len(entries) // 2)
-        parts: list[dict] = [{} for _ in range(self.size)]
-        for k, v in entries.items():
-            h = xxhash.xxh64_intdigest(k.encode(), 42)
-            parts[(h - (1 << 64) if h >> 63 else h) % self.size][k] = v
-        # One JSON literal, which the optimizer parses once, is quicker to plan than a literal for each entry.
-        self.parts = F.from_json(F.lit(json.dumps(parts)), f"array<map<string,{kind}>>")
 
-    def bind(self, body) -> Column:
-        """``body`` of a function that looks keys up (null if absent); the literal stands once in the expression."""
-        def look_in(parts):
-            return body(lambda key: F.element_at(parts, (F.pmod(F.xxhash64(key), F.lit(self.size)) + 1).cast("int"))[key])
+def look_up(maps: Column, body) -> Column:
+    """``body`` of a function that looks keys up in :func:`small_maps` (null if absent)."""
+    def look_in(parts):
+        return body(lambda key: F.element_at(parts, (F.pmod(F.xxhash64(key), F.size(parts)) + 1).cast("int"))[key])
 
-        return _let(self.parts, look_in)
+    return _let(maps, look_in)
 
 
 def _let(value: Column, body) -> Column:
@@ -232,18 +234,18 @@ class Tokenizer:
     def __init__(self, path: str | None = None, pattern: str | None = None):
         self.ranks = read_ranks(path or public_tokenizers.path(RANKS))
         self.cutter = Cutter(pattern or public_tokenizers.PATTERN)
-        self.rank_map = Literal({k.decode(LATIN): v for k, v in self.ranks.items()}, "int")
         by_rank = {v: k for k, v in self.ranks.items()}
         #: Bytes of each id.
         self.pieces = [by_rank.get(i, b"") for i in range(max(by_rank) + 1)]
 
-    def fold_words(self, words: Column) -> Column:
-        """Ids (array of arrays of int) of an array of words (binary)."""
-        def ids(rank):
-            return F.transform(words, lambda word: _let(F.decode(word, LATIN), lambda w: _let(
-                rank(w), lambda r: F.when(r.isNotNull(), F.array(r)).otherwise(fold(w, rank)))))
 
-        return self.rank_map.bind(ids)
+def fold_words(words: Column, maps: Column) -> Column:
+    """Ids (array of arrays of int) of an array of words (binary); ``maps`` are the ranks as :func:`small_maps`."""
+    def ids(rank):
+        return F.transform(words, lambda word: _let(F.decode(word, LATIN), lambda w: _let(
+            rank(w), lambda r: F.when(r.isNotNull(), F.array(r)).otherwise(fold(w, rank)))))
+
+    return look_up(maps, ids)
 
 
 def decode(ids: list[int], pieces: list[bytes]) -> bytes:
@@ -302,7 +304,8 @@ def _words(column: pa.Array, cutter: Cutter):
 
 ASKED = "run int, bucket int, sizes binary, words binary"
 #: ``long`` numbers the words of over FOLD_BYTES, whose ids are in ``joined``; one byte stands for each in ``words``.
-DISTINCT = "bucket int, words array<binary>, runs array<int>, places array<binary>, long array<int>, joined array<binary>"
+MAPS = "array<map<string,int>>"
+DISTINCT = f"bucket int, ranks {MAPS}, words array<binary>, runs array<int>, places array<binary>, long array<int>, joined array<binary>"
 ANSWER = "run int, bucket int, sizes binary, ids binary"
 
 
@@ -338,7 +341,7 @@ def _with_ids(docs: DataFrame, tokenizer: Tokenizer, use, schema: str, run_bytes
         ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
         every = pa.BinaryArray.from_buffers(pa.binary(), len(index), [None, pa.py_buffer(ends), pa.py_buffer(words)])
         places = np.split(back.astype(np.int32), np.cumsum([len(s) for s in size])[:-1])
-        return pa.table({"bucket": table.column("bucket").slice(0, 1), "words": pa.ListArray.from_arrays([0, len(index)], every),
+        return pa.table({"bucket": table.column("bucket").slice(0, 1), "ranks": small_maps(ranks), "words": pa.ListArray.from_arrays([0, len(index)], every),
                          "runs": pa.array([table.column("run").to_pylist()], pa.list_(pa.int32())),
                          "places": pa.array([[p.tobytes() for p in places]], pa.list_(pa.binary())),
                          "long": pa.array([long.tolist()], pa.list_(pa.int32())), "joined": pa.array([joined], pa.list_(pa.binary()))})
@@ -379,7 +382,7 @@ def _with_ids(docs: DataFrame, tokenizer: Tokenizer, use, schema: str, run_bytes
     packed = runs.rows.mapInArrow(_pack, PACKED)
     asked = packed.groupBy("run").applyInArrow(ask, ASKED)
     folded = (asked.groupBy("bucket").applyInArrow(distinct, DISTINCT)
-              .select("bucket", tokenizer.fold_words(F.col("words")).alias("ids"), "runs", "places", "long", "joined"))
+              .select("bucket", fold_words(F.col("words"), F.col("ranks")).alias("ids"), "runs", "places", "long", "joined"))
     answers = folded.mapInArrow(reply, ANSWER)
     return packed.groupBy("run").cogroup(answers.groupBy("run")).applyInArrow(apply, schema)
 

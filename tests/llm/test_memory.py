@@ -55,3 +55,9 @@ def test_words_of_a_run_are_held_narrow():
     cutter = bpe.Cutter(public_tokenizers.PATTERN)
     bpe._words(column, cutter)
     assert peak(lambda: bpe._words(column, cutter)) < 12 * column.nbytes
+
+
+def test_ranks_are_not_in_the_plan(spark, capsys):
+    docs = spark.createDataFrame([(1, "some words")], "doc_id bigint, text string")
+    bpe.encode(docs).explain(True)
+    assert len(capsys.readouterr().out) < 100_000
