@@ -143,8 +143,8 @@ def join_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
 def _kinds() -> tuple[np.ndarray, np.ndarray]:
     """All code points as runs of one kind: length and kind of each."""
     kind = np.zeros(0x110000, np.uint8)
-    every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
-    place = np.array([*range(0xD800), *range(0xE000, 0x110000)])
+    place = np.concatenate([np.arange(0xD800), np.arange(0xE000, 0x110000)])
+    every = place.astype("<u4").tobytes().decode("utf-32-le")
     for which, pattern in ((LETTER, r"\p{L}+"), (NUMBER, r"\p{N}+"), (SPACE, r"\p{White_Space}+")):
         for m in regex.finditer(pattern, every):
             kind[place[m.start()]:place[m.end() - 1] + 1] = which
