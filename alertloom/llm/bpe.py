@@ -287,19 +287,32 @@ def _unpack(table: pa.Table) -> tuple[np.ndarray, pa.Array]:
 
 
 def _words(column: pa.Array, cutter: Cutter):
-    """Bytes, byte ranges and hashes of all words of a run, and the index of each text's first word."""
+    """Of a run: its bytes, byte ranges and hashes of its distinct words, which of them each word is, and the index of each text's first word.
+
+    Words are made distinct piece by piece, so that ranges and hashes of all words are never held at once.
+    """
     data, offsets = tokens.flat(column)
     kind = np.int32 if len(data) < 1 << 31 else np.int64   # A run has millions of words.
-    starts, ends, hashes = [np.zeros(0, kind)], [np.zeros(0, kind)], [np.zeros(0, np.uint64)]
+    starts, ends, hashes, backs, counts = [np.zeros(0, kind)], [np.zeros(0, kind)], [np.zeros(0, np.uint64)], [], [np.zeros(1, np.int64)]
     for at, rows in tokens.pieces(column, tokens.SMALL_PIECE):
         low, high = offsets[at], offsets[at + rows]
-        part = data[low:high]
-        s, e = cutter.cut(part, offsets[at:at + rows + 1] - low)
-        hashes.append(tokens.word_hashes(part, s, e))
-        starts.append((s + low).astype(kind))
-        ends.append((e + low).astype(kind))
-    starts, ends = np.concatenate(starts), np.concatenate(ends)
-    return data, (starts, ends), np.concatenate(hashes), np.searchsorted(starts, offsets)
+        part, edges = data[low:high], offsets[at:at + rows + 1] - low
+        s, e = cutter.cut(part, edges)
+        found, index, back = tokens.distinct(tokens.word_hashes(part, s, e))
+        hashes.append(found)
+        starts.append((s[index] + low).astype(kind))
+        ends.append((e[index] + low).astype(kind))
+        backs.append(back)
+        counts.append(np.diff(np.searchsorted(s, edges)))
+    sizes = list(map(len, hashes[1:]))
+    hashes, index, back = tokens.distinct(np.concatenate(hashes))
+    every = np.empty(sum(map(len, backs)), back.dtype)
+    at = begin = 0
+    for size, own in zip(sizes, backs):
+        np.take(back[begin:begin + size], own, out=every[at:at + len(own)])
+        at, begin = at + len(own), begin + size
+    spans = (np.concatenate(starts)[index], np.concatenate(ends)[index])
+    return data, spans, hashes, every, np.cumsum(np.concatenate(counts))
 
 
 ASKED = "run int, bucket int, sizes binary, words binary"
@@ -318,12 +331,10 @@ def _with_ids(docs: DataFrame, tokenizer: Tokenizer, use, schema: str, run_bytes
 
     def ask(table: pa.Table) -> pa.Table:
         run = table.column("run")[0].as_py()
-        data, spans, hashes, _ = _words(_unpack(table)[1], cutter)
-        kinds, index, _ = tokens.distinct(hashes)
-        del hashes, _
-        at = R.by_bucket(kinds, buckets)
+        data, spans, hashes, *_ = _words(_unpack(table)[1], cutter)
+        at = R.by_bucket(hashes, buckets)
         full = np.flatnonzero(np.diff(at))
-        parts = [_take(data, spans, index[at[b]:at[b + 1]]) for b in full]
+        parts = [_take(data, spans, np.arange(at[b], at[b + 1])) for b in full]
         return pa.table({"run": pa.array([run] * len(full), pa.int32()), "bucket": pa.array(full, pa.int32()),
                          "sizes": pa.array([size.astype(np.int32).tobytes() for _, size in parts], pa.binary()),
                          "words": pa.array([_squeeze(words) for words, _ in parts], pa.binary())})
@@ -369,10 +380,8 @@ def _with_ids(docs: DataFrame, tokenizer: Tokenizer, use, schema: str, run_bytes
 
     def apply(documents: pa.Table, replies: pa.Table) -> pa.Table:
         doc_ids, texts = _unpack(documents)
-        _, spans, hashes, first = _words(texts, cutter)
-        del spans, _, texts
-        back = tokens.distinct(hashes)[2]
-        del hashes
+        back, first = _words(texts, cutter)[3:]
+        del texts
         replies = replies.sort_by("bucket")
         size = np.frombuffer(b"".join(x.as_py() for x in replies.column("sizes")), np.int32)
         spans, known = _spans(size), np.frombuffer(b"".join(_unsqueeze(x.as_py()) for x in replies.column("ids")), kind)

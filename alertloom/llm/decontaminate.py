@@ -28,6 +28,8 @@ WINDOW = 13
 SEGMENT = 1 << 20
 #: Terms of the queries up to which the index leaves other terms out; with more it keeps every term.
 MAX_TERMS = 2_000_000
+#: Bytes of a row group of the stored index; a scan holds a row group of it, and not all segments of a file, at once.
+INDEX_GROUP = 4 << 20
 #: Query items that one scan of the index looks for.
 BLOCK = 5_000
 
@@ -200,11 +202,25 @@ class Segment:
 HITS = "segment bigint, text bigint, doc_id bigint, k1 bigint, k2 bigint, n_words bigint, hit binary, items array<string>, near array<string>"
 
 
-def matches(index: DataFrame, phrases: Phrases, rare: list[tuple[np.ndarray, int]], every_text: bool) -> DataFrame:
-    """HITS of the phrases: of every text, or only of texts with an exact or near match.
+#: The same where one block holds all items, so that nothing is left to put together.
+WHOLE = "doc_id bigint, k1 bigint, k2 bigint, n_words bigint, n_hit bigint, items array<string>, items_sha256 string, near array<string>"
+
+
+def _sha256(items) -> str:
+    return hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()
+
+
+def matches(index: DataFrame, phrases: Phrases, rare: list[tuple[np.ndarray, int]], every_text: bool, whole: bool = False) -> DataFrame:
+    """HITS of the phrases: of every text, or only of texts with an exact or near match. ``whole``: WHOLE instead, of phrases of all items.
 
     ``segment`` and ``text`` name a row: the number of the segment in the written index, and the text's number in it.
     """
+    schema = pa.schema([
+        ("doc_id", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()),
+        ("items", pa.list_(pa.string())), ("items_sha256", pa.string()), ("near", pa.list_(pa.string()))] if whole else [
+        ("segment", pa.int64()), ("text", pa.int64()), ("doc_id", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()),
+        ("n_words", pa.int64()), ("hit", pa.binary()), ("items", pa.list_(pa.string())), ("near", pa.list_(pa.string()))])
+
     def find(batches):
         for batch in batches:
             for i in range(batch.num_rows):  # a row is a few MB
@@ -224,20 +240,20 @@ def matches(index: DataFrame, phrases: Phrases, rare: list[tuple[np.ndarray, int
                     close.setdefault(t, set()).add(i)
                 texts = range(len(seg.ids)) if every_text else sorted(set(items) | set(close))
                 names = lambda found: sorted({str(phrases.items[i]) for i in found})
-                out = {"segment": [], "text": [], "doc_id": [], "k1": [], "k2": [], "n_words": [], "hit": [], "items": [], "near": []}
+                out = {k: [] for k in schema.names}
                 for t in texts:
                     span = hit[seg.places[t]:seg.places[t] + seg.n_words[t]]
-                    for k, v in (("segment", row["segment"]), ("text", t), ("doc_id", seg.ids[t]), ("k1", row["k1"][t]), ("k2", row["k2"][t]), ("n_words", int(seg.n_words[t])),
-                                 ("hit", np.packbits(span).tobytes() if span.any() else b""),
-                                 ("items", names(items.get(t, ()))), ("near", names(close.get(t, ())))):
+                    found = names(items.get(t, ()))
+                    for k, v in (("doc_id", seg.ids[t]), ("k1", row["k1"][t]), ("k2", row["k2"][t]), ("n_words", int(seg.n_words[t])),
+                                 ("items", found), ("near", names(close.get(t, ())))):
+                        out[k].append(v)
+                    for k, v in ((("n_hit", int(span.sum())), ("items_sha256", _sha256(found))) if whole else (
+                            ("segment", row["segment"]), ("text", t), ("hit", np.packbits(span).tobytes() if span.any() else b""))):
                         out[k].append(v)
                 if texts:
-                    yield pa.RecordBatch.from_pydict(out, pa.schema([
-                        ("segment", pa.int64()), ("text", pa.int64()), ("doc_id", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()),
-                        ("n_words", pa.int64()),
-                        ("hit", pa.binary()), ("items", pa.list_(pa.string())), ("near", pa.list_(pa.string()))]))
+                    yield pa.RecordBatch.from_pydict(out, schema)
 
-    return index.mapInArrow(find, HITS)
+    return index.mapInArrow(find, WHOLE if whole else HITS)
 
 
 @F.arrow_udf(T.StructType([T.StructField("n_hit", T.LongType()), T.StructField("items_sha256", T.StringType())]))
@@ -248,7 +264,7 @@ def _digest(hits: pa.Array, items: pa.Array) -> pa.Array:
         parts = [p for p in parts or [] if p]
         whole = np.bitwise_or.reduce([np.frombuffer(p, np.uint8) for p in parts]) if parts else np.zeros(0, np.uint8)
         n.append(int(np.bitwise_count(whole).sum()))
-        sha.append(hashlib.sha256(",".join(sorted(ids or [])).encode()).hexdigest())
+        sha.append(_sha256(ids or []))
     return pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array(sha, pa.string())], names=["n_hit", "items_sha256"])
 
 
@@ -265,7 +281,7 @@ def search(docs: DataFrame, items: DataFrame, near_terms: int = 5, slop: int = 2
     queries = [(r["item_id"], _item_words(r["text"])) for r in items.select("item_id", "text").orderBy("item_id", "text").toLocalIterator()]
     queries = [(i, h) for i, h in queries if len(h)]
     vocabulary = np.unique(np.concatenate([h for _, h in queries])) if queries else np.zeros(0, np.uint64)
-    index = materialize(build_index(docs, vocabulary if len(vocabulary) <= MAX_TERMS else None), "postings")
+    index = materialize(build_index(docs, vocabulary if len(vocabulary) <= MAX_TERMS else None), "postings", INDEX_GROUP)
     counts = term_counts(index)
     if len(vocabulary) > MAX_TERMS:  # only the queries' terms come to the driver
         known = docs.sparkSession.createDataFrame([(int(x),) for x in vocabulary.view(np.int64)], "term bigint")
@@ -276,18 +292,15 @@ def search(docs: DataFrame, items: DataFrame, near_terms: int = 5, slop: int = 2
         block = queries[at:at + BLOCK]
         by_rarity = [sorted(counted.keys() & h.view(np.int64).tolist(), key=lambda x: (counted[x], x))[:near_terms] for _, h in block]
         rare = [(np.array(x, np.int64).view(np.uint64), max(slop, len(h))) for x, (_, h) in zip(by_rarity, block)]
-        part = matches(index, phrases_of(block, counted), rare, every_text=at == 0)
+        part = matches(index, phrases_of(block, counted), rare, every_text=at == 0, whole=len(queries) <= BLOCK)
         found = part if found is None else found.unionByName(part)
     if len(queries) > BLOCK:
         found = found.groupBy("segment", "text", "doc_id", "k1", "k2", "n_words").agg(
             F.collect_list("hit").alias("hits"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"),
             F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
-    else:
-        found = found.select("*", F.array("hit").alias("hits"))
-    found = found.select("doc_id", "k1", "k2", "n_words", F.array_distinct("items").alias("items"), F.array_distinct("near").alias("near"),
-                         _digest("hits", F.array_distinct("items")).alias("d"))
-    return found.select("doc_id", "k1", "k2", "n_words", "d.n_hit", "items", "d.items_sha256", F.col("near").alias("near_items"),
-                        ((F.col("d.n_hit") > 0) & (F.col("d.n_hit") * 20 >= F.col("n_words"))).alias("contaminated"))
+        found = found.select("*", _digest("hits", "items").alias("d")).select("*", "d.*")
+    return found.select("doc_id", "k1", "k2", "n_words", "n_hit", "items", "items_sha256", F.col("near").alias("near_items"),
+                        ((F.col("n_hit") > 0) & (F.col("n_hit") * 20 >= F.col("n_words"))).alias("contaminated"))
 
 
 def clean(docs: DataFrame, items: DataFrame) -> DataFrame:

@@ -11,13 +11,17 @@ from alertloom.llm.tables import materialize, read
 #: Rows of a batch that goes to Python. A row is a whole document, so Spark's default of 10 000 rows is tens of MB
 #: in the JVM and again in each worker.
 BATCH_ROWS = 1000
+#: Bytes of a batch that goes to Python: long texts and rows of the index make batches of fewer rows.
+BATCH_BYTES = 2 << 20
 #: Bytes of text in a run of the last stage, whose executors hold the memory that the stages before took.
 RUN_BYTES = 4 << 20
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the base rule or a calibrated rule rejects go. The session's batches hold BATCH_ROWS from here on."""
+    """Documents that the base rule or a calibrated rule rejects go. The session's batches hold BATCH_ROWS and BATCH_BYTES from here on."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", str(BATCH_ROWS))
     return quality.keep(docs, read(spark, sf_dir, "labels"))
 
 
